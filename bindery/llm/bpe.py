@@ -146,35 +146,32 @@ def _coder(ranks: dict[bytes, int]):
     return encode_words
 
 
-def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, words first: (id, token_ids) of each text."""
-    block, parts, starts, lens, flat = None, [], None, None, None
-    for batch in batches:
-        for this, last, head, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if this != block:
-                block, parts, flat = this, [], None
-            if not last:
-                parts.append((_unpack(head).reshape(2, -1), _unpack(body)))
-                continue
-            if flat is None:
-                at = np.concatenate([p[0][0] for p in parts] or [np.zeros(0, np.uint32)])
-                n = np.concatenate([p[0][1] for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                flat = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int32)
-                starts, lens, parts = np.empty(len(n), np.int64), np.empty(len(n), np.int64), []
-                starts[at], lens[at] = np.cumsum(n) - n, n
-            texts = pa.ipc.open_stream(head).read_all()
-            seq, to = _unpack(body), 0
-            for row in range(0, texts.num_rows, 256):
-                own = texts.slice(row, 256)
-                sizes = own.column(1).to_numpy()
-                part = seq[to : to + sizes.sum()]
-                to += len(part)
-                n = lens[part]
-                ends = np.cumsum(n)
-                ids = flat[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-                cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), lists], ["id", "token_ids"])
+def _put_together(coded: pa.Table, cut: pa.Table) -> pa.Table:
+    """A block's word rows with ids and its text rows: (id, token_ids) of each text."""
+    heads = [_unpack(h).reshape(2, -1) for h in coded.column("head").to_pylist()]
+    bodies = [_unpack(b) for b in coded.column("body").to_pylist()]
+    none = np.zeros(0, np.uint32)
+    at = np.concatenate([none, *(h[0] for h in heads)])
+    n = np.concatenate([none, *(h[1] for h in heads)]).astype(np.int64)
+    flat = np.concatenate([none, *bodies]).astype(np.int32)
+    starts, lens = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    starts[at], lens[at] = np.cumsum(n) - n, n
+    out = []
+    for head, body in zip(cut.column("head").to_pylist(), cut.column("body").to_pylist(), strict=True):
+        texts = pa.ipc.open_stream(head).read_all()
+        seq, to = _unpack(body), 0
+        for row in range(0, texts.num_rows, 256):
+            own = texts.slice(row, 256)
+            sizes = own.column(1).to_numpy()
+            part = seq[to : to + sizes.sum()]
+            to += len(part)
+            n = lens[part]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), lists], ["id", "token_ids"]))
+    return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32()))]))
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,12 +184,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     ranks = read_ranks(ranks_path or public_tokenizers.path(RANKS))
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
-    cut = stage(own.mapInArrow(_cutter(2 * n), _ROWS), "pretokens")
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions()))
+    cut = stage(own.mapInArrow(_cutter(2 * n), _ROWS), "pretokens", bucket=("block", n))
     words = cut.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_coder(ranks), _ROWS)
-    both = words.unionByName(cut.where("bucket < 0")).select("block", (F.col("bucket") < 0).alias("last"), "head", "body")
-    dealt = both.repartition(n, "block").sortWithinPartitions("block", "last")
-    return dealt.mapInArrow(_put_together, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
+    # the table is bucketed by block: positions stay where they are, only the words' ids come to them
+    done = words.groupBy("block").cogroup(cut.where("bucket < 0").groupBy("block")).applyInArrow(_put_together, "id long, token_ids array<int>")
+    return done.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -205,9 +202,13 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "to
 
     @F.arrow_udf("binary")
     def to_bytes(ids: pa.Array) -> pa.Array:
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(ids.fill_null([]).value_lengths().to_numpy()).tolist()
-        get = table.__getitem__
-        return pa.array([b"".join(map(get, flat[a:b])) if ok else None for a, b, ok in zip([0, *ends], ends, ids.is_valid().to_pylist(), strict=False)], pa.binary())
+        out = []
+        for at in range(0, len(ids), 64):
+            some = ids.slice(at, 64)
+            flat = some.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(some.fill_null([]).value_lengths().to_numpy()).tolist()
+            out += [b"".join(map(table.__getitem__, flat[a:b])) if ok else None for a, b, ok in zip([0, *ends], ends, some.is_valid().to_pylist(), strict=False)]
+        return pa.array(out, pa.binary())
 
     return encoded.withColumn(out_col, to_bytes(F.col(ids_col)))
 

@@ -28,11 +28,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, name: str, bucket: tuple[str, int] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With ``bucket`` (column, number) later joins on that column need no shuffle of the table.
+    """
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/{name}"
+    out = df.write.format("parquet").option("compression", "zstd")
+    if bucket is None:
+        out.save(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"bindery_{uuid.uuid4().hex}"
+    out.option("path", path).bucketBy(bucket[1], bucket[0]).saveAsTable(table)
+    back = spark.table(table)
+    back.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return back
 
 
 def held_out(id_col: str = "doc_id") -> Column:
