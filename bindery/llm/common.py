@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a task works on at once.
 BLOCK_BYTES = 4 << 20
+#: Label values that are learned at most; the most frequent ones.
+MOST_VALUES = 500
 
 
 def scratch(spark: SparkSession) -> str:
@@ -74,6 +76,14 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _shares(rows: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(MOST_VALUES).collect()}
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1e6 < share)
+
+
 def labelled_sample(docs: DataFrame, label: str, most: int, id_col: str, text_col: str) -> DataFrame:
     """About ``most`` labelled rows of each label value, outside the held-out fifth, chosen by a hash of the id.
 
@@ -81,12 +91,18 @@ def labelled_sample(docs: DataFrame, label: str, most: int, id_col: str, text_co
     there are. Columns: id, text, label. Rows with a null id, text or label are left out.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(200).collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1e6
-    return rows.where(dice < share).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("label"))
+    return _shares(rows, label, id_col, most).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("label"))
+
+
+def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(id, label) of about ``most`` ids of each value 0 and 1 outside the held-out fifth, and the counts of all such ids.
+
+    An id with several labels has its smallest. The rows are bounded by ``most``, so they may be broadcast.
+    """
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    rows = rows.groupBy("id").agg(F.min("label").alias("label")).where(~held_out("id"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    return _shares(rows, "label", "id", most), counts
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

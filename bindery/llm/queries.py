@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe
+from bindery.llm import bpe, secrets
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6,
+    "op7_secrets": secrets.op7,
 }
 ORACLE_SQL: dict[str, str] = {}
