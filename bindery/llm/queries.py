@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, secrets
+from bindery.llm import bpe, secrets, urls
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
+    "op10_url_filter": urls.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
