@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, secrets, urls
+from bindery.llm import bpe, decontaminate, secrets, urls
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
     "op10_url_filter": urls.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
+}
