@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, decontaminate, secrets, urls
+from bindery.llm import bpe, decontaminate, secrets, simhash, urls
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
+    "op8_simhash": simhash.op8,
     "op10_url_filter": urls.op10,
 }
 ORACLE_SQL: dict[str, str] = {
