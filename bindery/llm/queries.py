@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, decontaminate, secrets, simhash, urls
+from bindery.llm import bpe, decontaminate, lines, secrets, simhash, urls
 
 QUERIES = {
+    "op1_line_dedup": lines.op1,
     "op5_decontaminate": decontaminate.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_url_filter": urls.op10,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
