@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, decontaminate, lines, secrets, simhash, urls, vectors
+from bindery.llm import bpe, decontaminate, langid, lines, secrets, simhash, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
+    "op2_language_id": langid.op2,
     "op3_embedding_dedup": vectors.op3,
     "op5_decontaminate": decontaminate.op5,
     "op6_byte_bpe": bpe.op6,
