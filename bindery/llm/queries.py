@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, decontaminate, langid, lines, secrets, simhash, urls, vectors
+from bindery.llm import bpe, decontaminate, langid, lines, quality, secrets, simhash, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
     "op2_language_id": langid.op2,
     "op3_embedding_dedup": vectors.op3,
+    "op4_quality": quality.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
