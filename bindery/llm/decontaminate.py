@@ -180,9 +180,9 @@ with d as (select doc_id, {_WORDS} as w from documents),
 b as (select item_id, {_WORDS} as w from benchmark where text is not null),
 i as (select item_id, w, least(len(w), 13) as n from b where len(w) > 0),
 win as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as t from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as p from i)),
-at as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as t
+occurs as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as t
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from i) where len(w) >= n)),
-hit as (select doc_id, item_id, p, at.n from at join win using (n, t)),
+hit as (select doc_id, item_id, p, occurs.n from occurs join win using (n, t)),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(p, p + n)) as p from hit) group by doc_id),
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,

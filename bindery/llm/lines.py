@@ -114,15 +114,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = rf"""
-with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as at from documents),
-t as (select doc_id, at, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\x0b\f]+'), x -> x <> ''), x -> case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
-c as (select doc_id, at, w, len(w) as n, {DEPTH} as d from t where len(w) > 0),
-k as (select doc_id, at, n, concat('0 ', n, ' ', array_to_string(w, ' ')) as tpl from c
-  union all select doc_id, at, n, concat(k + 1, ' ', n, ' ', array_to_string(list_concat(list_concat(w[1:d + (n - d) * k // 3], ['<*>']), w[d + (n - d) * (k + 1) // 3 + 1:]), ' ')) from c, (select unnest([0, 1, 2]) as k) where n >= {SHORT}),
+with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+t as (select doc_id, pos, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\x0b\f]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
+c as (select doc_id, pos, w, len(w) as n, {DEPTH} as d from t where len(w) > 0),
+k as (select doc_id, pos, n, concat('0 ', n, ' ', array_to_string(w, ' ')) as tpl from c
+  union all select doc_id, pos, n, concat(k + 1, ' ', n, ' ', array_to_string(list_concat(list_concat(w[1:d + (n - d) * k // 3], ['<*>']), w[d + (n - d) * (k + 1) // 3 + 1:]), ' ')) from c, (select unnest([0, 1, 2]) as k) where n >= {SHORT}),
 r as (select tpl, min(doc_id) as first from k group by tpl having count(distinct doc_id) >= case when any_value(n) >= {SHORT} then {DOCS} else {SHORT_DOCS} end),
-x as (select distinct doc_id, at from k join r using (tpl) where doc_id <> first),
-y as (select doc_id, count(*) as n_dropped, string_agg(cast(at as varchar), ',' order by at) as dropped from x group by doc_id),
-z as (select l.doc_id, string_agg(line, chr(10) order by l.at) as kept from l left join x on l.doc_id = x.doc_id and l.at = x.at where x.at is null group by l.doc_id)
+x as (select distinct doc_id, pos from k join r using (tpl) where doc_id <> first),
+y as (select doc_id, count(*) as n_dropped, string_agg(cast(pos as varchar), ',' order by pos) as dropped from x group by doc_id),
+z as (select l.doc_id, string_agg(line, chr(10) order by l.pos) as kept from l left join x on l.doc_id = x.doc_id and l.pos = x.pos where x.pos is null group by l.doc_id)
 select d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) as bigint) as n_lines, cast(coalesce(n_dropped, 0) as bigint) as n_dropped, coalesce(dropped, '') as dropped, sha256(coalesce(kept, '')) as text_sha256
 from documents d left join y using (doc_id) left join z using (doc_id)
 """
