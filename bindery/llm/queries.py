@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindery.llm import bpe, decontaminate, langid, lines, quality, secrets, simhash, urls, vectors
+from bindery.llm import bpe, decontaminate, langid, lines, quality, secrets, simhash, toxicity, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_secrets": secrets.op7,
     "op8_simhash": simhash.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_url_filter": urls.op10,
 }
 ORACLE_SQL: dict[str, str] = {
