@@ -128,30 +128,44 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_index_bytes: int = MOST_INDEX_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per row of ``docs``: ``id_col``, n_words, spans (merged word spans inside item windows), items (sorted ids as text).
-
-    Null and empty texts have no words, spans or items. Items with a null id or without words are left out; equal item
-    ids count once. An empty benchmark hits nothing; an empty table gives an empty result. Ids of documents may be null
-    or repeated; other columns are ignored. Documents are never shuffled.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, carried: Column, window: int, most_index_bytes: int, text_col: str, item_col: str) -> DataFrame:
+    """(id, text, n_words, spans, items) per row, ``carried`` as id."""
     known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
     parts = max(1, -(-size // most_index_bytes))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(carried.alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
     out = own.select("id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for part in range(parts):
         rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
         items = [(r["item"], ws) for r in rows if (ws := split_words(r["text"]))]
         words = frozenset(w for _, ws in items for w in ws)
-        times = own.mapInArrow(_counter(words), "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")) if words else None
+        times = own.select(F.lit(0), "text").mapInArrow(_counter(words), "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")) if words else None
         ranked = {bytes(r["word"]): r["times"] for r in times.collect()} if words else {}
-        out = out.mapInArrow(_finder(Windows(items, ranked, window)), "id long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+        out = out.mapInArrow(_finder(Windows(items, ranked, window)), f"id {kind}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
         if part < parts - 1:
             out = stage(out, "hits")
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_index_bytes: int = MOST_INDEX_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """Per row of ``docs``: ``id_col``, n_words, spans (merged word spans inside item windows), items (sorted ids as text).
+
+    Null and empty texts have no words, spans or items. Items with a null id or without words are left out; equal item
+    ids count once. An empty benchmark hits nothing; an empty table gives an empty result. Ids of documents may be null
+    or repeated; other columns are ignored. Documents are never shuffled.
+    """
+    out = _scanned(docs, benchmark, F.col(id_col).cast("long"), window, most_index_bytes, text_col, item_col)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_index_bytes: int = MOST_INDEX_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` with all columns, without the rows of which a twentieth of the words or more lies in item windows."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__one"))
+    out = _scanned(docs, benchmark, rest, window, most_index_bytes, text_col, item_col).where(~contaminated())
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"id.`{c}`") for c in docs.columns])
+
+
 def n_hit() -> Column:
     """Number of words inside the spans."""
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s.end - s.start))

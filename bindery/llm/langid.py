@@ -33,6 +33,8 @@ FEATURES = 1 << 13
 #: Labelled texts of each language, about, that the machines learn from.
 SAMPLE_ROWS = 1000
 UNKNOWN = "und"
+#: Score under which a document is rejected; a quarter is what chance gives among two families of two languages.
+LEAST_SCORE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: A-Z lowered, other bytes under 128 that are no letters to blanks.
@@ -196,6 +198,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, without the rows whose language is ``und`` or whose score is under ``least``."""
+    @F.arrow_udf("boolean")
+    def accept(texts: pa.Array) -> pa.Array:
+        out = []
+        for block in text_blocks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"])]):
+            pred, score = model.predict(block.column(1))
+            out += [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
+        return pa.array(out, pa.bool_())
+
+    return docs.where(accept(F.col(text_col).cast("string")))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

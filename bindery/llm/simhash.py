@@ -221,6 +221,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     return own.join(roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, one document of each component: the one with the smallest id.
+
+    Of rows that repeat that id one stays. Rows with a null id cannot be told apart and all stay.
+    """
+    found = near_duplicates(docs, words, radius, id_col, text_col)
+    goes = stage(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct(), "removed")
+    left = docs.join(goes, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    again = stage(docs.groupBy(F.col(id_col).cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated")
+    if again.isEmpty():
+        return left
+    once = left.join(again, F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return left.join(again, F.col(id_col).cast("long") == F.col("__id"), "left_anti").unionByName(once)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
