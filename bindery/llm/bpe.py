@@ -30,7 +30,7 @@ from bindery.llm.common import stage, text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Text bytes of a block: its word list is held by one task.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A vocabulary file over this is refused, as it goes to every task.
 MOST_RANK_BYTES = 64 << 20
 
@@ -94,7 +94,7 @@ def _cutter(buckets: int):
             words.default_factory = count().__next__
             parts.clear()
 
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, 1 << 20):
             texts = batch.column(1).to_pylist()
             seqs = []
             for text in texts:
@@ -146,32 +146,59 @@ def _coder(ranks: dict[bytes, int]):
     return encode_words
 
 
-def _put_together(coded: pa.Table, cut: pa.Table) -> pa.Table:
-    """A block's word rows with ids and its text rows: (id, token_ids) of each text."""
-    heads = [_unpack(h).reshape(2, -1) for h in coded.column("head").to_pylist()]
-    bodies = [_unpack(b) for b in coded.column("body").to_pylist()]
-    none = np.zeros(0, np.uint32)
-    at = np.concatenate([none, *(h[0] for h in heads)])
-    n = np.concatenate([none, *(h[1] for h in heads)]).astype(np.int64)
-    flat = np.concatenate([none, *bodies]).astype(np.int32)
-    starts, lens = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-    starts[at], lens[at] = np.cumsum(n) - n, n
-    out = []
-    for head, body in zip(cut.column("head").to_pylist(), cut.column("body").to_pylist(), strict=True):
-        texts = pa.ipc.open_stream(head).read_all()
-        seq, to = _unpack(body), 0
-        for row in range(0, texts.num_rows, 256):
-            own = texts.slice(row, 256)
-            sizes = own.column(1).to_numpy()
-            part = seq[to : to + sizes.sum()]
-            to += len(part)
-            n = lens[part]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), lists], ["id", "token_ids"]))
-    return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32()))]))
+def _assembler(table: dict[int, bytes] | None):
+    """A block's word rows with ids and its text rows to (id, token_ids) of each text; with a token-byte table, the bytes
+    of each word's ids are joined from it and the texts' bytes follow as ``decoded``."""
+
+    def put_together(coded: pa.Table, cut: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint32)
+        heads = [_unpack(h).reshape(2, -1) for h in coded.column("head").to_pylist()]
+        at = np.concatenate([none, *(h[0] for h in heads)])
+        n = np.concatenate([none, *(h[1] for h in heads)]).astype(np.int64)
+        flat = np.concatenate([none, *(_unpack(b) for b in coded.column("body").to_pylist())]).astype(np.int32)
+        starts, lens = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        starts[at], lens[at] = np.cumsum(n) - n, n
+        words: list[bytes] = []
+        if table is not None:
+            pieces = [table[i] for i in flat.tolist()]
+            words = [b"".join(pieces[a : a + k]) for a, k in zip(starts.tolist(), lens.tolist(), strict=True)]
+            del pieces
+        out = []
+        for head, body in zip(cut.column("head").to_pylist(), cut.column("body").to_pylist(), strict=True):
+            texts = pa.ipc.open_stream(head).read_all()
+            seq, to = _unpack(body), 0
+            for row in range(0, texts.num_rows, 256):
+                own = texts.slice(row, 256)
+                sizes = np.cumsum(own.column(1).to_numpy())
+                part = seq[to : to + sizes[-1]]
+                to += len(part)
+                k = lens[part]
+                ends = np.cumsum(k)
+                ids = flat[np.repeat(starts[part] - ends + k, k) + np.arange(ends[-1] if len(ends) else 0)]
+                cuts = np.concatenate([[0], ends])[np.concatenate([[0], sizes])]
+                columns = [own.column(0).combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))]
+                if table is not None:
+                    said = part.tolist()
+                    bounds = [0, *sizes.tolist()]
+                    columns.append(pa.array([b"".join(map(words.__getitem__, said[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()))
+                out.append(pa.RecordBatch.from_arrays(columns, names))
+        return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())][: len(names)]))
+
+    names = ["id", "token_ids"] + ["decoded"] * (table is not None)
+    return put_together
+
+
+def _run(docs: DataFrame, ranks_path: str | None, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    ranks = read_ranks(ranks_path or public_tokenizers.path(RANKS))
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions()))
+    cut = stage(own.mapInArrow(_cutter(2 * n), _ROWS), "pretokens", bucket=("block", n))
+    words = cut.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_coder(ranks), _ROWS)
+    # the table is bucketed by block: positions stay where they are, only the words' ids come to them
+    put = _assembler({i: b for b, i in ranks.items()} if decoded else None)
+    done = words.groupBy("block").cogroup(cut.where("bucket < 0").groupBy("block")).applyInArrow(put, "id long, token_ids array<int>" + ", decoded binary" * decoded)
+    return done.withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,15 +208,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     ids; repeated rows and ids stay as they are; other columns are ignored; an empty table gives an empty result. A text
     of any length is one row; its word list is part of its block.
     """
-    ranks = read_ranks(ranks_path or public_tokenizers.path(RANKS))
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions()))
-    cut = stage(own.mapInArrow(_cutter(2 * n), _ROWS), "pretokens", bucket=("block", n))
-    words = cut.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_coder(ranks), _ROWS)
-    # the table is bucketed by block: positions stay where they are, only the words' ids come to them
-    done = words.groupBy("block").cogroup(cut.where("bucket < 0").groupBy("block")).applyInArrow(_put_together, "id long, token_ids array<int>")
-    return done.withColumnRenamed("id", id_col)
+    return _run(docs, ranks_path, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with ``decoded`` (binary): the ids' bytes, joined from the token-byte table once for each word of a block."""
+    return _run(docs, ranks_path, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -214,7 +238,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "to
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    coded = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
