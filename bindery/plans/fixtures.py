@@ -64,7 +64,7 @@ def conv_books(spark: SparkSession, d: str) -> DataFrame:
 
 CONV_BOOKS = "conv_books as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn, text) as text from conversations group by conv_id)"
 
-BREAKS = ["\r\n", "\r", "\u0085", " ", " ", "\u000b", "\f"]
+BREAKS = ["\r\n", "\r", "\u0085", "\u2028", "\u2029", "\u000b", "\f"]
 
 
 def mixed_newlines(spark: SparkSession, d: str) -> DataFrame:

@@ -78,11 +78,15 @@ def rtf_text(raw: bytes, codec: str = "cp1251") -> str:
 
 
 def _entries(raw: bytes) -> Iterator[tuple[str, bytes]]:
+    """Entries; those that the package is read from must be well-formed, so no later query meets broken XML."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for info in z.infolist():
             if not info.is_dir():
                 with z.open(info) as f:
-                    yield info.filename, f.read(ENTRY_BYTES)
+                    data = f.read(ENTRY_BYTES)
+                if info.filename.lower().endswith((".opf", "container.xml")):
+                    ET.fromstring(data)
+                yield info.filename, data
 
 
 def _adapter(decoders: dict[str, Decoder]):
@@ -130,9 +134,11 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     html = rows.where("fmt = 'html' and error is null")
     single = html.select("book_id", F.lit(1).alias("page_no"), F.lit("page_001").alias("item_id"), F.lit("page_001.html").alias("href"), html_body(F.col("text")).alias("html"))
     text_of = F.col("content").cast("string")
-    containers = entries.where("lower(entry) = 'meta-inf/container.xml'").select("book_id", text_of.alias("xml"))
+    # filters may be evaluated in any order: only package files ever reach the XML expressions
+    is_container = F.lower("entry") == "meta-inf/container.xml"
+    containers = entries.where(is_container).select("book_id", F.when(is_container, text_of).alias("xml"))
     opf = opf_path(containers)
-    packages = entries.join(opf, (entries["book_id"] == opf["book_id"]) & (entries["entry"] == opf["opf"])).select(entries["book_id"], "opf", text_of.alias("xml"))
+    packages = entries.withColumnRenamed("entry", "opf").join(opf, ["book_id", "opf"]).select("book_id", "opf", F.when(F.lower("opf").endswith(".opf"), text_of).alias("xml"))
     epub, manifest, spine = parse_opf(packages)
     based = manifest.join(epub.select("book_id", "base_path"), "book_id")
     stored = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
