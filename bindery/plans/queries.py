@@ -356,3 +356,22 @@ def g3(s, d):
 @query("g5_chapter_report", with_sql(X.SOURCE_BOOKS, MANIFEST, SPINE_HREFS, select="select book_id, count(*) as chapters from hrefs group by book_id"))
 def g5(s, d):
     return report.chapter_report(c3(s, d), ["book_id"])
+
+
+def files_of(s, d):
+    """Documents as files: text for every format, so archives and XML are broken and must become rejects."""
+    return X.file_paths(s, d).join(X.documents(s, d), "doc_id").select("path", F.col("text").cast("binary").alias("content"))
+
+
+@query("a2_ingest_pages")
+def a2(s, d):
+    from bindery.sources.ingest import ingest
+
+    return ingest(files_of(s, d))["pages"]
+
+
+@query("a2_ingest_rejects")
+def a2_rejects(s, d):
+    from bindery.sources.ingest import ingest
+
+    return ingest(files_of(s, d))["rejects"].withColumn("reason", F.substring_index("reason", ":", 1))

@@ -34,3 +34,14 @@ def test_split_pages_conserves_text(spark):
 def test_index_after_translation_has_translated_snippets(spark):
     rows = entry.queries()["f8_index_after_translation"](spark, SMALL).where("chapters > 1").collect()
     assert rows and all("T:" in r["html"] for r in rows)
+
+
+def test_every_file_is_a_book_or_a_reject(spark):
+    from bindery.plans.queries import files_of
+    from bindery.sources.ingest import ingest
+
+    files = files_of(spark, SMALL).dropDuplicates(["path"])
+    tables = ingest(files)
+    paths = [r.path for r in tables["books"].collect()] + [r.path for r in tables["rejects"].select("path").distinct().collect()]
+    assert sorted(paths) == sorted(r.path for r in files.collect())
+    assert tables["pages"].select("book_id").distinct().count() == tables["books"].count()
