@@ -7,13 +7,13 @@ text's length. Machines are fitted side by side in Spark tasks on a bounded samp
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +33,10 @@ FEATURES = 1 << 13
 #: Labelled texts of each language, about, that the machines learn from.
 SAMPLE_ROWS = 500
 UNKNOWN = "und"
-#: Score under which a document is rejected; a quarter is what chance gives among two families of two languages.
-LEAST_SCORE = 0.3
+#: Score under which a document is rejected: what chance alone gives among two families of two languages.
+LEAST_SCORE = 0.25
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: A-Z lowered, other bytes under 128 that are no letters to blanks.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 _GRAMS = ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D))

@@ -93,7 +93,8 @@ class Network:
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 25, rate: float = 0.01, seed: int = 1) -> Network:
     """Adam over bags of passages, with a small weight decay."""
-    x, n = passages(pa.array(texts, pa.string()))
+    parts = [passages(pa.array(texts[i : i + 64], pa.string())) for i in range(0, len(texts), 64)]
+    x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     r = np.random.default_rng(seed)
     d = x.shape[1]
     shapes = {"W": (d, ENCODED), "b": (ENCODED,), "V": (ENCODED, GATE), "U": (ENCODED, GATE), "w": (GATE,), "c": (ENCODED,), "c0": ()}
