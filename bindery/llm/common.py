@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ def scratch(spark: SparkSession) -> str:
 
     Only where the session names none (local tests) is one made on this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="bindery-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
     return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def stage(df: DataFrame, name: str, bucket: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
