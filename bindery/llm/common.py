@@ -111,8 +111,8 @@ def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tup
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (node, root), root the smallest node reached.
 
-    Alternating large-star and small-star steps on (high, low) edges, each round a written table; hubs are grouped by a
-    minimum that combines before the shuffle, and joins meet a hub's edges with its one row, so AQE can split them.
+    Alternating large-star and small-star steps on (high, low) edges. Minima combine before their shuffle and are written,
+    so that a join meets a hub's many edges with its one row straight from two exchanges, which AQE can split.
     Nodes without edges have no row. Loops and repeated edges are ignored.
     """
     def sides(df: DataFrame, u: str, v: str) -> DataFrame:
@@ -128,10 +128,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if not before[0]:
             break
         both = sides(now, "high", "low").unionByName(sides(now, "low", "high"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).where("high <> low").distinct()
         large = stage(large, "large")
-        low = large.groupBy("high").agg(F.min("low").alias("m"))
+        low = stage(large.groupBy("high").agg(F.min("low").alias("m")), "low")
         small = large.join(low, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
         now = stage(small.unionByName(low.select("high", F.col("m").alias("low"))).distinct(), "small")
         after = mark(now)
