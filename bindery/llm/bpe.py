@@ -30,7 +30,7 @@ from bindery.llm.common import stage, text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Text bytes of a block: its word list is held by one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: A vocabulary file over this is refused, as it goes to every task.
 MOST_RANK_BYTES = 64 << 20
 
@@ -62,9 +62,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "head", "body"])
 
 
+def _by_times(times: np.ndarray) -> np.ndarray:
+    """Word numbers from the most frequent on. Positions hold ranks in this order: small numbers, which pack well, and the
+    order follows from the counts, so it need not travel."""
+    return np.argsort(-times.astype(np.int64), kind="stable")
+
+
 def _cutter(buckets: int):
-    """(id, text) rows to a block's rows: for each word bucket its word numbers and words; in bucket -1, by parts of the
-    block, the ids of the texts with their numbers of words, and the words' numbers by position."""
+    """(id, text) rows to a block's rows: for each word bucket how often its words occur, and the words; in bucket -1, by
+    parts of the block, the ids of the texts with their numbers of words, and the words' ranks by position."""
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(public_tokenizers.PATTERN).findall
@@ -74,21 +80,20 @@ def _cutter(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = uuid.uuid4().int >> 65
+            raw = [w.encode() for w in words]
+            to = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in raw], np.int64)
+            by = np.argsort(to, kind="stable")  # words are numbered by bucket; how often each occurs goes with them
             times = sum((np.bincount(seq, minlength=len(words)) for _, _, seq in parts), np.zeros(len(words), np.int64))
-            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words))
+            rank[by[_by_times(times[by])]] = np.arange(len(words))
             for ids, n, seq in parts:
                 yield _batch([(block, -1, _heads(ids, n), _pack(rank[seq]))])
-            raw = [w.encode() for w in words]
-            to = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in raw], np.int64)
-            by = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[by], np.arange(buckets + 1))
             z = zstandard.ZstdCompressor(level=1)
             for b in range(buckets):
                 if (at := by[ends[b] : ends[b + 1]]).size:
                     own = [raw[i] for i in at]
-                    head = _pack(np.concatenate([rank[at], np.array([len(w) for w in own], np.uint32)]))
+                    head = _pack(np.concatenate([times[at].astype(np.uint32), np.array([len(w) for w in own], np.uint32)]))
                     yield _batch([(block, b, head, z.compress(b"".join(own)))])
             words.clear()
             words.default_factory = count().__next__
@@ -120,7 +125,7 @@ def _heads(ids: pa.Array, n: list[int]) -> bytes:
 
 
 def _coder(ranks: dict[bytes, int]):
-    """A bucket's rows, words replaced by the ids: the head gets the word numbers and id counts, the body the ids."""
+    """A bucket's rows, words replaced by the ids: the head keeps the words' counts and gets their numbers of ids."""
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -152,12 +157,13 @@ def _assembler(table: dict[int, bytes] | None):
 
     def put_together(coded: pa.Table, cut: pa.Table) -> pa.Table:
         none = np.zeros(0, np.uint32)
-        heads = [_unpack(h).reshape(2, -1) for h in coded.column("head").to_pylist()]
-        at = np.concatenate([none, *(h[0] for h in heads)])
+        rows = sorted(zip(*(coded.column(c).to_pylist() for c in ("bucket", "head", "body")), strict=True))
+        heads = [_unpack(h).reshape(2, -1) for _, h, _ in rows]
+        order = _by_times(np.concatenate([none, *(h[0] for h in heads)]))
         n = np.concatenate([none, *(h[1] for h in heads)]).astype(np.int64)
-        flat = np.concatenate([none, *(_unpack(b) for b in coded.column("body").to_pylist())]).astype(np.int32)
-        starts, lens = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-        starts[at], lens[at] = np.cumsum(n) - n, n
+        flat = np.concatenate([none, *(_unpack(b) for _, _, b in rows)]).astype(np.int32)
+        starts, lens = (np.cumsum(n) - n)[order], n[order]
+        del rows, heads
         words: list[bytes] = []
         if table is not None:
             pieces = [table[i] for i in flat.tolist()]
