@@ -22,18 +22,24 @@ def paragraph_array(text: Column, mode: str = "adaptive") -> Column:
     return F.filter(plain, lambda p: p != "")
 
 
-def paragraphs(df: DataFrame, key: list[str], text: str = "text", mode: str = "adaptive") -> DataFrame:
-    """(key, seq from 0, text) per paragraph."""
-    return df.select(*key, F.posexplode(paragraph_array(F.col(text), mode)).alias("seq", "text"))
+def paragraphs(df: DataFrame, key: list[str], text: str = "text", mode: str = "adaptive", counted: bool = False) -> DataFrame:
+    """(key, seq from 0, text) per paragraph; with ``counted`` also n_paragraphs of its text."""
+    split = df.select(*key, paragraph_array(F.col(text), mode).alias("__ps"))
+    return split.select(*key, *[F.size("__ps").alias("n_paragraphs")] * counted, F.posexplode("__ps").alias("seq", "text"))
 
 
 def paginate(paras: DataFrame, key: list[str], n: int = PAGE_PARAGRAPHS) -> DataFrame:
-    """Adds page_no, total_pages, item_id and href: ``n`` paragraphs a page."""
-    page = (F.floor(F.col("seq") / n) + 1).cast("int")
-    total = paras.groupBy(*key).agg((F.floor(F.max("seq") / n) + 1).cast("int").alias("total_pages"))
-    out = paras.withColumn("page_no", page).join(total, key)
+    """Adds page_no, total_pages, item_id and href: ``n`` paragraphs a page.
+
+    Counted paragraphs need no shuffle; of others the last one is looked for in a window over the key.
+    """
+    if "n_paragraphs" in paras.columns:
+        count, out = F.col("n_paragraphs"), paras
+    else:
+        count, out = F.col("__n"), paras.withColumn("__n", F.max("seq").over(Window.partitionBy(*key)) + 1)
     item = F.format_string("page_%03d", "page_no")
-    return out.withColumn("item_id", item).withColumn("href", F.concat(item, F.lit(".html")))
+    out = out.withColumns({"page_no": (F.floor(F.col("seq") / n) + 1).cast("int"), "total_pages": F.ceil(count / n).cast("int")})
+    return out.withColumn("item_id", item).withColumn("href", F.concat(item, F.lit(".html"))).drop("__n", "n_paragraphs")
 
 
 #: What pages of each style start with, by style.

@@ -108,7 +108,7 @@ PAGED = "paged as (select doc_id, seq, text, seq // 30 + 1 as page_no, max(seq /
 
 @query("b4_paginate", with_sql(PARAS, PAGED, select="select doc_id, seq, text, cast(page_no as int) as page_no, cast(total_pages as int) as total_pages, format('page_{:03d}', page_no) as item_id, format('page_{:03d}.html', page_no) as href from paged"))
 def b4(s, d):
-    return paragraphs.paginate(paragraphs.paragraphs(X.documents(s, d), ["doc_id"]), ["doc_id"])
+    return paragraphs.paginate(paragraphs.paragraphs(X.documents(s, d), ["doc_id"], counted=True), ["doc_id"])
 
 
 @query("b5_html_escape", f"select page_id, {escape('html')} as html from pages")
@@ -125,7 +125,7 @@ RENDER = "||".join([q(paragraphs._START + "  <title>"), "t", q(" — Page "), "p
 
 @query("b6_render_pages", with_sql(PARAS, PAGED, select=f"select doc_id, page_no, total_pages, item_id, href, {RENDER} as html from (select doc_id, cast(page_no as int) as page_no, cast(total_pages as int) as total_pages, format('page_{{:03d}}', page_no) as item_id, format('page_{{:03d}}.html', page_no) as href, 'Doc <' || doc_id || '>' as t0, {escape(q('Doc <') + ' || doc_id || ' + q('>'))} as t, string_agg('  <p>' || {escape('text')} || '</p>' || chr(10), '' order by seq) as body from paged group by all)"))
 def b6(s, d):
-    paged = paragraphs.paginate(paragraphs.paragraphs(X.documents(s, d), ["doc_id"]), ["doc_id"])
+    paged = paragraphs.paginate(paragraphs.paragraphs(X.documents(s, d), ["doc_id"], counted=True), ["doc_id"])
     return paragraphs.render_pages(paged, ["doc_id"], F.concat(F.lit("Doc <"), F.col("doc_id").cast("string"), F.lit(">")))
 
 

@@ -129,7 +129,7 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     rows = with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), schema)
     entries = safe_entries(rows.where("entry is not null and error is null").select("book_id", "path", "entry", "content"))
     texts = rows.where("fmt in ('txt', 'fb2', 'rtf') and error is null")
-    paged = paginate(paragraphs(texts.select("book_id", book_title(F.col("title"), F.col("path")).alias("title"), "text", "fmt"), ["book_id", "title", "fmt"]), ["book_id", "title", "fmt"])
+    paged = paginate(paragraphs(texts.select("book_id", book_title(F.col("title"), F.col("path")).alias("title"), "text", "fmt"), ["book_id", "title", "fmt"], counted=True), ["book_id", "title", "fmt"])
     plain = render_pages(paged, ["book_id", "title"], F.col("title")).select(*PAGE_SCHEMA)
     html = rows.where("fmt = 'html' and error is null")
     single = html.select("book_id", F.lit(1).alias("page_no"), F.lit("page_001").alias("item_id"), F.lit("page_001.html").alias("href"), html_body(F.col("text")).alias("html"))

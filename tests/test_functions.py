@@ -64,8 +64,9 @@ def test_paragraphs(spark):
 
 def test_thirty_five_paragraphs_are_two_pages(spark):
     df = spark.createDataFrame([(1, "\n".join(f"p{i}" for i in range(35)))], "id int, text string")
-    got = paragraphs.paginate(paragraphs.paragraphs(df, ["id"]), ["id"]).groupBy("page_no").count().orderBy("page_no").collect()
-    assert [tuple(r) for r in got] == [(1, 30), (2, 5)]
+    for counted in (False, True):
+        got = paragraphs.paginate(paragraphs.paragraphs(df, ["id"], counted=counted), ["id"]).groupBy("page_no", "total_pages").count().orderBy("page_no").collect()
+        assert [tuple(r) for r in got] == [(1, 2, 30), (2, 2, 5)]
 
 
 @pytest.mark.parametrize(("sizes", "groups"), [([0, 12, 5, 5, 3], [0, 1, 2, 2, 3]), ([5, 5, 3, 3], [0, 0, 1, 1]), ([], []), ([20, 20], [0, 1]), ([0, 0, 11], [0, 0, 1])])
