@@ -26,15 +26,17 @@ from bindery.llm.common import held_out, sampled_labels, text_blocks
 
 #: Labelled texts of each label value, about, that are learned from.
 SAMPLE_ROWS = 2000
-#: Bytes of a window, up to the end of its last word; dictionary sizes; size of the match tables.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, HASH_LOG = 96, 32 << 10, 1 << 10, 17
+#: Bytes of windows, up to the end of the last word: each text is cut in both ways.
+WINDOWS = (96, 128)
+#: Dictionary sizes; size of the match tables.
+ORDINARY_BYTES, TOXIC_BYTES, HASH_LOG = 32 << 10, 1 << 10, 17
 #: A word is particular to toxic text from this many documents, standard deviations (and half the most that any word
 #: has) and times its ordinary rate on.
 LEAST_DOCS, DEVIATIONS, TIMES = 4, 4.0, 5.0
 #: Bytes that a window must gain to count, and sums of such gains at which the chance may change.
-LEAST_GAIN, STEPS = 2, (0, 1, 2, 3, 4, 6, 9, 15)
+LEAST_GAIN, STEPS = 1, (0, 1, 2, 3, 4, 5, 6, 8, 12, 20)
 
-_WINDOW = re.compile(rb"[\s\S]{1,%d}[^\s]*" % WINDOW)
+_CUTS = tuple(re.compile(rb"[\s\S]{1,%d}[^\s]*" % n) for n in WINDOWS)
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -115,10 +117,10 @@ class Model:
         return self.__dict__ | {"_both": None}
 
     def gains(self, texts: list[str | None]) -> np.ndarray:
-        """Summed gains of the windows of each text."""
+        """Summed gains of all windows of each text."""
         if self._both is None:
             self._both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        cut = [_WINDOW.findall(_fold(t)) for t in texts]
+        cut = [[w for c in _CUTS for w in c.findall(folded)] for folded in map(_fold, texts)]
         windows = [w for ws in cut for w in ws]
         sums = np.zeros(len(texts))
         if not windows or not self.toxic:
@@ -141,7 +143,7 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Model:
         half[np.flatnonzero(y == v)[::2]] = True
     toxic = _distinct([t for t, v, h in zip(folded, y, half, strict=True) if v == 1 and h])
     ordinary = _distinct([t for t, v, h in zip(folded, y, half, strict=True) if v == 0 and h])
-    windows = [w for t in ordinary for w in _WINDOW.findall(t)]
+    windows = [w for t in ordinary for w in _CUTS[0].findall(t)]
     words = _particular(toxic, ordinary) if toxic else set()
     samples = [b" " + b" ".join(own) + b" " for t in toxic if (own := [w for w in _WORD.findall(t) if w in words])]
     model = Model(_train(windows[:: max(1, len(windows) // 20_000)], ORDINARY_BYTES), _train(samples, TOXIC_BYTES) if samples else b"", [])
