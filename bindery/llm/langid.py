@@ -3,6 +3,9 @@
 A first level of linear support vector machines tells language families apart, one against one; within a family,
 one-versus-one machines separate its languages. Features are hashed letter n-grams of one to three bytes, relative to the
 text's length. Machines are fitted side by side in Spark tasks on a bounded sample and applied in one pass over the texts.
+
+Machines always name a winner, however foreign the text. What is rejected is told by ``Habits``: how likely a text's
+trigrams are in the language that won, against limits calibrated on labelled documents.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ FEATURES = 1 << 13
 #: Labelled texts of each language, about, that the machines learn from.
 SAMPLE_ROWS = 500
 UNKNOWN = "und"
-#: Score under which a document is rejected: what chance alone gives among two families of two languages.
+#: Score under which a document is rejected whatever its trigrams; no winner of one machine a level is under it.
 LEAST_SCORE = 0.25
+#: Quantile of a language's own documents that its limit starts from; standard errors that short texts have to spare.
+LOW, ERRORS = 0.01, 3.0
 
 _LETTER = regex.compile(r"\p{L}")
 #: A-Z lowered, other bytes under 128 that are no letters to blanks.
@@ -184,6 +189,68 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
     return Model(langs, machines, np.stack([got[j][0] for j in range(len(machines))], 1), np.array([got[j][1] for j in range(len(machines))]))
 
 
+def _trigrams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the trigrams that aren't blank, in runs of bounded size."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    for at in range(0, max(1, len(raw) - 2), 1 << 20):
+        run = raw[at : at + (1 << 20) + 2]
+        if len(run) > 2:
+            said = _FOLD[run] != 32
+            yield _hashes(run)[2][1][said[:-2] | said[1:-1] | said[2:]]
+
+
+class Habits:
+    """Per language the log chance of each trigram, and the least mean of it that a text of the language has."""
+
+    def __init__(self, langs: list[str], logs: np.ndarray, least: np.ndarray, error: np.ndarray):
+        self.langs, self.logs, self.least, self.error = {x: j for j, x in enumerate(langs)}, logs, least, error
+
+    def fits(self, text: str, lang: str) -> bool:
+        """The text's trigrams are as likely as the language's own; too few to tell count as likely."""
+        j = self.langs[lang]
+        n, total = 0, 0.0
+        for at in _trigrams(text):
+            n, total = n + len(at), total + float(self.logs[j][at].sum(dtype=np.float64))
+        return not n or total / n >= self.least[j] - ERRORS * self.error[j] / np.sqrt(n)
+
+
+def _habits(model: Model):
+    """All sampled rows of a language to its row of ``Habits``.
+
+    Half of the rows give the chances. The other half, where the machines name them right, says how likely own text is, and
+    the same text with its letters in random order how likely junk is; the limit lies midway.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "text"])
+        lang, texts = rows["label"].iloc[0], rows["text"].tolist()
+        learn, judge = (texts[::2], texts[1::2]) if len(texts) >= 4 else (texts, texts)
+        counts = np.full(FEATURES, 0.5)
+        for text in learn:
+            for at in _trigrams(text):
+                counts += np.bincount(at, minlength=FEATURES)
+        logs = np.log(counts / counts.sum())
+        likely = lambda text: np.concatenate([logs[at] for at in _trigrams(text)] or [np.zeros(0)])
+        right = [t for t in judge if model.predict(pa.array([t], pa.string()))[0][0] == lang]
+        own = [x for t in right if len(x := likely(t))]
+        order = np.random.default_rng(5)
+        junk = [x for t in right if len(x := likely("".join(order.permutation(list(t[:4000])))))]
+        # without a text to judge by: what random trigrams give
+        high = np.quantile([x.mean() for x in own], LOW) if own else logs.mean()
+        low = np.median([x.mean() for x in junk]) if junk else logs.mean()
+        error = np.median([x.std() for x in own]) if own else logs.std()
+        return pd.DataFrame({"lang": [lang], "logs": [logs.astype(np.float32).tobytes()], "least": [(high + low) / 2], "error": [error]})
+
+    return run
+
+
+def calibrate(docs: DataFrame, model: Model, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Habits:
+    """``Habits`` of the model's languages from about ``sample_rows`` texts of each; held-out rows are never seen."""
+    sample = labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
+    got = sample.groupBy("label").applyInPandas(_habits(model), "lang string, logs binary, least double, error double").collect()
+    logs = np.stack([np.frombuffer(r["logs"], np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
+    return Habits([r["lang"] for r in got], logs, np.array([r["least"] for r in got]), np.array([r["error"] for r in got]))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id_col``, lang_pred and score (0 to 1).
 
@@ -199,14 +266,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, without the rows whose language is ``und`` or whose score is under ``least``."""
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text", habits: Habits | None = None) -> DataFrame:
+    """``docs`` with all columns, without the rows whose language is ``und`` or whose score is under ``least``.
+
+    With ``habits`` texts go too that read unlike the language that won: junk, foreign text, texts largely of either.
+    """
     @F.arrow_udf("boolean")
     def accept(texts: pa.Array) -> pa.Array:
         out = []
         for block in text_blocks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"])]):
             pred, score = model.predict(block.column(1))
-            out += [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
+            ok = [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
+            out += [k and (habits is None or habits.fits(t.as_py(), p)) for k, t, p in zip(ok, block.column(1), pred, strict=True)]
         return pa.array(out, pa.bool_())
 
     return docs.where(accept(F.col(text_col).cast("string")))

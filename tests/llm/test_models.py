@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.llm import langid, quality, toxicity, urls
+from bindery.llm import common, langid, quality, toxicity, urls
 
 TABLE = "/root/testdata/sf0.01"
 ROWS = [(1, "the of and to", "en"), (None, "null id", "en"), (2, None, "de"), (3, "", "de"), (4, "12 34 !?", "de"), (4, "12 34 !?", "de"), (5, "word " * 40_000, None)]
@@ -45,6 +45,20 @@ def test_language_odd(spark, odd):
     assert {r.lang_pred for r in langid.predict(docs.limit(5), one).collect()} == {"fr"}
 
 
+def test_language_rejection(spark):
+    """Junk and foreign text go, nearly all labelled documents that no model has seen stay, and so do short ones."""
+    docs = spark.read.parquet(f"{TABLE}/documents.parquet")
+    model = langid.fit(docs)
+    habits = langid.calibrate(docs, model)
+    junk = ["xqzkj vbnmw qwrtp zxcvb plkjh fghjk mnbvc " * 5, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由在尊严和权利上一律平等" * 5, "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. " * 3, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 3, "TWFuIGlzIGRpc3Rpbmd1aXNoZWQsIG5vdCBvbmx5IGJ5IGhpcyByZWFzb24sIGJ1dCBieSB0aGlz" * 3, "qx" * (1 << 20)]
+    rows = spark.createDataFrame([*enumerate(junk), (50, "the of and to"), (51, "a"), (52, "de la"), (53, "12")], "doc_id long, text string")
+    assert {r.doc_id for r in langid.accepted(rows, model, habits=habits).collect()} == {50, 51, 52}
+    unseen = docs.where(common.held_out())
+    assert langid.accepted(unseen, model, habits=habits).count() >= 0.99 * unseen.count()
+    one = langid.fit(docs.where("lang = 'fr'"))
+    assert langid.accepted(rows.where("doc_id < 50"), one, habits=langid.calibrate(docs.where("lang = 'fr'"), one)).count() == 0
+
+
 def test_three_languages_of_one_family(spark):
     docs = spark.read.parquet(f"{TABLE}/documents.parquet").withColumn("lang", F.when(F.col("lang") == "en", "it").otherwise(F.col("lang")))
     got = langid.predict(docs, langid.fit(docs)).join(docs, "doc_id")
