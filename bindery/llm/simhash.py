@@ -64,15 +64,19 @@ def _fingerprint(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 1 << 20):
             fp = fingerprints_of(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     return run
 
 
-def fingerprint(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) per row. Null, empty and blank texts have fingerprint zero; fewer words than ``words`` are one shingle."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_fingerprint(words), "id long, fp long")
+def fingerprint(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """(id, fp long) per row. Null, empty and blank texts have fingerprint zero; fewer words than ``words`` are one shingle.
+
+    With ``mark`` the hash of the text follows.
+    """
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.xxhash64(text).alias("mark")] * mark)
+    return own.mapInArrow(_fingerprint(words), "id long, fp long" + ", mark long" * mark)
 
 
 def tables(n: int, radius: int = RADIUS) -> list[int]:
@@ -205,6 +209,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
     return units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_compare(radius), "a long, b long")
 
 
+def _leaders(nodes: DataFrame, radius: int) -> DataFrame:
+    """(fp, leader): the least leader over all ``nodes`` (fp long, distinct; leader, may be null) that links reach.
+
+    Links join fingerprints, not ids: an id that stands for two texts links neither.
+    """
+    found = components(links(nodes.select("fp", F.col("fp").alias("id")), radius))
+    rooted = stage(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "leader", "root"), "rooted")
+    least = stage(rooted.where("root is not null").groupBy("root").agg(F.min("leader").alias("leader")), "leaders")
+    linked = rooted.where("root is not null").select("fp", "root").join(least, "root").select("fp", "leader")
+    return stage(linked.unionByName(rooted.where("root is null").select("fp", "leader")), "led")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id_col``, fp (long) and component_id, the smallest id reachable over links.
 
@@ -213,27 +229,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     component_id. Ids may repeat; other columns are ignored; an empty table gives an empty result.
     """
     own = stage(fingerprint(docs, words, id_col, text_col), "fingerprints")
-    nodes = stage(own.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    found = components(links(nodes.where("id is not null"), radius))
-    # one id can stand for several fingerprints where rows repeat it: join by id, then take the smallest
-    roots = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    roots = stage(roots, "roots")
-    return own.join(roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    led = _leaders(stage(own.groupBy("fp").agg(F.min("id").alias("leader")), "nodes"), radius)
+    return own.join(led, "fp").select(F.col("id").alias(id_col), "fp", F.col("leader").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, one document of each component: the one with the smallest id.
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", keep_null_ids: bool = True) -> DataFrame:
+    """``docs`` with all columns, one row of each component: the one with the smallest id, then the smallest text hash.
 
-    Of rows that repeat that id one stays. Rows with a null id cannot be told apart and all stay.
+    A document is an id and its text, so an id that repeats with another text stands for two. Rows with a null id all
+    stay, unless ``keep_null_ids`` is false: then they are documents like others, after those with an id.
     """
-    found = near_duplicates(docs, words, radius, id_col, text_col)
-    goes = stage(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct(), "removed")
-    left = docs.join(goes, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    again = stage(docs.groupBy(F.col(id_col).cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated")
+    own = stage(fingerprint(docs, words, id_col, text_col, mark=True), "fingerprints")
+    counted = F.lit(not keep_null_ids) | F.col("id").isNotNull()
+    first = F.min(F.when(counted, F.struct(F.col("id").isNull().alias("none"), "id", "mark")))
+    led = _leaders(stage(own.groupBy("fp").agg(first.alias("leader")), "nodes"), radius)
+    stays = F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("mark") == F.col("leader.mark"))
+    goes = stage(own.where(counted).join(led, "fp").where(~stays).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "removed")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__mark"))
+    left = docs.join(goes, same, "left_anti")
+    again = stage(own.where(counted).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
         return left
-    once = left.join(again, F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, F.col(id_col).cast("long") == F.col("__id"), "left_anti").unionByName(once)
+    once = left.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, same, "left_anti").unionByName(once)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

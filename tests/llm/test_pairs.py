@@ -122,6 +122,18 @@ def test_simhash_odd_rows(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """One row of each group stays: where an id stands for two texts, where rows repeat, and where ids are null."""
+    x, y, z, w = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyzw")
+    rows = [(1, x), (5, x), (5, y), (7, y), (8, z), (8, w), (8, w), (None, x), (None, "null " + y), (None, "null " + y), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df, keep_null_ids=False, radius=0).collect()), key=str)
+    assert got == sorted([(1, x), (5, y), (8, z), (8, w), (None, "null " + y), (None, None)], key=str)
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df, radius=0).where("doc_id is not null").collect()) == sorted([(1, x), (5, y), (8, z), (8, w)])
+    roots = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).where("doc_id in (1, 7)").collect()}
+    assert roots == {(1, 1), (7, 5)}
+
+
 def links_by_hand(rows, t=0.98):
     ok = [(i, v, lab) for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     pairs = []
