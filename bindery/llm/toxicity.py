@@ -26,8 +26,9 @@ from bindery.llm.common import held_out, sampled_labels, text_blocks
 
 #: Labelled texts of each label value, about, that are learned from.
 SAMPLE_ROWS = 2000
-#: Bytes of windows, up to the end of the last word: each text is cut in both ways.
-WINDOWS = (96, 128)
+#: Bytes of windows, up to the end of the last word or so many bytes more: each text is cut in both ways. After a cut
+#: within a word the next window starts some bytes before it.
+WINDOWS, MORE, OVERLAP = (96, 128), 64, 48
 #: Dictionary sizes; size of the match tables.
 ORDINARY_BYTES, TOXIC_BYTES, HASH_LOG = 32 << 10, 1 << 10, 17
 #: A word is particular to toxic text from this many documents, standard deviations (and half the most that any word
@@ -36,7 +37,7 @@ LEAST_DOCS, DEVIATIONS, TIMES = 4, 4.0, 5.0
 #: Bytes that a window must gain to count, and sums of such gains at which the chance may change.
 LEAST_GAIN, STEPS = 1, (0, 1, 2, 3, 4, 5, 6, 8, 12, 20)
 
-_CUTS = tuple(re.compile(rb"[\s\S]{1,%d}[^\s]*" % n) for n in WINDOWS)
+_CUTS = tuple(re.compile(rb"[\s\S]{1,%d}[^\s]{0,%d}" % (n, MORE)) for n in WINDOWS)
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -45,6 +46,17 @@ def _fold(text: str | None) -> bytes:
     return b" " + text.encode("utf-8", "surrogatepass").translate(_LOWER) if text else b""
 
 
+def _windows(folded: bytes, cut: re.Pattern[bytes]) -> list[bytes]:
+    """Windows of bounded size; words of up to OVERLAP bytes at a cut stand whole in one of two."""
+    out, at = [], 0
+    while m := cut.match(folded, at):
+        out.append(m[0])
+        at = m.end()
+        if at < len(folded) and not folded[at : at + 1].isspace():
+            at -= OVERLAP
+    return out
+
+
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     # tables with room for every position of the dictionaries: what one adds never hides matches of the other
     how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=HASH_LOG, chain_log=HASH_LOG, search_log=5, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -107,32 +119,45 @@ def _particular(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
 
 
 class Model:
-    """Both dictionaries and the chance at each step of the summed gains."""
+    """Both dictionaries, the chance at each step of the summed gains, and what ordinary windows gain.
+
+    ``usual`` is a number of windows that the chances are calibrated for, and the mean and variance of an ordinary window's
+    gain; what windows over that number are to gain by length alone is no sign.
+    """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, chance: list[float]):
-        self.ordinary, self.toxic, self.chance = ordinary, toxic, chance
+    def __init__(self, ordinary: bytes, toxic: bytes, chance: list[float], usual: tuple[float, float, float] = (np.inf, 0.0, 0.0)):
+        self.ordinary, self.toxic, self.chance, self.usual = ordinary, toxic, chance, usual
         self._both: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_both": None}
 
-    def gains(self, texts: list[str | None]) -> np.ndarray:
-        """Summed gains of all windows of each text."""
+    def gains(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: summed gains of all windows, their squares' sum, number of windows."""
         if self._both is None:
             self._both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        cut = [[w for c in _CUTS for w in c.findall(folded)] for folded in map(_fold, texts)]
-        windows = [w for ws in cut for w in ws]
-        sums = np.zeros(len(texts))
+        cut = [[w for c in _CUTS for w in _windows(folded, c)] for folded in map(_fold, texts)]
+        windows, count = [w for ws in cut for w in ws], np.array([len(ws) for ws in cut], np.int64)
+        sums, squares = np.zeros(len(texts)), np.zeros(len(texts))
         if not windows or not self.toxic:
-            return sums
+            return sums, squares, count
         plain, both = ([len(x) for x in c.multi_compress_to_buffer(windows, threads=1)] for c in self._both)
         gain = np.array(plain) - np.array(both)
-        at = np.repeat(np.arange(len(texts)), [len(ws) for ws in cut])
-        np.add.at(sums, at, np.where(gain >= LEAST_GAIN, gain - LEAST_GAIN + 1, 0))
-        return sums
+        gain = np.where(gain >= LEAST_GAIN, gain - LEAST_GAIN + 1, 0)
+        at = np.repeat(np.arange(len(texts)), count)
+        np.add.at(sums, at, gain)
+        np.add.at(squares, at, gain**2)
+        return sums, squares, count
+
+    def steps(self, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The step of each text's gains, without what its length alone explains."""
+        most, mean, variance = self.usual
+        over = np.maximum(count - most, 0)
+        return np.searchsorted(np.array(STEPS), np.maximum(sums - np.floor(mean * over + 3 * np.sqrt(variance * over)), 0), side="right") - 1
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return np.array(self.chance)[np.searchsorted(np.array(STEPS), self.gains(texts), side="right") - 1]
+        sums, _, count = self.gains(texts)
+        return np.array(self.chance)[self.steps(sums, count)]
 
 
 def train(texts: list[str], y: np.ndarray, prior: float) -> Model:
@@ -143,12 +168,12 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Model:
         half[np.flatnonzero(y == v)[::2]] = True
     toxic = _distinct([t for t, v, h in zip(folded, y, half, strict=True) if v == 1 and h])
     ordinary = _distinct([t for t, v, h in zip(folded, y, half, strict=True) if v == 0 and h])
-    windows = [w for t in ordinary for w in _CUTS[0].findall(t)]
+    windows = [w for t in ordinary for w in _windows(t, _CUTS[0])]
     words = _particular(toxic, ordinary) if toxic else set()
     samples = [b" " + b" ".join(own) + b" " for t in toxic if (own := [w for w in _WORD.findall(t) if w in words])]
     model = Model(_train(windows[:: max(1, len(windows) // 20_000)], ORDINARY_BYTES), _train(samples, TOXIC_BYTES) if samples else b"", [])
-    sums, labels = model.gains([t for t, h in zip(texts, half, strict=True) if not h]), y[~half]
-    step = np.searchsorted(np.array(STEPS), sums, side="right") - 1
+    (sums, squares, count), labels = model.gains([t for t, h in zip(texts, half, strict=True) if not h]), y[~half]
+    step = model.steps(sums, count)
     weight = np.where(labels == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum())) * len(labels)
     total, ones = np.bincount(step, weight, len(STEPS)), np.bincount(step, weight * labels, len(STEPS))
     # each step starts from the chance of the ones below, and the chance never falls
@@ -158,6 +183,12 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Model:
         least = max(least, float((k + before) / (n + 1)))
         chance.append(min(1.0, least))
     model.chance = chance
+    # ordinary windows: of texts that label and chance both call so
+    plain = (labels == 0) & (np.array(chance)[step] < 0.5)
+    n = count[plain].sum()
+    if n:
+        mean = sums[plain].sum() / n
+        model.usual = (float(np.quantile(count, 0.9)), float(mean), float(max(0.0, squares[plain].sum() / n - mean**2)))
     return model
 
 
@@ -175,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
         rows = rows.sort_values(["id", "text"])
         m = train(rows["text"].tolist(), rows["label"].to_numpy(), prior)
         out = io.BytesIO()
-        np.savez(out, ordinary=np.frombuffer(m.ordinary, np.uint8), toxic=np.frombuffer(m.toxic, np.uint8), chance=np.array(m.chance))
+        np.savez(out, ordinary=np.frombuffer(m.ordinary, np.uint8), toxic=np.frombuffer(m.toxic, np.uint8), chance=np.array(m.chance), usual=np.array(m.usual))
         return pd.DataFrame({"model": [out.getvalue()]})
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
@@ -183,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     if not got:
         return None
     parts = np.load(io.BytesIO(got[0]["model"]))
-    return Model(parts["ordinary"].tobytes(), parts["toxic"].tobytes(), parts["chance"].tolist())
+    return Model(parts["ordinary"].tobytes(), parts["toxic"].tobytes(), parts["chance"].tolist(), tuple(parts["usual"].tolist()))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

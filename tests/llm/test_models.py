@@ -95,6 +95,23 @@ def test_scores_of_odd_rows(spark, odd, module):
     assert module.score(odd, None).count() == len(ROWS)
 
 
+def test_toxicity_of_long_texts(spark):
+    """Toxic words at the end of a long run without blanks are seen; length alone, with or without blanks, is no sign."""
+    docs, labels = spark.read.parquet(f"{TABLE}/documents.parquet"), spark.read.parquet(f"{TABLE}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    known = docs.join(labels, "doc_id").orderBy("doc_id").collect()
+    sums = model.gains([r.text for r in known])[0]
+    clean = " ".join(r.text for r, s in zip(known, sums, strict=True) if r.toxic == 0 and s <= 1)
+    run = "_".join((clean * (1 + 300_000 // len(clean))).split())[:300_000]
+    toxic = "_" + "_".join(known[int(sums.argmax())].text.split())
+    assert max(len(w) for c in toxicity._CUTS for w in toxicity._windows(run.encode(), c)) <= max(toxicity.WINDOWS) + toxicity.MORE
+    a, b = model.gains([run + toxic, run])[0]
+    assert a >= b + 20
+    spaced = clean * (1 + 1_000_000 // len(clean))
+    assert (model.score([run, spaced]) < 0.5).all()
+    assert (model.score([run + toxic, toxic, toxic.replace("_", " ")]) > 0.5).all()
+
+
 def test_attention_gradients():
     import numpy as np
 
