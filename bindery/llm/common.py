@@ -56,6 +56,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def excerpt(text: Column, most: int, parts: int = 64) -> Column:
+    """``text``, or of one over ``most`` characters that many, in ``parts`` parts spread evenly over its whole length.
+
+    For samples that models learn from, so that their bytes are bounded as their rows are. Null stays null.
+    """
+    size = most // parts
+    cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, (F.floor(i.cast("double") * (F.length(text) - size) / (parts - 1)) + 1).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(cut, ""))
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose second column holds at most ``most`` bytes (one row at least)."""
     for batch in batches:
