@@ -105,7 +105,7 @@ def _cutter(buckets: int):
             for text in texts:
                 got = cut(text) if text else ()
                 seqs.append(np.fromiter(map(words.__getitem__, got), np.uint32, len(got)))
-                size += len(text or "")
+            size += batch.column(1).nbytes
             parts.append((batch.column(0), [len(s) for s in seqs], np.concatenate(seqs)))
             if size >= BLOCK_BYTES:
                 yield from flush()

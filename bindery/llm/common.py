@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,16 +16,21 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a task works on at once.
 BLOCK_BYTES = 4 << 20
-#: Label values that are learned at most; the most frequent ones.
-MOST_VALUES = 500
+#: Characters of a text that a model learns from at most.
+SAMPLE_CHARS = 1 << 17
+#: Values that a label column may have. More stop the job, as their counts go to the driver: no value is left out silently.
+MOST_VALUES = 2000
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (local tests) is one made on this machine.
+    Only a local session that names none (tests) gets one made on this machine; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or _local_scratch()
     return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
 
 
@@ -63,7 +69,7 @@ def excerpt(text: Column, most: int, parts: int = 64) -> Column:
     """
     size = most // parts
     cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, (F.floor(i.cast("double") * (F.length(text) - size) / (parts - 1)) + 1).cast("int"), F.lit(size)))
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(cut, ""))
+    return F.when(text.isNull() | (F.length(text) <= most), text).otherwise(F.array_join(cut, ""))
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,9 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shares(rows: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(MOST_VALUES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MOST_VALUES + 1).collect()}
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"{label} has over {MOST_VALUES} values")
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
@@ -101,10 +109,11 @@ def labelled_sample(docs: DataFrame, label: str, most: int, id_col: str, text_co
     """About ``most`` labelled rows of each label value, outside the held-out fifth, chosen by a hash of the id.
 
     The share kept of each value follows from counts over all rows, so the sample stays as large however many rows
-    there are. Columns: id, text, label. Rows with a null id, text or label are left out.
+    there are. Columns: id, text, label. Rows with a null id, text or label are left out; of texts over SAMPLE_CHARS there
+    are parts spread over the whole length. A column of over MOST_VALUES values stops the job.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    return _shares(rows, label, id_col, most).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("label"))
+    return _shares(rows, label, id_col, most).select(F.col(id_col).alias("id"), excerpt(F.col(text_col).cast("string"), SAMPLE_CHARS).alias("text"), F.col(label).alias("label"))
 
 
 def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tuple[DataFrame, dict[int, int]]:

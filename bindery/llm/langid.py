@@ -47,8 +47,18 @@ _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 e
 _GRAMS = ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D))
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, own in FAMILIES.items() if lang in own), lang)
+#: Languages without a known family that make up one of their own, so that machines don't grow with their square.
+TOGETHER = 16
+#: Bytes of weights that may go to every task; more languages than that allows stop the job.
+MOST_MODEL_BYTES = 256 << 20
+
+
+def families_of(langs: list[str]) -> dict[str, str]:
+    """Family of each language; codes without a known one are put together by their order."""
+    known = {x: f for f, own in FAMILIES.items() for x in own}
+    rest = sorted(x for x in langs if x not in known)
+    few = len(rest) <= TOGETHER
+    return {x: known.get(x) or (x if few else f"others {rest.index(x) // TOGETHER}") for x in langs}
 
 
 def _hashes(data: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -113,9 +123,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) ->
 
 def _machines(langs: list[str]) -> list[tuple[str, str, str]]:
     """(level, positive, negative): families one against one, then languages within a family."""
-    families = sorted({family_of(x) for x in langs})
+    of = families_of(langs)
+    families = sorted(set(of.values()))
     out = [("family", a, b) for a, b in combinations(families, 2)]
-    return out + [(f, a, b) for f in families for a, b in combinations(sorted(x for x in langs if family_of(x) == f), 2)]
+    return out + [(f, a, b) for f in families for a, b in combinations(sorted(x for x in langs if of[x] == f), 2)]
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -142,11 +153,12 @@ class Model:
         has = np.array([bool(t) and _LETTER.search(t) is not None for t in plain], bool)
         margin = gram_sums(texts, self.w) + self.b if len(self.machines) else np.zeros((n, 0))
         chance = 1 / (1 + np.exp(-np.clip(2 * margin, -30, 30)))
-        families = sorted({family_of(x) for x in self.langs})
+        of = families_of(self.langs)
+        families = sorted(set(of.values()))
         first, fscore = self._vote(margin, chance, "family", families)
         pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
         for k, family in enumerate(families):
-            own = sorted(x for x in self.langs if family_of(x) == family)
+            own = sorted(x for x in self.langs if of[x] == family)
             best, lscore = self._vote(margin, chance, family, own)
             at = has & (first == k)
             pred[at] = np.array(own, object)[best[at]]
@@ -173,15 +185,22 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit all machines on about ``sample_rows`` texts of each language; held-out rows are never seen."""
+    """Fit all machines on about ``sample_rows`` texts of each language; held-out rows are never seen.
+
+    Machines number about as many as half the square of the families and eight times the languages; a model of over
+    MOST_MODEL_BYTES stops the job, as it goes to every task.
+    """
     spark = docs.sparkSession
     sample = labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
     langs = sorted(r[0] for r in sample.select("label").distinct().collect())
     machines = _machines(langs)
     if not machines:
         return Model(langs, [], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
+    if 4 * FEATURES * len(machines) > MOST_MODEL_BYTES:
+        raise ValueError(f"{len(langs)} languages need {len(machines)} machines, over {MOST_MODEL_BYTES} bytes")
+    of = families_of(langs)
     classes = spark.createDataFrame(
-        [(j, x, y) for j, (level, a, b) in enumerate(machines) for x in langs for y in [1 if (family_of(x) if level == "family" else x) == a else -1 if (family_of(x) if level == "family" else x) == b else 0] if y],
+        [(j, x, y) for j, (level, a, b) in enumerate(machines) for x in langs for y in [1 if (of[x] if level == "family" else x) == a else -1 if (of[x] if level == "family" else x) == b else 0] if y],
         "machine int, label string, y int",
     )
     fitted = sample.join(F.broadcast(classes), "label").select("machine", "y", "text").groupBy("machine").applyInPandas(_fit, "machine int, w binary, b double")
@@ -269,7 +288,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text", habits: Habits | None = None) -> DataFrame:
     """``docs`` with all columns, without the rows whose language is ``und`` or whose score is under ``least``.
 
-    With ``habits`` texts go too that read unlike the language that won: junk, foreign text, texts largely of either.
+    With ``habits`` texts go too that read unlike the language that won: junk, foreign text, texts largely of either. Null and
+    empty texts and texts without a letter are ``und`` and go; rows with a null id, repeated rows and ties are judged one by
+    one like any other; texts of any length are read whole; an empty table gives an empty result.
     """
     @F.arrow_udf("boolean")
     def accept(texts: pa.Array) -> pa.Array:

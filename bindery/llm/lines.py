@@ -1,8 +1,10 @@
 """Line dedup with a log-template tree.
 
-A line's place in a tree of fixed depth is its number of tokens and its leading tokens; below that, tokens with digits are
-variable fields, and in lines of some length one third of the remaining tokens at a time may vary as well. Each such form
-is a template with a 64-bit key. Templates that recur across documents are dropped from every document but the first.
+A line goes down a tree of fixed depth by its number of tokens and its leading tokens to a leaf. Within a leaf lines merge
+into templates: tokens with digits are variable fields, and lines of some length also merge if they agree in all but one
+third of their remaining positions, which then is a variable field. The path and the leaf's template make a 64-bit key, so
+that the whole tree lives in one aggregation by key instead of in any task's memory. Templates that recur across documents
+are dropped from every document but the first. Lines that differ in several thirds don't merge.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm.common import stage, text_blocks
@@ -74,6 +76,10 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, sho
     of a template, by id and mark, keeps its lines.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    again = stage(own.groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "repeated")
+    if not again.isEmpty():
+        same = own["id"].eqNullSafe(again["id"]) & (own["mark"] == again["mark"])
+        own = own.join(again, same, "left_anti").unionByName(own.join(again, same, "left_semi").dropDuplicates(["id", "mark"]))
     found = stage(own.mapInArrow(_occurrences(depth, short), "template long, id long, mark long, line int, once boolean, brief boolean"), "occurrences")
     whose = F.struct("id", "mark")
     known = found.groupBy("template").agg(F.sum(F.col("once").cast("int")).alias("docs"), F.min(whose).alias("first"), F.max(whose).alias("last"), F.first("brief").alias("brief"))
@@ -83,6 +89,13 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, sho
     return drop.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _mask(lines: Column) -> Column:
+    """Sorted line numbers as bytes, 1 at each of them and 0 before: a line is looked up at once, however many there are."""
+    gap = lambda k: F.get(lines, k) - F.when(k == 0, 0).otherwise(F.get(lines, k - 1) + 1)
+    parts = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.concat(F.repeat(F.lit("0"), gap(k)), F.lit("1")))
+    return F.array_join(parts, "").cast("binary")
+
+
 def drop_recurring(docs: DataFrame, keep_empty: bool = False, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without recurring lines, all columns kept; documents of which nothing but blanks is left go as a whole.
 
@@ -90,11 +103,11 @@ def drop_recurring(docs: DataFrame, keep_empty: bool = False, id_col: str = "doc
     numbers) follow. Null and empty texts stay as they are; blank lines are never dropped by themselves; texts of any
     length are one row; an empty table gives an empty result.
     """
-    lines = recurring_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("lines").alias("__dropped"))
+    lines = recurring_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("lines").alias("__dropped"), _mask(F.col("lines")).alias("__mask"))
     text = F.col(text_col).cast("string")
     both = docs.join(lines, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     split = F.split(text, "\n")
-    left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
+    left = F.array_join(F.filter(split, lambda _, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     out = both.withColumn("__split", F.when(text.isNull(), 0).otherwise(F.size(split))).withColumn(text_col, F.when(F.col("__dropped").isNull(), text).otherwise(left))
     if keep_empty:
         return out.select(*docs.columns, F.col("__split").alias("__lines"), F.coalesce("__dropped", F.expr("cast(array() as array<int>)")).alias("__dropped"))

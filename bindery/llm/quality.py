@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import held_out, joined_bytes, sampled_labels, text_blocks
+from bindery.llm.common import SAMPLE_CHARS, excerpt, held_out, joined_bytes, sampled_labels, text_blocks
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
+#: Bytes of a text that are encoded at once; longer texts go slice by slice, whole passages each.
+SLICE = PASSAGE * 2048
 #: Labelled texts of each label value, about, that the network learns from.
 SAMPLE_ROWS = 1500
 PAIRS, SPREAD, ENCODED, GATE = 256, 1024, 32, 16
@@ -30,7 +32,10 @@ _CLASS = np.array([0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c
 
 def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages (rows) and the number of passages of each text, one at least."""
-    data, offsets = joined_bytes(texts)
+    return _encoded(*joined_bytes(texts))
+
+
+def _encoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     n = np.maximum(1, -(-sizes // PASSAGE))
     first = np.cumsum(n) - n
@@ -45,6 +50,11 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pair[:-1] = ((d[:-1] * np.uint32(257) + d[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(24)
         four = ((d[:-3] * np.uint32(257) + d[1:-2]) * np.uint32(257) + d[2:-1]) * np.uint32(257) + d[3:]
         wide[:-3] = (four * np.uint32(0x85EBCA77)) >> np.uint32(22)
+        for back in (1, 2, 3):  # pairs and fours that reach into the next text belong to none
+            last = offsets[1:][sizes >= back] - back
+            wide[last] = 0
+            if back == 1:
+                pair[last] = 0
     hist = np.bincount(at * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS)
     spread = np.count_nonzero(np.bincount(at * SPREAD + wide, minlength=total * SPREAD).reshape(total, SPREAD), axis=1)[:, None]
     share = hist / length
@@ -88,7 +98,32 @@ class Network:
         return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ err, "c0": err.sum()}
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return self.forward(*passages(texts))["y"].astype(np.float64)
+        """Scores of texts of any length: attention sums of a long text's slices are merged, as if it were one bag."""
+        data, offsets = joined_bytes(texts)
+        if not len(texts) or offsets[-1] <= SLICE:
+            return self.forward(*_encoded(data, offsets))["y"].astype(np.float64) if len(texts) else np.zeros(0)
+        out = np.zeros(len(texts))
+        for row in range(len(texts)):
+            own = data[offsets[row] : offsets[row + 1]]
+            top, weight, total = -np.inf, 0.0, np.zeros(ENCODED)
+            for at in range(0, max(1, len(own)), SLICE):
+                part = own[at : at + SLICE]
+                x, _ = _encoded(part, np.array([0, len(part)]))
+                h, s = self._attend(x)
+                new = max(top, float(s.max()))
+                e = np.exp(s.astype(np.float64) - new)
+                kept = np.exp(top - new)
+                top, weight, total = new, weight * kept + e.sum(), total * kept + e @ h
+            z = total / weight
+            out[row] = 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + self.p["c0"], -30, 30)))
+        return out
+
+    def _attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings and attention logits of passages."""
+        p = self.p
+        h = np.tanh(((x - p["mean"]) / p["std"]) @ p["W"] + p["b"])
+        gate = 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
+        return h, (np.tanh(h @ p["V"]) * gate) @ p["w"]
 
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 25, rate: float = 0.01, seed: int = 1) -> Network:
@@ -119,7 +154,8 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 25,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """The network learned from about ``sample_rows`` texts of each label value, weighed as the values stand in all labels.
 
-    Held-out ids, null labels and null texts are never seen. None if fewer than two label values are there.
+    Held-out ids, null labels and null texts are never seen; of texts over SAMPLE_CHARS the sample has parts spread over the
+    whole length, so its bytes are bounded too. None if fewer than two label values are there.
     """
     ids, counts = sampled_labels(labels, label, sample_rows, id_col)
     if len(counts) < 2:
@@ -133,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         np.savez(out, **train(rows["text"].tolist(), y, weight).p)
         return pd.DataFrame({"model": [out.getvalue()]})
 
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+    sample = docs.select(F.col(id_col).alias("id"), excerpt(F.col(text_col).cast("string"), SAMPLE_CHARS).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
     got = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
     return Network(dict(np.load(io.BytesIO(got[0]["model"])))) if got else None
 
@@ -141,11 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 def score(docs: DataFrame, model: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id_col`` and score (0 to 1), the chance of label 1; 0.5 everywhere without a model.
 
-    Null and empty texts are one empty passage. Ids may be null or repeated; other columns are ignored; an empty table
+    Null and empty texts are one empty passage; long texts are read whole, in slices of bounded memory. Ids may be null or repeated; other columns are ignored; an empty table
     gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, 2 << 20):
+        for batch in text_blocks(batches, SLICE):
             got = model.score(batch.column(1)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["id", "score"])
 

@@ -27,8 +27,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_JWT = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+#: How base64url of a brace and what may follow it starts: quote, blank, line end, carriage return, tab.
+_HEADS = re.compile(r"e(?=yJ|yA|wo|w0|wk)")
+#: Characters before a header's end in which other starts than the part's own are tried.
+MOST_HEAD = 1024
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*KEY)-----")
 _SSH_NAME = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$")
 
 #: Bytes of a hex run as h, others of a base64 run as x, the rest as blanks: finds long runs without a pattern.
@@ -99,14 +103,55 @@ def _decode(text: str) -> bytes | None:
         return None
 
 
-def is_signed_token(text: str) -> bool:
-    """Three base64url parts, the first a JSON object with a text under "alg", the second JSON too."""
-    head, body, _ = text.split(".", 2)
+def _object(part: str) -> dict | None:
+    """The JSON object that a base64url part holds."""
+    raw = _decode(part)
+    if not raw or not raw.startswith(b"{"):
+        return None
     try:
-        head, body = json.loads(_decode(head) or b""), json.loads(_decode(body) or b"")
+        out = json.loads(raw)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        return None
+    return out if isinstance(out, dict) else None
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of three base64url parts between dots, the first a JSON object with a text under "alg", the second JSON too.
+
+    Every three neighbouring parts of a dotted run are tried; a header may start within its part, after letters that
+    belong to something else. Each part is decoded once whole, and from other starts within MOST_HEAD characters of its end.
+    """
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 2:
+            continue
+        parts, at = run[0].split("."), run.start()
+        for k in range(len(parts) - 2):
+            head = parts[k]
+            if len(head) >= 10 and len(parts[k + 1]) >= 2:
+                starts = [0] if head[0] == "e" else []
+                starts += [m.start() for m in _HEADS.finditer(head, max(1, len(head) - MOST_HEAD))]
+                for start in starts:
+                    said = _object(head[start:])
+                    if said and isinstance(said.get("alg"), str):
+                        if _object(parts[k + 1]) is not None:
+                            yield at + start, at + len(head) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                        break
+            at += len(head) + 1
+
+
+def armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, base64) of blocks between a key's BEGIN and the END that follows it.
+
+    Line ends may be written as backslash and letter, as in JSON files; header lines with a colon are left out.
+    """
+    begun = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun and begun[2] == m[2]:
+            body = text[begun.end() : m.start()].replace("\\n", "\n").replace("\\r", "\n")
+            yield begun.start(), m.end(), "".join("".join(x for x in body.split("\n") if ":" not in x).split())
+            begun = None
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
@@ -123,16 +168,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     long = b"x" * 40 in runs.translate(_ONE_RUN)
     decoded = []
     if long:
-        decoded += [(m, bytes.fromhex(m[0][: len(m[0]) // 2 * 2])) for m in _LONG_HEX.finditer(text)]
-        decoded += [(m, raw) for m in _BASE64.finditer(text) if (raw := _decode(m[0]))]
+        decoded += [(m.start(), m.end(), bytes.fromhex(m[0][: len(m[0]) // 2 * 2])) for m in _LONG_HEX.finditer(text)]
+        decoded += [(m.start(), m.end(), raw) for m in _BASE64.finditer(text) if (raw := _decode(m[0]))]
     if "-----BEGIN " in text:
-        decoded += [(m, raw) for m in _ARMOUR.finditer(text) if (raw := _decode(re.sub(r"\s", "", m[2])))]
-    for m, raw in decoded:
+        decoded += [(start, end, raw) for start, end, body in armoured(text) if (raw := _decode(body))]
+    for start, end, raw in decoded:
         kind = "der" if is_der_key(raw) else "ssh" if is_ssh_key(raw) else None
         if kind:
-            out.append((kind, m.start(), m.end()))
-    if "eyJ" in text or "ewo" in text or "eyA" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+            out.append((kind, start, end))
+    if _HEADS.search(text):
+        out += [("jwt", start, end) for start, end in signed_tokens(text)]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(out), key=lambda s: (s[1], order[s[0]], s[2]))
 

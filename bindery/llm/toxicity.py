@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import excerpt, held_out, sampled_labels, text_blocks
+from bindery.llm.common import SAMPLE_CHARS, excerpt, held_out, sampled_labels, text_blocks
 
-#: Labelled texts of each label value, about, that are learned from, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1 << 17
+#: Labelled texts of each label value, about, that are learned from.
+SAMPLE_ROWS = 3000
 #: Bytes of windows that are compared, each text being cut in both ways, and of those that dictionaries are trained on: up to
 #: the end of the last word or so many bytes more. After a cut within a word the next window starts some bytes before it.
 WINDOWS, TRAINED, MORE, OVERLAP = (128, 96), 32, 64, 48

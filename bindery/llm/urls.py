@@ -86,7 +86,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, sample_rows: int = SAMPLE_ROWS
 
     The verdict is the rule's, else ``block`` if the trees' chance is over a half. The trees learn from about
     ``sample_rows`` urls with a rule, taken by a hash of url and id at a share that follows from the count of all; suffix
-    statistics (share of the sample, smoothed block rate) come from the same sample, so their table is bounded by it.
+    statistics (share of the sample, smoothed block rate) come from the same sample, so their table is bounded by it. For
+    training each half of the sample has the statistics of the other half, so that no row's label is among its features.
     Urls that are null, empty or without ``://`` have empty host and path and fit no rule. If no rule fits any url, or all
     fitting rules say the same, that verdict (allow if none) holds for the rest. Rows are never merged, so ties and
     repeated rows stay; an empty table gives an empty result; other columns are ignored.
@@ -101,18 +102,27 @@ def judge(pages: DataFrame, rules: tuple = RULES, sample_rows: int = SAMPLE_ROWS
     share = min(1.0, sample_rows / sum(seen.values()))
     dice = F.pmod(F.xxhash64("url", "__id", F.lit(5)), F.lit(1_000_000)) / 1e6
     sample = known.where(F.col("said").isNotNull() & (dice < share)).withColumn("label", (F.col("said") == "block").cast("double"))
-    n = sample.agg(F.count("*"), F.avg("label")).first()
-    rows, rate = n[0] or 0, n[1] if n[1] is not None else 0.5
-    # one row for each suffix of the sample, at most sample_rows of them
-    stats = sample.groupBy("suffix").agg((F.count("*") / max(rows, 1)).alias("suffix_share"), ((F.sum("label") + rate * 5) / (F.count("*") + 5)).alias("suffix_blocked"))
-    stats = {r["suffix"]: (r["suffix_share"], r["suffix_blocked"]) for r in stats.collect()}
-
-    def with_stats(df: DataFrame) -> DataFrame:
-        table = pages.sparkSession.createDataFrame([(k, *v) for k, v in stats.items()] or [("", 0.0, rate)], "suffix string, suffix_share double, suffix_blocked double")
+    half = F.pmod(F.xxhash64("url", "__id", F.lit(6)), F.lit(2)).cast("int")
+    sample = sample.withColumn("half", half)
+    n = sample.agg(F.avg("label")).first()
+    rate = n[0] if n[0] is not None else 0.5
+    # two rows for each suffix of the sample, at most sample_rows of them
+    stats = sample.groupBy("suffix", "half").agg(F.count("*"), F.sum("label")).collect()
+
+    def with_stats(df: DataFrame, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
+        found: dict[str, tuple[int, float]] = {}
+        for suffix, own, count, blocked in stats:
+            if own in halves:
+                c, b = found.get(suffix, (0, 0.0))
+                found[suffix] = c + count, b + blocked
+        total = max(1, sum(c for c, _ in found.values()))
+        rows = [(k, c / total, (b + rate * 5) / (c + 5)) for k, (c, b) in found.items()]
+        table = pages.sparkSession.createDataFrame(rows or [("", 0.0, rate)], "suffix string, suffix_share double, suffix_blocked double")
         return df.join(F.broadcast(table), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": rate})
 
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assemble.transform(with_stats(sample)).select("features", "label").persist()
+    apart = with_stats(sample.where("half = 0"), (1,)).unionByName(with_stats(sample.where("half = 1"), (0,)))
+    train = assemble.transform(apart).select("features", "label").persist()
     model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(train)
     train.unpersist()
     scored = model.transform(assemble.transform(with_stats(known)))

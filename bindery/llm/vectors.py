@@ -4,12 +4,14 @@ Unit vectors are projected on many random lines. Two vectors at the threshold ar
 line fall into one another's window with a known chance; the number of lines that must collide is set from that chance
 for a wanted recall. The first lines also cut space into cells, so a vector meets only its own and adjacent cells; within
 them the other projections are sorted, windows around each query are counted, and pairs with enough collisions are
-verified by their cosine. Equal vectors are one node, large cells are dealt out as pairs of chunks.
+verified by their cosine. Equal vectors are one node, large cells are dealt out as pairs of chunks. The more vectors a
+label has, the more lines cut the cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -51,18 +53,29 @@ def _unit(lists: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _cells(width: float):
-    """Adds the cell on the first two lines."""
+def cell_lines(n: int) -> int:
+    """Lines that cut cells for labels of ``n`` vectors: the number for which comparing and dealing out cost least together.
+
+    With k lines a vector is dealt to (3**k + 1) / 2 + 1 cells, at about 2 microseconds each, and compared with all of the
+    adjacent cells at about 10 nanoseconds a vector; a line's cells hold as many as 5.5 equally filled ones would.
+    """
+    cost = lambda k: 10 * n * (3**k + 1) / 2 / 5.5**k + 2000 * ((3**k + 1) / 2 + 1)
+    return min(range(2, 7), key=cost)
+
+
+def _cells(width: float, k: int):
+    """Adds the cell on the first ``k`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(2)
             sizes = vectors.value_lengths().to_numpy()
-            at = np.zeros((len(sizes), 2), np.int64)
+            at = np.zeros((len(sizes), k), np.int32)
             for dim in np.unique(sizes):
                 own = np.flatnonzero(sizes == dim)
-                at[own] = np.floor(_unit(vectors.take(pa.array(own)), int(dim)) @ lines_for(int(dim))[:, :2] / width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32))], ["id", "label", "vector", "times", "x", "y"])
+                at[own] = np.floor(_unit(vectors.take(pa.array(own)), int(dim)) @ lines_for(int(dim))[:, :k] / width)
+            cell = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cell], ["id", "label", "vector", "times", "cell"])
 
     return run
 
@@ -133,27 +146,33 @@ def _compare(threshold: float, window: float, least: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", lines: int | None = None) -> DataFrame:
     """Per row of ``vectors``: ``id_col``, n_links (other vectors with equal label and cosine >= ``threshold``), component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components, and those with a null label, link with nothing;
     neither do vectors of different lengths. Equal vectors link with each other. Rows with a null id are counted as links
-    of others, never as the smallest id, and are not kept. Recall of pairs is set by the window count (``RECALL``) and the
-    cells; no pair below the threshold is linked. An empty table gives an empty result; other columns are ignored.
+    of others and carry links on, but are never the smallest id and not kept; a component of none but those has a null
+    component_id. Recall of pairs is set by the window count (``RECALL``) and the cells, which ``lines`` projections cut
+    (default: by the largest label); no pair below the threshold is linked. An empty table gives an empty result; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     fit = F.col("label").isNotNull() & F.coalesce((F.size("vector") > 0) & ~bad & (norm > 0), F.lit(False))
-    nodes = stage(rows.where(fit).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("times")).select("id", "label", "vector", "times"), "vectors")
+    # nodes have numbers of their own, fixed as the table is written, so that vectors whose ids are all null are nodes too
+    nodes = stage(rows.where(fit).groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("times")).select(F.monotonically_increasing_id().alias("id"), "label", "vector", "times", "least"), "vectors")
+    k = lines or cell_lines(nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     distance = sqrt(2 - 2 * threshold)
     kind = nodes.schema["label"].dataType.simpleString(), nodes.schema["vector"].dataType.simpleString()
-    placed = nodes.where("id is not null").mapInArrow(_cells(CELL * distance), f"id long, label {kind[0]}, vector {kind[1]}, times long, x int, y int")
-    # a cell's queries meet the vectors of the cell and of four of the adjacent ones; the other four meet it
-    steps = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(dx == dy == 0).alias("home"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for q, dx, dy in [(True, 0, 0), (False, 0, 0), (False, 0, -1), (False, -1, -1), (False, -1, 0), (False, -1, 1)]])
-    met = placed.withColumn("s", F.explode(steps)).select("id", "label", F.size("vector").alias("dim"), "vector", "times", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "s.query", "s.home")
-    cell = ["label", "dim", "x", "y"]
+    placed = nodes.drop("least").mapInArrow(_cells(CELL * distance, k), f"id long, label {kind[0]}, vector {kind[1]}, times long, cell array<int>")
+    # a cell's queries meet the vectors of the cell and of half of the adjacent ones; the other half meet it
+    here = (0,) * k
+    near = [(True, here), *[(False, to) for to in product((-1, 0, 1), repeat=k) if to <= here]]
+    steps = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(to == here).alias("home"), F.array(*map(F.lit, to)).alias("to")) for q, to in near])
+    met = placed.withColumn("s", F.explode(steps)).select("id", "label", F.size("vector").alias("dim"), "vector", "times", F.zip_with("cell", "s.to", lambda a, b: a + b).alias("cell"), "s.query", "s.home")
+    cell = ["label", "dim", "cell"]
     sizes = met.groupBy(*cell).agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("d")).where((F.col("q") > chunk) | (F.col("d") > chunk))
     large = stage(sizes.select(*cell, F.ceil(F.col("q") / chunk).cast("int").alias("nq"), F.ceil(F.col("d") / chunk).cast("int").alias("nd")), "large")
     dealt = met.join(large, cell, "left").withColumns({"nq": F.greatest(F.coalesce("nq", F.lit(1)), F.lit(1)), "nd": F.greatest(F.coalesce("nd", F.lit(1)), F.lit(1))})
@@ -167,7 +186,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int =
     counts = links.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
     found = components(links.where("kind = 1").select("a", "b"))
     known = nodes.join(counts, nodes["id"] == counts["node"], "left").drop("node").join(found, nodes["id"] == found["node"], "left")
-    known = stage(known.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "known")
+    known = stage(known.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least", F.col("root").alias("of")), "linked")
+    roots = known.where("of is not null").groupBy("of").agg(F.min("least").alias("root"))
+    alone = known.where("of is null").select("l", "v", "n_links", F.col("least").alias("root"))
+    known = stage(known.join(roots, "of").select("l", "v", "n_links", "root").unionByName(alone), "known")
     out = rows.withColumn("fit", fit).join(known, F.col("fit") & (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")), "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))

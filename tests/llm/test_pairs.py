@@ -190,6 +190,26 @@ def test_vectors_repeated_and_null_ids(spark):
     assert got == sorted([(4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False), (None, 0, None, False)], key=str)
 
 
+def test_vectors_linked_over_null_ids(spark):
+    """Vectors without any id are linked and link others, also where they lie between two that have one."""
+    step = np.pi / 20  # cosine 0.988 between neighbours, 0.951 between the next but one
+    at = lambda k: [float(np.cos(k * step)), float(np.sin(k * step))]
+    df = spark.createDataFrame([(7, at(0), 1), (None, at(1), 1), (3, at(2), 1), (None, at(12), 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vectors.near_vectors(df).collect()), key=str)
+    assert got == sorted([(7, 1, 3, False), (None, 2, 3, False), (3, 1, 3, True), (None, 0, None, False)], key=str)
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_cells_of_more_lines(spark, k):
+    rng = np.random.default_rng(8)
+    rows = [(i, v, 0) for i, v in enumerate(v for s in (0.05, 0.1, 0.13) for v in cloud(rng, 50, 24, s))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    n, _ = links_by_hand(rows)
+    found = sum(r.n_links for r in vectors.near_vectors(df, lines=k).collect())
+    assert 0.97 * sum(n.values()) <= found <= sum(n.values())
+    assert [vectors.cell_lines(n) for n in (0, 1000, 50_000, 10**6, 10**9)] == sorted(vectors.cell_lines(n) for n in (0, 1000, 50_000, 10**6, 10**9))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     odd = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "x", 0), (902, "12 34", "en", "x", 5), (None, "a null id and a text of its own, in english words that the table has not", "en", "x", 9)], docs.schema)

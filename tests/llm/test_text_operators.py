@@ -171,3 +171,47 @@ def test_line_that_is_all_gone(spark):
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("h", held_out())
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
+
+
+def test_repeated_rows_are_one_document(spark):
+    """Nineteen equal rows and one other document make two documents, too few for a short line to go."""
+    df = spark.createDataFrame([(1, "short line")] * 19 + [(2, "short line")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.drop_recurring(df).collect()) == [(1, "short line")] * 19 + [(2, "short line")]
+    many = spark.createDataFrame([(i, "short line\nown " + chr(97 + i)) for i in range(20)] + [(19, "short line\nown t")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.drop_recurring(many).collect()) == [(0, "short line\nown a")] + [(i, "own " + chr(97 + i)) for i in range(1, 20)] + [(19, "own t")]
+
+
+def test_long_texts_of_many_lines(spark):
+    text = "\n".join(f"line number {i:x} of a long text that another one has too" for i in range(40_000))
+    df = spark.createDataFrame([(1, text + "\nfirst"), (2, "second\n" + text + "\nand more")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_recurring(df).collect()}
+    assert got == {1: text + "\nfirst", 2: "second\nand more"}
+
+
+def test_signed_tokens_in_dotted_runs():
+    url = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).rstrip(b"=").decode()
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln"
+    for before in ("", "see api.mycompanyhost.", "Authorization.", "bearer_", "a.b.c."):
+        text = before + token + " z"
+        at = len(before) if not before.startswith("see") else len("see api.mycompanyhost.")
+        assert [s for s in secrets.find_spans(text) if s[0] == "jwt"] == [("jwt", at, at + len(token))]
+    crlf = base64.urlsafe_b64encode(b'{\r\n"alg":"none"}').rstrip(b"=").decode() + "." + url({"a": 1}) + "."
+    assert [k for k, _, _ in secrets.find_spans(crlf)] == ["jwt"]
+
+
+def test_escaped_and_headed_armour():
+    rng = np.random.default_rng(1)
+    number = lambda n: der(2, bytes([1]) + rng.bytes(n - 1))
+    body = base64.b64encode(der(0x30, der(2, b"\0"), number(128), number(3), number(128))).decode()
+    for text in (f'"-----BEGIN PRIVATE KEY-----\\n{body[:64]}\\n{body[64:]}\\n-----END PRIVATE KEY-----\\n"', f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,X\n\n{body[:64]}\n{body[64:]}\n-----END RSA PRIVATE KEY-----"):
+        spans = [s for s in secrets.find_spans(text) if s[0] == "der"]
+        assert any(text[a:b].startswith("-----BEGIN") and text[a:b].endswith("KEY-----") for _, a, b in spans)
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ" + "a" * 1_000_000, "A-" * 500_000, "eyJhbGciOiJ." * 80_000, "-----BEGIN A KEY-----" * 50_000])
+def test_secrets_in_linear_time(text):
+    import time
+
+    began = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - began < 5
