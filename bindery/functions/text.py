@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, in a form that Java's and RE2's patterns share.
 SPACE = r"[\s\x{0b}\x{85}\p{Z}]"
+#: The same as characters.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Language names by code; an unknown code stands for itself.
 LANGUAGES = {"en": "English", "ru": "Russian", "de": "German", "fr": "French", "es": "Spanish", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "it": "Italian", "pt": "Portuguese", "pl": "Polish", "uk": "Ukrainian"}
 #: Formats by lower-cased extension; anything else is plain text.
@@ -15,11 +20,11 @@ FORMATS = {"epub": "epub", "pdf": "pdf", "mobi": "mobi", "azw3": "mobi", "fb2":
 
 def utrim(c: Column) -> Column:
     """Without Unicode white space at both ends (``trim`` knows the ASCII blank alone)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rtrim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
@@ -39,15 +44,29 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-#: Named entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"))
+#: Named entities that are decoded: those of HTML 4, by Python's own table, and the apostrophe.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+#: Numeric and named entities, with their semicolon.
+ENTITY = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: What code points 128 to 159 stand for in entities.
+C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def _entity(e: Column) -> Column:
+    """One entity's character; an unknown name stays, a number that is no character is U+FFFD."""
+    hexa = F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+);$", 1)
+    code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).otherwise(F.regexp_extract(e, "^&#([0-9]+);$", 1).try_cast("long"))
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    char = F.when(bad, "\ufffd").when(code.between(128, 159), F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # a constant, read once
+    return F.when(code.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(names, F.regexp_extract(e, "^&([A-Za-z0-9]+);$", 1)), e))
 
 
 def decode_entities(c: Column) -> Column:
-    """The common named entities as characters; others stay."""
-    for entity, raw in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(raw))
-    return c
+    """Numeric and named entities as characters, each once (``&amp;lt;`` is ``&lt;``); unknown names stay."""
+    found = F.regexp_extract_all(c, F.lit(f"({ENTITY})"), 1)
+    joined = F.array_join(F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def _file(path: Column) -> Column:
@@ -86,10 +105,14 @@ def html_title(html: Column, path: Column) -> Column:
     return F.coalesce(F.get(found, 0), stem(path))
 
 
+#: The body's start tag; quoted attributes may hold ``>``.
+BODY_TAG = r"""<body\b(?:(?:[^>"']+|"[^"]*"|'[^']*')*|[^>]*)>"""
+
+
 def html_body(html: Column) -> Column:
     """What is inside ``body``; to the end if it isn't closed; everything if there is none."""
-    open_at = F.regexp_instr(html, F.lit(r"(?i)<body[^>]*>"))
-    rest = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)$", 1)
+    open_at = F.regexp_instr(html, F.lit(f"(?i){BODY_TAG}"))
+    rest = F.regexp_extract(html, f"(?is){BODY_TAG}(.*)$", 1)
     return F.when(open_at == 0, html).otherwise(F.regexp_replace(rest, r"(?is)</body\s*>.*$", ""))
 
 

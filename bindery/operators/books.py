@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.functions.text import full_href, route_format, sanitize_name, stem
+from bindery.functions.text import decode_entities, full_href, route_format, sanitize_name, stem
 
 HTML_TYPES = ("application/xhtml+xml", "text/html")
 ENTRY_BYTES = 100 << 20
@@ -47,20 +47,37 @@ def is_safe_entry(name: Column) -> Column:
 
 
 def safe_entries(entries: DataFrame, name: str = "entry", content: str = "content", most: int = ENTRY_BYTES) -> DataFrame:
-    """Archive entries inside their root, cut at ``most`` bytes."""
-    return entries.where(is_safe_entry(F.col(name))).withColumn(content, F.substring(content, 1, most))
+    """Archive entries inside their root, cut at ``most`` bytes; ``truncated`` says which were."""
+    cut = F.octet_length(content) > most
+    if "truncated" in entries.columns:
+        cut = cut | F.col("truncated")
+    return entries.where(is_safe_entry(F.col(name))).withColumn("truncated", cut).withColumn(content, F.substring(content, 1, most))
 
 
 def html_href(href: Column) -> Column:
     return F.regexp_replace(href, r"(?i)\.xhtml?$", ".html")
 
 
+#: A link's or a source's value, quoted.
+LINK = r"""(?i)\b(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*')"""
+
+
 def _rewrite(pages: DataFrame, renamed: DataFrame) -> DataFrame:
-    """Page html with each renamed href of its book replaced, the longest first."""
-    order = F.array_sort(F.collect_list(F.struct((-F.length("old")).alias("n"), "old", "new")))
-    own = pages.join(renamed.groupBy("book_id").agg(order.alias("__map")), "book_id", "left")
-    html = F.aggregate(F.coalesce("__map", F.expr("cast(array() as array<struct<n:int,old:string,new:string>>)")), F.col("html"), lambda h, m: F.replace(h, m["old"], m["new"]))
-    return own.withColumn("html", html).drop("__map")
+    """Page html with the links to renamed hrefs of its book following; fragments stay.
+
+    A page's links meet the book's new names in a join by (book, href), so that neither a book's names nor its pages are
+    ever gathered; each page then takes its own few. Pages without such a link never leave their task. Pages need no key:
+    equal pages of a book have equal links.
+    """
+    value = lambda link: F.regexp_replace(F.regexp_extract(link, r"""(?s)=\s*["'](.*)["']$""", 1), r"[?#].*$", "")
+    marked = pages.withColumn("__mark", F.xxhash64("html"))
+    links = marked.select("book_id", "__mark", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), 0), value))).alias("old")).distinct()
+    own = links.join(renamed.select("book_id", "old", "new").distinct(), ["book_id", "old"]).groupBy("book_id", "__mark").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__map"))
+    both = marked.join(own, ["book_id", "__mark"], "left")
+    found = F.regexp_extract_all("html", F.lit(LINK), 0)
+    new = lambda link: F.coalesce(F.replace(link, value(link), F.try_element_at("__map", value(link))), link)
+    html = F.array_join(F.transform(F.split("html", LINK, -1), lambda p, i: F.concat(p, F.coalesce(new(F.get(found, i)), F.lit("")))), "")
+    return both.withColumn("html", F.when(F.col("__map").isNull(), F.col("html")).otherwise(html)).select(*pages.columns)
 
 
 def normalize_hrefs(manifest: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,15 +101,25 @@ def opf_path(containers: DataFrame, xml: str = "xml") -> DataFrame:
     return containers.select("book_id", F.get(paths, F.lit(0)).alias("opf"))
 
 
+_QUOTED = r"""(?:[^>"']+|"[^"]*"|'[^']*')*"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's decoded value, empty without one."""
+    value = F.regexp_extract(tag, rf"""(?s)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return decode_entities(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
 def parse_opf(packages: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Books (book_id, title, base_path), manifest (book_id, pos, item_id, href, media_type), spine (book_id, spine_pos,
-    idref) from (book_id, opf, xml). Items that lack an attribute are read one by one, so columns never shift."""
+    idref) from (book_id, opf, xml). An item is read as a whole; an attribute that it lacks is empty."""
     doc = F.col(xml)
     title = F.get(F.xpath(doc, F.lit('//*[local-name()="metadata"]/*[local-name()="title"]/text()')), F.lit(0))
     base = F.when(F.instr("opf", "/") > 0, F.regexp_replace("opf", "/[^/]*$", "")).otherwise("")
     books = packages.select("book_id", F.coalesce(title, F.lit("")).alias("title"), base.alias("base_path"))
-    item = '//*[local-name()="manifest"]/*[local-name()="item"][@id and @href and @media-type]'
-    parts = F.arrays_zip(*[F.xpath(doc, F.lit(f"{item}/@{a}")).alias(a.replace("-", "_")) for a in ("id", "href", "media-type")])
-    manifest = packages.select("book_id", F.posexplode(parts).alias("pos", "m")).select("book_id", "pos", F.col("m.id").alias("item_id"), F.col("m.href").alias("href"), F.col("m.media_type").alias("media_type"))
+    listed = F.regexp_extract(F.regexp_replace(doc, "(?s)<!--.*?-->", ""), r"(?s)<(?:[\w.-]+:)?manifest\b[^>]*>(.*?)</(?:[\w.-]+:)?manifest\s*>", 1)
+    items = F.regexp_extract_all(listed, F.lit(rf"(?s)<(?:[\w.-]+:)?item\b{_QUOTED}>"), 0)
+    manifest = packages.select("book_id", F.posexplode(items).alias("pos", "tag"))
+    manifest = manifest.select("book_id", "pos", *[_attribute(F.col("tag"), a).alias(n) for a, n in (("id", "item_id"), ("href", "href"), ("media-type", "media_type"))])
     spine = packages.select("book_id", F.posexplode(F.xpath(doc, F.lit('//*[local-name()="spine"]/*[local-name()="itemref"]/@idref'))).alias("spine_pos", "idref")).withColumn("spine_pos", F.col("spine_pos") + 1)
     return books, manifest, spine

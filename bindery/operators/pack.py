@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -26,25 +26,39 @@ def greedy_groups(sizes: np.ndarray, limit: int) -> np.ndarray:
 
 
 def greedy_pack(df: DataFrame, part: list[str], order: str, size: str, limit: int) -> DataFrame:
-    """Adds group_no. Rows are dealt by ``part`` and sorted; partitions are read as streams, so no group is held whole."""
+    """Adds group_no. Rows are dealt by ``part`` and sorted; partitions are read as streams, so no group is held whole.
+
+    Null and NaN keys are keys like others; a null size counts as nothing.
+    """
     schema = StructType([*df.schema.fields, StructField("group_no", IntegerType())])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group, total = None, 0, 0
         for rows in batches:
-            out = np.empty(len(rows), np.int32)
-            for i, (key, s) in enumerate(zip(rows[part].itertuples(index=False, name=None), rows[size].tolist(), strict=True)):
-                if key != last:
-                    last, group, total = key, 0, s
+            if not rows.num_rows:
+                continue
+            keys = [rows.column(rows.schema.get_field_index(c)) for c in part]
+            new = np.zeros(rows.num_rows, bool)
+            for key in keys:
+                codes = key.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = [repr(key[0].as_py()) for key in keys]
+            new[0] = first != last
+            out = np.empty(rows.num_rows, np.int32)
+            sizes = rows.column(rows.schema.get_field_index(size)).fill_null(0).to_pylist()
+            for i, (fresh, s) in enumerate(zip(new.tolist(), sizes, strict=True)):
+                if fresh:
+                    group, total = 0, s
                 elif total + s > limit:
                     group, total = group + 1, s
                 else:
                     total += s
                 out[i] = group
-            yield rows.assign(group_no=out)
+            last = [repr(key[-1].as_py()) for key in keys]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], [*rows.schema.names, "group_no"])
 
-    return df.repartition(n, *part).sortWithinPartitions(*part, order).mapInPandas(run, schema)
+    return df.repartition(n, *part).sortWithinPartitions(*part, order).mapInArrow(run, schema)
 
 
 def batch_by_bytes(segments: DataFrame, part: list[str], limit: int = BATCH_BYTES, order: str = "seq") -> DataFrame:

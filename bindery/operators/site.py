@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.functions.text import chapter_label, folder, full_href, html_body, html_escape, relative_path, rtrim_space
-from bindery.operators.tokens import visible_texts
+from bindery.functions.text import BODY_TAG, chapter_label, folder, full_href, html_body, html_escape, relative_path, rtrim_space
+from bindery.operators.tokens import token_pattern, visible_texts
 
 SNIPPET_BYTES, SNIPPET_CHARS = 300, 250
-#: Elements that a snippet leaves out; the page's own header and bar are divs without inner divs.
-NO_SNIPPET = (
-    r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<head\b[^>]*>.*?(?:</head\s*>|\z)"
-    r"|<nav\b[^>]*>.*?(?:</nav\s*>|\z)|<button\b[^>]*>.*?(?:</button\s*>|\z)|<div\b[^>]*class=\"[^\"]*\b(?:page-header|bar)\b[^\"]*\"[^>]*>.*?(?:</div\s*>|\z)"
-)
+#: Tokens of which a snippet leaves out heads, bars, buttons, and the page's own header, a div without inner divs.
+SNIPPET_TOKEN = token_pattern("head", "nav", "button").replace("(?is)", r"(?is)<div\b[^>]*class=\"[^\"]*\bpage-header\b[^\"]*\"[^>]*>.*?(?:</div\s*>|\z)|", 1)
 
 
 def nav(spine: DataFrame) -> DataFrame:
@@ -26,42 +25,32 @@ def nav(spine: DataFrame) -> DataFrame:
     return pages.select("book_id", "spine_pos", F.col("full").alias("href"), relative_path(here, F.col("p")).alias("prev_href"), relative_path(here, F.col("n")).alias("next_href"), relative_path(here, F.lit("index.html")).alias("index_href"), "current", "total")
 
 
-def nav_html(prev: Column, following: Column, index: Column, current: Column, total: Column, labels: tuple[str, str, str] = ("Back", "Forward", "Contents")) -> Column:
-    """The bar's markup."""
-    link = lambda href, text: F.concat(F.lit('<a class="nav-link" href="'), html_escape(href), F.lit(f'">{text}</a>'))
-    off = lambda text: F.lit(f'<a class="disabled">{text}</a>')
-    back, ahead = f"&#9664; {labels[0]}", f"{labels[1]} &#9654;"
-    return F.concat(
-        F.lit('<div class="bar"><div class="nav-actions">'), F.coalesce(link(prev, back), off(back)), link(index, f"&#9776; {labels[2]}"), F.coalesce(link(following, ahead), off(ahead)),
-        F.lit('</div><span class="nav-info">'), current.cast("string"), F.lit(" / "), total.cast("string"), F.lit("</span></div>"),
-    )
+def nav_html(prev: Column, following: Column, index: Column, current: Column, total: Column, labels: tuple[str, str, str] = ("Previous", "Next", "Contents")) -> Column:
+    """A plain bar: where the page stands, then the links that it has."""
+    link = lambda rel, href, text: F.coalesce(F.concat(F.lit(f' <a rel="{rel}" href="'), html_escape(href), F.lit(f'">{text}</a>')), F.lit(""))
+    place = F.concat(F.lit("<b>"), current.cast("string"), F.lit("</b> of "), total.cast("string"))
+    return F.concat(F.lit('<nav class="pager">'), place, link("prev", prev, labels[0]), link("next", following, labels[1]), link("contents", index, labels[2]), F.lit("</nav>"))
 
 
 def inject(html: Column, in_head: Column, in_body: Column) -> Column:
     """``in_head`` before ``</head>``, ``in_body`` after the ``body`` tag; a tag that isn't there is skipped."""
-    at = F.instr(F.lower(html), "</head>")
+    at = F.regexp_instr(html, F.lit("(?i)</head>"))
     one = F.when(at > 0, F.concat(F.substring(html, F.lit(1), at - 1), in_head, F.substring(html, at, F.length(html)))).otherwise(html)
-    start = F.instr(F.lower(one), "<body")
-    end = _after(one, start)
-    return F.when(end > 0, F.concat(F.substring(one, F.lit(1), end), in_body, F.substring(one, end + 1, F.length(one)))).otherwise(one)
-
-
-def _after(html: Column, start: Column) -> Column:
-    """Position of the first ``>`` from ``start`` on, 0 without."""
-    rest = F.instr(F.substring(html, start, F.length(html)), ">")
-    return F.when((start > 0) & (rest > 0), start + rest - 1).otherwise(0)
+    start, tag = F.regexp_instr(one, F.lit(f"(?i){BODY_TAG}")), F.length(F.regexp_extract(one, f"(?i){BODY_TAG}", 0))
+    return F.when(start > 0, F.concat(F.substring(one, F.lit(1), start + tag - 1), in_body, F.substring(one, start + tag, F.length(one)))).otherwise(one)
 
 
-def inject_nav(pages: DataFrame, bars: DataFrame, key: list[str], css: str = "") -> DataFrame:
-    """Pages (key, html) with the bar of ``bars`` (key and the columns of ``nav``)."""
-    bar = nav_html(F.col("prev_href"), F.col("next_href"), F.col("index_href"), F.col("current"), F.col("total"))
+def inject_nav(pages: DataFrame, bars: DataFrame, key: list[str], css: str = "", markup: Callable[..., Column] = nav_html) -> DataFrame:
+    """Pages (key, html) with the bar of ``bars`` (key and the columns of ``nav``), drawn by ``markup``; without one as they are."""
+    bar = markup(F.col("prev_href"), F.col("next_href"), F.col("index_href"), F.col("current"), F.col("total"))
     own = bars.select(*key, bar.alias("__bar"))
-    return pages.join(own, key).withColumn("html", inject(F.col("html"), F.lit(css), F.col("__bar"))).drop("__bar")
+    done = F.when(F.col("__bar").isNull(), F.col("html")).otherwise(inject(F.col("html"), F.lit(css), F.col("__bar")))
+    return pages.join(own, key, "left").withColumn("html", done).drop("__bar")
 
 
 def snippet(html: Column) -> Column:
     """The first two sentences of a page's visible text within 250 characters, else a cut; empty without text."""
-    texts = visible_texts(html_body(html), NO_SNIPPET)
+    texts = visible_texts(html_body(html), SNIPPET_TOKEN)
     text = F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.octet_length(a) > SNIPPET_BYTES, a).otherwise(F.when(a == "", t).otherwise(F.concat(a, F.lit(" "), t))))
     two = F.regexp_extract(F.substring(text, 1, SNIPPET_CHARS), r"(?s)^((?:[^.!?]*[.!?]){2})", 1)
     cut = F.concat(rtrim_space(F.substring(text, 1, SNIPPET_CHARS)), F.lit("…"))

@@ -1,7 +1,8 @@
 """HTML as rows of tokens: text lengths, body blocks, translatable segments and their way back into the page.
 
 There is no tree: comments, scripts and styles are single tokens, depth is a running sum that never falls below zero, void
-and self-closed tags don't count, and what is never closed ends with the page.
+and self-closed tags don't count, and what is never closed ends with the page. Texts, blocks and segments all come from one
+definition of a token.
 """
 
 from __future__ import annotations
@@ -11,9 +12,26 @@ from pyspark.sql import functions as F
 
 from bindery.functions.text import decode_entities, html_body, utrim
 
-TOKEN = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<![^>]*>|</?[a-z][^>]*(?:>|\z)|[^<]+|<"
-#: Elements whose text is never translated, comments too.
-SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<pre\b[^>]*>.*?(?:</pre\s*>|\z)|<code\b[^>]*>.*?(?:</code\s*>|\z)"
+_RAW = r"<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+#: Declarations and what browsers read as comments; tags, whose quoted attributes may hold ``>``; text, in which a ``<`` that
+#: opens nothing is a character like others.
+_REST = r"""<[!?][^>]*(?:>|\z)|</(?:>|[^a-z>][^>]*(?:>|\z))|</?[a-z](?:[^>"']+|"[^"]*"|'[^']*')*(?:>|\z)|</?[a-z][^>]*(?:>|\z)|(?:[^<]+|<+(?:[^a-z/!?<]|\z))+|<"""
+
+
+def token_pattern(*more: str) -> str:
+    """All of a page as tokens; elements named in ``more`` are single tokens, as comments, scripts and styles are."""
+    own = [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in more]
+    return "(?is)" + "|".join([_RAW, *own, _REST])
+
+
+TOKEN = token_pattern()
+#: Elements whose text is never translated are single tokens too.
+SEGMENT_TOKEN = token_pattern("pre", "code")
+#: What a token of text does not start with.
+NOT_TEXT = "^<[A-Za-z/!?]"
+#: Elements that an end tag need not close, and those whose start closes an open paragraph. Fixed values of the format.
+CLOSED_BY_NEXT = ("p", "li", "dt", "dd", "option")
+BLOCK = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
@@ -22,7 +40,7 @@ def html_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFra
     raw = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), 0)).alias("pos", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     kind = (
-        F.when(F.startswith("raw", F.lit("<!")), "comment")
+        F.when(F.col("raw").rlike("^<[!?]") | (F.startswith("raw", F.lit("</")) & (tag == "")), "comment")
         .when((tag != "") & F.startswith("raw", F.lit("</")), "close")
         .when(tag.isin("script", "style"), "raw")
         .when(tag.isin(*VOID) | ((tag != "") & F.endswith("raw", F.lit("/>"))), "void")
@@ -36,18 +54,14 @@ def html_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFra
     return sums.withColumn("depth", (F.col("__sum") - F.least(least, F.lit(0))).cast("int")).select(*key, "pos", "kind", "tag", "raw", "depth")
 
 
-def visible_texts(html: Column, skipped: str) -> Column:
-    """Array of the decoded, trimmed, non-blank texts outside of ``skipped``, as one expression without a shuffle."""
-    plain = F.concat(F.lit(">"), F.regexp_replace(html, skipped, "<>"))
-    texts = F.transform(F.regexp_extract_all(plain, F.lit(">([^<]+)"), 1), lambda t: utrim(decode_entities(t)))
-    return F.filter(texts, lambda t: t != "")
-
-
-NOT_TEXT = SKIPPED.split("|<pre")[0]
+def visible_texts(html: Column, pattern: str) -> Column:
+    """Array of the decoded, trimmed, non-blank texts among the tokens of ``pattern``, as one expression without a shuffle."""
+    tokens = F.filter(F.regexp_extract_all(html, F.lit(pattern), 0), lambda t: ~t.rlike(NOT_TEXT))
+    return F.filter(F.transform(tokens, lambda t: utrim(decode_entities(t))), lambda t: t != "")
 
 
 def body_text_len(html: Column) -> Column:
-    return F.aggregate(visible_texts(html_body(html), NOT_TEXT), F.lit(0), lambda a, t: a + F.octet_length(t))
+    return F.aggregate(visible_texts(html_body(html), TOKEN), F.lit(0), lambda a, t: a + F.octet_length(t))
 
 
 def text_len(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
@@ -56,40 +70,52 @@ def text_len(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
 
 
 def body_blocks(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, block_no from 1, html, len): direct children of the body in order, loose text counts if not blank."""
+    """(key, block_no from 1, html, len): direct children of the body in order, loose text counts if not blank.
+
+    Elements that need no end tag don't count for the depth: one that stands in the body itself begins a block, which lasts
+    until its end tag or the start of the next such element or of a block element.
+    """
     tokens = html_tokens(pages.select(*key, html_body(F.col(html)).alias("html")), key)
-    starts = (F.col("depth") == 0) & (F.col("kind").isin("open", "void", "raw") | ((F.col("kind") == "text") & (utrim(F.col("raw")) != "")))
-    line = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*key).orderBy("pos")
+    before, upto = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
+    loose = F.col("tag").isin(*CLOSED_BY_NEXT)
+    step = F.when(loose, 0).when(F.col("kind") == "open", 1).when((F.col("kind") == "close") & ~F.col("tag").isin(*VOID), -1).otherwise(0)
+    summed = tokens.withColumn("__sum", F.coalesce(F.sum(step).over(before), F.lit(0)))
+    summed = summed.withColumn("__top", F.col("__sum") == F.least(F.coalesce(F.min("__sum").over(upto), F.lit(0)), F.lit(0)))
+    state = F.when(~F.col("__top"), None).when(loose & F.col("kind").isin("open", "close"), F.col("kind") == "open").when(F.col("tag").isin(*BLOCK) & F.col("kind").isin("open", "void"), False)
+    marked = summed.withColumn("__in", F.coalesce(F.last(state, ignorenulls=True).over(before), F.lit(False)))
+    solid = F.col("kind").isin("open", "void", "raw") | ((F.col("kind") == "text") & (utrim(F.col("raw")) != ""))
+    starts = F.col("__top") & solid & (~F.col("__in") | (F.col("kind") == "open") & (loose | F.col("tag").isin(*BLOCK)) | (F.col("kind") == "void") & F.col("tag").isin(*BLOCK))
     size = F.when(F.col("kind") == "text", F.octet_length(utrim(decode_entities(F.col("raw"))))).otherwise(0)
-    numbered = tokens.withColumn("block_no", F.sum(starts.cast("int")).over(line).cast("int")).where("block_no > 0")
+    numbered = marked.withColumn("block_no", F.sum(starts.cast("int")).over(upto).cast("int")).where("block_no > 0")
     own = numbered.groupBy(*key, "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("ts"), F.sum(size).cast("int").alias("len"))
     return own.select(*key, "block_no", F.array_join("ts.raw", "").alias("html"), "len")
 
 
 def extract_segments(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
     """(key, seq from 0, text): decoded, trimmed, non-blank text outside script, style, code and pre, in document order."""
-    return pages.select(*key, F.posexplode(visible_texts(F.col(html), SKIPPED)).alias("seq", "text"))
+    return pages.select(*key, F.posexplode(visible_texts(F.col(html), SEGMENT_TOKEN)).alias("seq", "text"))
 
 
 def segment_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """Tokens with ``text``: what is translated in them, null in all others."""
-    tokens = html_tokens(pages, key, html)
-    step = F.when(F.col("tag").isin("pre", "code"), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)
-    inside = F.sum(step).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    text = utrim(decode_entities(F.col("raw")))
-    return tokens.withColumn("__in", inside).withColumn("text", F.when((F.col("kind") == "text") & (F.col("__in") <= 0) & (text != ""), text)).drop("__in")
+    """(key, pos, raw, text): tokens with what is translated in them, null in all others."""
+    tokens = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SEGMENT_TOKEN), 0)).alias("pos", "raw"))
+    text = F.when(~F.col("raw").rlike(NOT_TEXT), utrim(decode_entities(F.col("raw"))))
+    return tokens.withColumn("text", F.nullif(text, F.lit("")))
 
 
 def apply_translations(pages: DataFrame, tm: DataFrame, key: list[str], html: str = "html", encode=None) -> DataFrame:
     """(key, html): each segment's text replaced by ``tm`` (text, translated), outer white space kept.
 
-    Without a translation, or with an empty one, the token stays byte for byte; so do all other tokens. Pages without a
-    token have null html. ``encode`` (default: HTML escaping of & < >) is applied to translations.
+    Without a translation, or with an empty one, the token stays byte for byte; so do all other tokens, which are not part
+    of the join. Empty and null pages have no row. ``encode`` (default: HTML escaping of & < >) is applied to translations.
     """
     encode = encode or (lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
     known = tm.where("translated is not null and translated <> ''").groupBy("text").agg(F.min("translated").alias("translated"))
-    both = segment_tokens(pages, key, html).join(known, "text", "left")
+    tokens = segment_tokens(pages, key, html)
     lead, trail = F.regexp_extract("raw", r"^([ \t\n\r]*)", 1), F.regexp_extract("raw", r"([ \t\n\r]*)$", 1)
     out = F.when(F.col("translated").isNull(), F.col("raw")).otherwise(F.concat(lead, encode(F.col("translated")), trail))
-    own = both.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", out.alias("raw")))).alias("ts"))
+    said = tokens.where("text is not null").join(known, "text", "left").select(*key, "pos", out.alias("raw"))
+    both = said.unionByName(tokens.where("text is null").select(*key, "pos", "raw"))
+    own = both.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("ts"))
     return own.select(*key, F.array_join("ts.raw", "").alias("html"))

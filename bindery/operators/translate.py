@@ -9,10 +9,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from bindery.functions.text import is_echo, language_name, utrim
+from bindery.functions.text import duration, is_echo, language_name, utrim
 
 Backend = Callable[[list[str], str, str], list[str]]
 USD_PER_MILLION, ASK_BYTES, ECHO_PASSES = 20.0, 1000, 2
@@ -80,13 +81,9 @@ def prompt_of(texts: Column, src: Column, dst: Column) -> Column:
     return F.concat(head, F.array_join(F.transform(texts, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t, F.lit("\n"))), ""))
 
 
-#: The rules of the prompt.
-PROMPT_RULES = """.
-Rules:
-- Output ONLY the translated lines, numbered exactly as input.
-- NEVER leave a line in the original language.
-- Do NOT add explanations, comments, or extra text.
-- If a line contains quoted speech, translate the speech too.
+#: What a model is told besides the languages.
+PROMPT_RULES = """. Answer with one numbered line for every line below, under the same number, and with nothing else.
+Translate all of a line, quotations included.
 
 """
 
@@ -106,29 +103,47 @@ def parse_reply(reply: Column, n: Column) -> Column:
     return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(utrim(F.try_element_at(of(i), F.lit(-1))["v"]), F.lit(""))))
 
 
-def translate(batches: DataFrame, backend: Backend, src: str, dst: str, parallel: int | None = None, batch: str = "batch_no") -> DataFrame:
-    """(batch, text, translated, error) from (batch, text): one call per batch and partition; a failing batch has an error and
-    no translations, others go on. ``parallel`` bounds the calls at a time. Write the result before it is used twice."""
+def translate(batches: DataFrame, backend: Backend, src: str, dst: str, batch: list[str], order: str, parallel: int | None = None) -> DataFrame:
+    """(batch, order, text, translated, error) from (batch, order, text): one call per batch, its texts in order.
+
+    ``batch`` names all columns that make a batch, such as a page and its batch_no. Batches are held together over the
+    borders of what Spark hands over at once. A failing batch has an error and no translations, others go on. ``parallel``
+    bounds the calls at a time. Write the result before it is used twice.
+    """
+    kept = [*batch, order, "text"]
+
+    def call(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            got, error = backend(rows["text"].tolist(), src, dst), None
+            if len(got) != len(rows):
+                raise BackendError(f"{len(got)} texts for {len(rows)}")
+        except Exception as e:  # noqa: BLE001  a backend's failure is data here
+            got, error = [None] * len(rows), f"{type(e).__name__}: {e}"
+        return rows.assign(translated=got, error=error)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for rows in parts:
-            for _, own in rows.groupby(batch, sort=False):
-                try:
-                    got, error = backend(own["text"].tolist(), src, dst), None
-                    if len(got) != len(own):
-                        raise BackendError(f"{len(got)} texts for {len(own)}")
-                except Exception as e:  # noqa: BLE001  a backend's failure is data here
-                    got, error = [None] * len(own), f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({batch: own[batch], "text": own["text"], "translated": got, "error": error})
-
-    dealt = batches.select(batch, "text")
-    dealt = dealt.repartition(parallel, batch) if parallel else dealt.repartition(batch)
-    return dealt.sortWithinPartitions(batch).mapInPandas(run, f"{batch} {dict(batches.dtypes)[batch]}, text string, translated string, error string")
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            if rows.empty:
+                continue
+            number = rows.groupby(batch, sort=False, dropna=False).ngroup().to_numpy()
+            cut = int((number != number[-1]).sum())
+            for _, own in rows[:cut].groupby(number[:cut], sort=False):
+                yield call(own)
+            rest = rows[cut:]
+        if rest is not None and len(rest):
+            yield call(rest)
+
+    dealt = batches.select(*kept)
+    dealt = dealt.repartition(parallel, *batch) if parallel else dealt.repartition(*batch)
+    schema = StructType([*dealt.schema.fields, StructField("translated", StringType()), StructField("error", StringType())])
+    return dealt.sortWithinPartitions(*batch, order).mapInPandas(run, schema)
 
 
 def retry_echoes(done: DataFrame, backend: Backend, src: str, dst: str, passes: int = ECHO_PASSES) -> DataFrame:
-    """(text, translated, error, tries): texts that came back unchanged or empty are asked for again one by one, at most
-    ``passes`` times, in the task that holds them; the last answer that isn't an echo stays."""
+    """``done`` (text, translated, error and more) with tries: texts that came back unchanged or empty are asked for again one
+    by one, at most ``passes`` times, in the task that holds them; the last answer that isn't an echo stays."""
 
     def echo(t: str | None, o: str) -> bool:
         t, o = (t or "").strip(), o.strip()
@@ -136,24 +151,39 @@ def retry_echoes(done: DataFrame, backend: Backend, src: str, dst: str, passes:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            got, tries = rows["translated"].tolist(), [0] * len(rows)
-            open_ = [i for i, (t, o, e) in enumerate(zip(got, rows["text"], rows["error"], strict=True)) if e is None and echo(t, o)]
+            texts, got, tries = rows["text"].tolist(), rows["translated"].tolist(), [0] * len(rows)
+            open_ = [i for i, (t, o, e) in enumerate(zip(got, texts, rows["error"], strict=True)) if e is None and echo(t, o)]
             for _ in range(passes):
                 before = len(open_)
                 for i in open_:
                     tries[i] += 1
                     try:
-                        answer = backend([rows["text"].iloc[i]], src, dst)[0]
+                        answer = backend([texts[i]], src, dst)[0]
                     except Exception:  # noqa: BLE001  the first answer stays
                         continue
-                    if not echo(answer, rows["text"].iloc[i]):
+                    if not echo(answer, texts[i]):
                         got[i] = answer
-                open_ = [i for i in open_ if echo(got[i], rows["text"].iloc[i])]
+                open_ = [i for i in open_ if echo(got[i], texts[i])]
                 if len(open_) == before or not open_:
                     break
-            yield pd.DataFrame({"text": rows["text"], "translated": got, "error": rows["error"], "tries": tries})
+            yield rows.assign(translated=got, tries=tries)
+
+    return done.mapInPandas(run, StructType([*done.schema.fields, StructField("tries", IntegerType())]))
+
+
+def translation_metrics(done: DataFrame, key: list[str], seconds: Column) -> DataFrame:
+    """(key, total, done, failed, bytes, rate, eta) of translated texts: ``rate`` in bytes a second, ``eta`` what the texts
+    that failed would take at that rate. ``seconds`` is how long the work took, a column of ``key``."""
+    size = F.octet_length("text").cast("long")
+    ok = F.col("error").isNull()
+    sums = done.groupBy(*key).agg(F.count("*").alias("total"), F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, size)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~ok, size)), F.lit(0)).alias("open"))
+    rate = F.col("bytes") / seconds
+    return sums.select(*key, "total", "done", "failed", "bytes", rate.alias("rate"), F.when(F.col("bytes") > 0, duration(F.floor(F.col("open") / rate).cast("double"))).alias("eta"))
+
 
-    return done.select("text", "translated", "error").mapInPandas(run, "text string, translated string, error string, tries int")
+def observed(done: DataFrame, watch: Observation) -> DataFrame:
+    """``done`` unchanged; once it has been written, ``watch`` holds texts, failed and bytes, counted on the way."""
+    return done.observe(watch, F.count(F.lit(1)).alias("texts"), F.count("error").alias("failed"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
 
 
 def with_titles(segments: DataFrame, books: DataFrame) -> DataFrame:

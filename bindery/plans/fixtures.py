@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +47,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 def source_books(spark: SparkSession, d: str) -> DataFrame:
     """Each source is a book, its documents the chapters."""
     pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return documents(spark, d).select(F.col("source").alias("book_id"), pos.alias("spine_pos"), "doc_id", "text").withColumn("href", F.format_string("page_%03d.html", "spine_pos"))
+    keys = documents(spark, d).select(F.col("source").alias("book_id"), "doc_id", pos.alias("spine_pos"))
+    return keys.join(documents(spark, d).select("doc_id", "text"), "doc_id").select("book_id", "spine_pos", "doc_id", "text").withColumn("href", F.format_string("page_%03d.html", "spine_pos"))
 
 
 SOURCE_BOOKS = "sb as (select source as book_id, cast(row_number() over (partition by source order by doc_id) as int) as spine_pos, doc_id, text from documents), source_books as (select *, format('page_{:03d}.html', spine_pos) as href from sb)"
@@ -49,8 +56,10 @@ SOURCE_BOOKS = "sb as (select source as book_id, cast(row_number() over (partiti
 
 def site_books(spark: SparkSession, d: str) -> DataFrame:
     """Each host is a book, its pages the chapters."""
-    pages = table(spark, d, "pages").withColumn("book_id", F.regexp_extract("url", "://([^/?#]*)", 1))
-    return pages.select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")).alias("spine_pos"), "page_id", "url", "html")
+    pages = table(spark, d, "pages")
+    keys = pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("book_id"), "page_id")
+    keys = keys.withColumn("spine_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")))  # keys alone: a large host's pages don't meet in one task
+    return keys.join(pages, "page_id").select("book_id", "spine_pos", "page_id", "url", "html")
 
 
 SITE_BOOKS = "hosts as (select *, regexp_extract(url, '://([^/?#]*)', 1) as book_id from pages), site_books as (select book_id, cast(row_number() over (partition by book_id order by page_id) as int) as spine_pos, page_id, url, html from hosts)"
@@ -117,6 +126,43 @@ def file_paths(spark: SparkSession, d: str) -> DataFrame:
 FILE_PATHS = "file_paths as (select doc_id, '/lib/' || source || '/' || ([' Title.. ', '   ...   ', 'con', 'Com3', 'Company', 'Book ' || cast(doc_id // 24 as varchar)])[doc_id % 6 + 1] || '.' || ([" + ", ".join(f"'{x}'" for x in EXTENSIONS) + "])[doc_id % 12 + 1] as path, case when doc_id % 3 = 0 then '  ' else substring(text, 1, 20) end as title from documents)"
 
 
+def _file(doc_id: int, text: str) -> tuple[str, bytes]:
+    """A document as a file, of a kind that its id gives: archive, marked-up book, rich text, text, page, or one that is a reject."""
+    from xml.sax.saxutils import escape as xml
+
+    kind, lines = doc_id % 8, text.split("\n")
+    if kind == 0:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+            z.writestr("OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Archive {doc_id}</dc:title></metadata><manifest><item id="s" href="a.css"/><item id="c1" href="ch1.xhtml" media-type="application/xhtml+xml"/><item id="c2" href="ch2.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c2"/><itemref idref="gone"/><itemref idref="c1"/></spine></package>')
+            z.writestr("OEBPS/ch1.xhtml", f'<html><body><p>{xml(lines[0])}</p><a href="ch2.xhtml">on</a></body></html>')
+            z.writestr("OEBPS/ch2.xhtml", f"<html><body><p>{xml(lines[-1])}</p></body></html>")
+            z.writestr("../../evil.txt", "no")
+        return ".epub", out.getvalue()
+    if kind == 1:
+        return ".fb2", f"<FictionBook><description><title-info><book-title>Tale {doc_id}</book-title></title-info></description><body><section>{''.join(f'<p>{xml(x)}</p>' for x in lines)}</section></body></FictionBook>".encode()
+    if kind == 2:
+        return ".rtf", b"{\\rtf1\\ansi " + b"\\par ".join(re.sub(r"[^ -\[\]-z|]", "", x).encode() for x in lines) + b"}"
+    if kind == 4:
+        return ".html", f"<head><title> Page &amp; {doc_id} </title></head><body class='a>b'><p>{xml(text)}</p></body>".encode()
+    return (".pdf", b"%PDF") if kind == 5 else (".epub", text.encode()) if kind == 6 else (".txt", b" \n") if kind == 7 else (".txt", text.encode())
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): each document as a file of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [_file(i, t) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
+            yield pd.DataFrame({"path": [f"/lib/b{i}{e}" for i, (e, _) in zip(rows["doc_id"], made, strict=True)], "content": [c for _, c in made]})
+
+    return documents(spark, d).select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+FILES = "files as (select *, doc_id % 8 as kind, '/lib/b' || doc_id || (['.epub', '.fb2', '.rtf', '.txt', '.html', '.pdf', '.epub', '.txt'])[doc_id % 8 + 1] as path from documents)"
+
+
 def images(spark: SparkSession, d: str) -> DataFrame:
     """An image for every third document of a source, named after the page its paragraphs would be on."""
     return source_books(spark, d).where("spine_pos % 3 = 0").select("book_id", F.concat("book_id", F.lit("_"), F.col("spine_pos").cast("string"), F.lit("_Im0.png")).alias("file_name"))

@@ -58,17 +58,29 @@ def a8(s, d):
     return X.file_paths(s, d).select("doc_id", T.book_title(F.col("title"), F.col("path")).alias("title"))
 
 
+def q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+CODE = "try_cast(replace(replace(e[3:-2], 'x', '0x'), 'X', '0x') as bigint)"
+CHARACTER = (
+    f"case when starts_with(e, '&#') then case when {CODE} = 0 or {CODE} > 1114111 or {CODE} between 55296 and 57343 then chr(65533) when {CODE} between 128 and 159 then {q(T.C1)}[{CODE} - 127] else chr(cast({CODE} as int)) end"
+    " else coalesce(map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in T.ENTITIES.items()) + "}[e[2:-2]], e) end"
+)
+
+
 def decode_sql(x: str) -> str:
-    for entity, raw in T.ENTITIES:
-        x = f"replace({x}, '{entity}', '{raw.replace(chr(39), chr(39) * 2)}')"
-    return x
+    return f"(case when contains({x}, '&') then array_to_string(list_transform(list_zip(regexp_split_to_array({x}, {q(T.ENTITY)}), list_transform(regexp_extract_all({x}, {q(T.ENTITY)}), lambda e: {CHARACTER})), lambda z: z[1] || coalesce(z[2], '')), '') else {x} end)"
 
 
 URL_STEM = STEM.replace("path", "url")
-BODY = r"case when not regexp_matches(html, '(?i)<body[^>]*>') then html else regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?is)</body\s*>.*$', '') end"
+BODY = f"case when not regexp_matches(html, {q('(?i)' + T.BODY_TAG)}) then html else regexp_replace(regexp_extract(html, {q('(?is)' + T.BODY_TAG + '(.*)$')}, 1), '(?is)</body\\s*>.*$', '') end"
+
+
+PAGE_TITLE = f"coalesce(list_filter(list_transform(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>', 1), lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')[1], {URL_STEM})"
 
 
-@query("a9_html_title", f"select page_id, coalesce(list_filter(list_transform(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>', 1), lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')[1], {URL_STEM}) as title from pages")
+@query("a9_html_title", f"select page_id, {PAGE_TITLE} as title from pages")
 def a9(s, d):
     return X.table(s, d, "pages").select("page_id", T.html_title(F.col("html"), F.col("url")).alias("title"))
 
@@ -116,21 +128,43 @@ def b5(s, d):
     return X.table(s, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("html"))
 
 
-def q(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
+def rendered(title: str, style: str, body: str) -> str:
+    """A page as SQL from escaped ``title``, page_no, total_pages and ``body``."""
+    look = paragraphs._LOOK + (paragraphs._TEXT | paragraphs._HTML)[style]
+    return "||".join([q('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), title, q(f'</title><style>{look}</style></head>\n<body>\n<div class="page-header">'), title, q(" — "), "page_no", q(" / "), "total_pages", q("</div>\n"), body, q("</body></html>\n")])
+
+
+def text_pages(title: str, style: str, paged: str = "paged", more: str = "") -> str:
+    """Rendered pages of paginated paragraphs as SQL."""
+    body = f"string_agg('<p>' || {escape('text')} || '</p>' || chr(10), '' order by seq)"
+    return f"select doc_id, {more} page_no, total_pages, item_id, href, {rendered('t', style, 'body')} as html from (select doc_id, {more} cast(page_no as int) as page_no, cast(total_pages as int) as total_pages, format('page_{{:03d}}', page_no) as item_id, format('page_{{:03d}}.html', page_no) as href, {title} as t, {body} as body from {paged} group by all)"
 
 
-RENDER = "||".join([q(paragraphs._START + "  <title>"), "t", q(" — Page "), "page_no", q("</title>\n  <style>\n" + paragraphs._SERIF + paragraphs._HEADER + paragraphs._BODY["txt"] + '  </style>\n</head>\n<body>\n  <div class="page-header">'), "t", q(" — "), "page_no", q(" / "), "total_pages", q("</div>\n"), "body", q("</body>\n</html>\n")])
+DOC_TITLE = escape(q("Doc <") + " || doc_id || " + q(">"))
 
 
-@query("b6_render_pages", with_sql(PARAS, PAGED, select=f"select doc_id, page_no, total_pages, item_id, href, {RENDER} as html from (select doc_id, cast(page_no as int) as page_no, cast(total_pages as int) as total_pages, format('page_{{:03d}}', page_no) as item_id, format('page_{{:03d}}.html', page_no) as href, 'Doc <' || doc_id || '>' as t0, {escape(q('Doc <') + ' || doc_id || ' + q('>'))} as t, string_agg('  <p>' || {escape('text')} || '</p>' || chr(10), '' order by seq) as body from paged group by all)"))
+@query("b6_render_pages", with_sql(PARAS, PAGED, select=text_pages(DOC_TITLE, "txt")))
 def b6(s, d):
-    paged = paragraphs.paginate(paragraphs.paragraphs(X.documents(s, d), ["doc_id"], counted=True), ["doc_id"])
-    return paragraphs.render_pages(paged, ["doc_id"], F.concat(F.lit("Doc <"), F.col("doc_id").cast("string"), F.lit(">")))
+    return paragraphs.render_texts(X.documents(s, d), ["doc_id"], F.concat(F.lit("Doc <"), F.col("doc_id").cast("string"), F.lit(">")))
 
 
-@query("b7_split_sections", rf"""select page_id, cast(row_number() over (partition by page_id order by i) as int) as sec_no, html from (select page_id, i, case when headed and i = 1 and not regexp_matches(h, '(?i)^<h[12]') then {trim('h')} else h end as html, headed from
- (select page_id, headed, generate_subscripts(ps, 1) as i, unnest(ps) as h from (select page_id, regexp_matches(html, '(?i)<h[12]') as headed, string_split(regexp_replace(html, '(?i)(<h[12])', chr(1) || '\1', 'g'), chr(1)) as ps from pages))) where html <> '' or not headed""")
+SECTIONS = rf"""sections as (select page_id, cast(row_number() over (partition by page_id order by i) as int) as sec_no, html from (select page_id, i, case when headed and i = 1 and not regexp_matches(h, '(?i)^<h[12]') then {trim('h')} else h end as html, headed from
+ (select page_id, headed, generate_subscripts(ps, 1) as i, unnest(ps) as h from (select page_id, regexp_matches(html, '(?i)<h[12]') as headed, string_split(regexp_replace(html, '(?i)(<h[12])', chr(1) || '\1', 'g'), chr(1)) as ps from pages))) where html <> '' or not headed)"""
+
+
+@query("b6_render_sections", with_sql(SECTIONS, select=f"select page_id, page_no, total_pages, {rendered(escape(q('Page ') + ' || page_id'), 'md', 'html || chr(10)')} as html from (select page_id, sec_no as page_no, cast(count(*) over (partition by page_id) as int) as total_pages, html from sections)"))
+def b6_sections(s, d):
+    """Sections of HTML, one a page, in the style of converted Markdown."""
+    from pyspark.sql import Window
+
+    own = paragraphs.split_sections(X.table(s, d, "pages"), ["page_id"])
+    own = own.select("page_id", F.col("sec_no").alias("page_no"), F.count("*").over(Window.partitionBy("page_id")).cast("int").alias("total_pages"), F.col("sec_no").alias("seq"), F.col("html").alias("text"))
+    item = F.format_string("page_%03d", "page_no")
+    paged = own.withColumn("item_id", item).withColumn("href", F.concat(item, F.lit(".html")))
+    return paragraphs.render_pages(paged, ["page_id"], F.concat(F.lit("Page "), F.col("page_id").cast("string")), "md").select("page_id", "page_no", "total_pages", "html")
+
+
+@query("b7_split_sections", with_sql(SECTIONS, select="select * from sections"))
 def b7(s, d):
     return paragraphs.split_sections(X.table(s, d, "pages"), ["page_id"])
 
@@ -239,10 +273,11 @@ MANIFEST = """m1 as (select book_id, spine_pos * 2 as pos, 'ch' || spine_pos as
 SPINE_HREFS = "hrefs as (select s.book_id, s.spine_pos, m.href, m.media_type from spine s join (select *, row_number() over (partition by book_id, item_id order by pos desc) as n from manifest) m on m.book_id = s.book_id and m.item_id = s.idref and m.n = 1)"
 
 
-@query("c1_c2_parse_package", with_sql(X.SOURCE_BOOKS, MANIFEST, select="select book_id, pos // 2 as pos, item_id, href, media_type, 'Title of ' || book_id as title, 'OEBPS' as base_path from manifest where pos % 2 = 0"))
+@query("c1_c2_parse_package", with_sql(X.SOURCE_BOOKS, MANIFEST, select="select book_id, pos // 2 as pos, item_id, href, case when pos % 3 = 0 then '' else media_type end as media_type, 'Title of ' || book_id as title, 'OEBPS' as base_path from manifest where pos % 2 = 0"))
 def c1(s, d):
+    """Every third item lacks its media type."""
     first = manifest_of(s, d).where("pos % 2 = 0")
-    item = F.concat(F.lit('<item id="'), "item_id", F.lit('" href="'), "href", F.lit('" media-type="'), "media_type", F.lit('"/>'))
+    item = F.concat(F.lit('<item id="'), "item_id", F.lit('" href="'), "href", F.lit('"'), F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat(F.lit(' media-type="'), "media_type", F.lit('"'))), F.lit("/>"))
     xml = first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))).alias("xs"))
     head = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Title of '), "book_id", F.lit("</dc:title></metadata><manifest>"))
     package = xml.select("book_id", F.concat(head, F.array_join("xs.x", ""), F.lit("</manifest><spine/></package>")).alias("xml"))
@@ -273,8 +308,21 @@ def c5(s, d):
 
 
 def linked_pages(s, d):
-    """A page for each content item whose text links to the first chapters."""
-    return X.source_books(s, d).where("spine_pos <= 3").select("book_id", "spine_pos", F.lit('<a href="page_004.XHTML">4</a> <a href="index.html">5</a>').alias("html"))
+    """A page for each chapter: it links to the chapters before and after it by their names in the manifest, and to a sheet."""
+    from pyspark.sql import Window
+
+    first = manifest_of(s, d).where("pos % 2 = 0")
+    line = Window.partitionBy("book_id").orderBy("pos")
+    link = lambda to, text: F.coalesce(F.concat(F.lit('<a href="'), to, F.lit(f'#top">{text}</a>')), F.lit(""))
+    near = first.withColumns({"p": F.lag("href").over(line), "n": F.lead("href").over(line)})
+    return near.select("book_id", F.expr("cast(pos div 2 as int)").alias("spine_pos"), F.concat(link(F.col("p"), "back"), F.lit("<link href='a.css'>page_004.XHTML index.html"), link(F.col("n"), "on")).alias("html"))
+
+
+def links_sql(renamed: str, to: str) -> str:
+    """Pages whose two links are replaced where the manifest has a renamed item of that name."""
+    new = lambda x: f"case when (book_id, {x}) in (select (book_id, href) from manifest where {renamed}) then {to.format(x)} else {x} end"
+    link = lambda x, text: f"coalesce('<a href=\"' || {new(x)} || '#top\">{text}</a>', '')"
+    return f"select book_id, spine_pos, {link('p', 'back')} || '<link href=''a.css''>page_004.XHTML index.html' || {link('n', 'on')} as html from (select book_id, cast(pos // 2 as int) as spine_pos, lag(href) over w as p, lead(href) over w as n from m1 window w as (partition by book_id order by pos))"
 
 
 XH = "(regexp_matches(href, '(?i)\\.xhtml?$') and media_type in ('application/xhtml+xml', 'text/html'))"
@@ -285,12 +333,12 @@ def c6(s, d):
     return books.normalize_hrefs(manifest_of(s, d), linked_pages(s, d))[0]
 
 
-@query("c6_rewrite_links", with_sql(X.SOURCE_BOOKS, MANIFEST, select=f"select book_id, spine_pos, case when exists (select 1 from manifest m where m.book_id = s.book_id and href = 'page_004.XHTML' and {XH}) then replace(h, 'page_004.XHTML', 'page_004.html') else h end as html from (select book_id, spine_pos, '<a href=\"page_004.XHTML\">4</a> <a href=\"index.html\">5</a>' as h from source_books where spine_pos <= 3) s"))
+@query("c6_rewrite_links", with_sql(X.SOURCE_BOOKS, MANIFEST, select=links_sql(XH, "regexp_replace({}, '(?i)\\.xhtml?$', '.html')")))
 def c6_pages(s, d):
     return books.normalize_hrefs(manifest_of(s, d), linked_pages(s, d))[1].select("book_id", "spine_pos", "html")
 
 
-@query("c7_rename_reserved", with_sql(X.SOURCE_BOOKS, MANIFEST, select="select book_id, spine_pos, case when exists (select 1 from manifest m where m.book_id = s.book_id and href = 'index.html' and media_type in ('application/xhtml+xml', 'text/html', '')) then replace(h, 'index.html', '_content_index.html') else h end as html from (select book_id, spine_pos, '<a href=\"page_004.XHTML\">4</a> <a href=\"index.html\">5</a>' as h from source_books where spine_pos <= 3) s"))
+@query("c7_rename_reserved", with_sql(X.SOURCE_BOOKS, MANIFEST, select=links_sql("href = 'index.html' and media_type in ('application/xhtml+xml', 'text/html', '')", "'_content_' || {}")))
 def c7(s, d):
     return books.rename_reserved(manifest_of(s, d).withColumn("base_path", F.lit("")), linked_pages(s, d))[1].select("book_id", "spine_pos", "html")
 
@@ -358,20 +406,53 @@ def g5(s, d):
     return report.chapter_report(c3(s, d), ["book_id"])
 
 
-def files_of(s, d):
-    """Documents as files: text for every format, so archives and XML are broken and must become rejects."""
-    return X.file_paths(s, d).join(X.documents(s, d), "doc_id").select("path", F.col("text").cast("binary").alias("content"))
+XML = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LINES_OF = {
+    "fb2": f"list_transform(string_split(text, chr(10)), lambda l: {trim(f"regexp_replace(l, '{X.SP}+', ' ', 'g')")})",
+    "rtf": f"list_transform(string_split(text, chr(10)), lambda l: {trim(r"regexp_replace(l, '[^ -\[\]-z|]', '', 'g')")})",
+    "txt": para_list("text"),
+}
+
 
+def kind_pages(kind: int, fmt: str, title: str) -> str:
+    """Pages of one kind of text files as SQL."""
+    paras = f"select doc_id, path, cast(generate_subscripts(ps, 1) - 1 as int) as seq, unnest(ps) as text from (select doc_id, path, list_filter({LINES_OF[fmt]}, lambda p: p <> '') as ps from files where kind = {kind})"
+    paged = f"(select *, seq // 30 + 1 as page_no, max(seq // 30 + 1) over (partition by doc_id) as total_pages from ({paras}))"
+    return f"select path, page_no, item_id, href, html from ({text_pages(title, fmt, paged, 'path, ')})"
 
-@query("a2_ingest_pages")
+
+CHAPTER = lambda n, item, body: f"select path, {n} as page_no, 'c{item}' as item_id, 'ch{item}.html' as href, '<html><body><p>' || {body} || '</body></html>' as html from files where kind = 0"
+FILE_PAGES = " union all ".join(
+    [
+        kind_pages(3, "txt", "'b' || doc_id"),
+        kind_pages(1, "fb2", "'Tale ' || doc_id"),
+        kind_pages(2, "rtf", "'b' || doc_id"),
+        f"select path, 1, 'page_001', 'page_001.html', {rendered(escape(q('Page & ') + ' || doc_id'), 'html', q('<p>') + ' || ' + XML('text') + ' || ' + q('</p>') + ' || chr(10)')} from (select *, 1 as page_no, 1 as total_pages from files where kind = 4)",
+        CHAPTER(1, 2, XML("string_split(text, chr(10))[-1]") + " || '</p>'"),
+        CHAPTER(3, 1, XML("string_split(text, chr(10))[1]") + " || '</p><a href=\"ch2.html\">on</a>'"),
+    ]
+)
+
+
+@query("a2_ingest_pages", with_sql(X.FILES, select=FILE_PAGES))
 def a2(s, d):
+    """Pages of files of every format that is read."""
+    from bindery.sources.ingest import ingest
+
+    tables = ingest(X.files(s, d))
+    return tables["pages"].join(tables["books"].select("book_id", "path"), "book_id").select("path", "page_no", "item_id", "href", "html")
+
+
+@query("a2_ingest_books", with_sql(X.FILES, select="select path, (['epub', 'fb2', 'rtf', 'txt', 'html'])[kind + 1] as fmt, (['Archive ', 'Tale ', 'b', 'b', 'Page & '])[kind + 1] || doc_id as title, case when kind = 0 then 'OEBPS' else '' end as base_path, false as truncated from files where kind < 5"))
+def a2_books(s, d):
     from bindery.sources.ingest import ingest
 
-    return ingest(files_of(s, d))["pages"]
+    return ingest(X.files(s, d))["books"].drop("book_id")
 
 
-@query("a2_ingest_rejects")
+@query("a2_ingest_rejects", with_sql(X.FILES, select="select path, (['no_decoder', 'BadZipFile', 'empty'])[kind - 4] as reason from files where kind > 4"))
 def a2_rejects(s, d):
+    """Files of a format without a decoder, broken archives, and files without text."""
     from bindery.sources.ingest import ingest
 
-    return ingest(files_of(s, d))["rejects"].withColumn("reason", F.substring_index("reason", ":", 1))
+    return ingest(X.files(s, d))["rejects"].select("path", F.substring_index("reason", ":", 1).alias("reason"))

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from bindery.operators import pack, report, site, tokens, translate
 from bindery.plans import fixtures as X
 from bindery.plans.fixtures import escape, norm, trim, with_sql
-from bindery.plans.queries import BODY, PARAS, decode_sql, q, query
+from bindery.functions.text import BODY_TAG, html_title
+from bindery.plans.queries import BODY, PAGE_TITLE, PARAS, decode_sql, q, query
 
 
-def texts_sql(html: str, skipped: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all('>' || regexp_replace({html}, '{skipped}', '<>', 'g'), '>([^<]+)', 1), lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')"
+def texts_sql(html: str, pattern: str) -> str:
+    return f"list_filter(list_transform(list_filter(regexp_extract_all({html}, {q(pattern)}), lambda r: not regexp_matches(r, '{tokens.NOT_TEXT}')), lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')"
 
 
-SEGMENTS = f"segs as (select book_id, page_id, cast(generate_subscripts(ts, 1) - 1 as int) as seq, unnest(ts) as text from (select book_id, page_id, {texts_sql('html', tokens.SKIPPED)} as ts from site_books))"
-TOKENS = rf"""tk as (select page_id, cast(generate_subscripts(rs, 1) - 1 as int) as pos, unnest(rs) as raw from (select page_id, regexp_extract_all(html, '{tokens.TOKEN}') as rs from pages)),
+SEGMENTS = f"segs as (select book_id, page_id, cast(generate_subscripts(ts, 1) - 1 as int) as seq, unnest(ts) as text from (select book_id, page_id, {texts_sql('html', tokens.SEGMENT_TOKEN)} as ts from site_books))"
+TOKENS = rf"""tk as (select page_id, cast(generate_subscripts(rs, 1) - 1 as int) as pos, unnest(rs) as raw from (select page_id, regexp_extract_all(html, {q(tokens.TOKEN)}) as rs from pages)),
  tg as (select *, lower(regexp_extract(raw, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) as tag from tk),
- kn as (select *, case when starts_with(raw, '<!') then 'comment' when tag <> '' and starts_with(raw, '</') then 'close' when tag in ('script', 'style') then 'raw' when tag in {tokens.VOID} or (tag <> '' and ends_with(raw, '/>')) then 'void' when tag <> '' then 'open' else 'text' end as kind from tg),
+ kn as (select *, case when regexp_matches(raw, '^<[!?]') or (tag = '' and starts_with(raw, '</')) then 'comment' when tag <> '' and starts_with(raw, '</') then 'close' when tag in ('script', 'style') then 'raw' when tag in {tokens.VOID} or (tag <> '' and ends_with(raw, '/>')) then 'void' when tag <> '' then 'open' else 'text' end as kind from tg),
  sm as (select *, coalesce(sum(case when kind = 'open' then 1 when kind = 'close' and tag not in {tokens.VOID} then -1 else 0 end) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding), 0) as s from kn),
  tokens as (select page_id, pos, kind, tag, raw, cast(s - least(min(s) over (partition by page_id order by pos), 0) as int) as depth from sm)"""
 
@@ -32,13 +33,19 @@ def d1(s, d):
     return tokens.html_tokens(X.table(s, d, "pages"), ["page_id"])
 
 
-@query("d2_text_len", f"select page_id, cast(coalesce(list_sum(list_transform(ts, lambda t: strlen(t))), 0) as int) as text_len from (select page_id, {texts_sql('html', tokens.NOT_TEXT)} as ts from (select page_id, {BODY} as html from pages))")
+@query("d2_text_len", f"select page_id, cast(coalesce(list_sum(list_transform(ts, lambda t: strlen(t))), 0) as int) as text_len from (select page_id, {texts_sql('html', tokens.TOKEN)} as ts from (select page_id, {BODY} as html from pages))")
 def d2(s, d):
     return tokens.text_len(X.table(s, d, "pages"), ["page_id"])
 
 
-BODY_TOKENS = TOKENS.replace("html, '(?is)<!--", "html, '(?is)<!--", 1).replace("from pages))", f"from (select page_id, {BODY} as html from pages)))", 1)
-STARTS = f"st as (select *, cast(sum(case when depth = 0 and (kind in ('open', 'void', 'raw') or (kind = 'text' and {trim('raw')} <> '')) then 1 else 0 end) over (partition by page_id order by pos) as int) as block_no from tokens), bb as (select page_id, block_no, string_agg(raw, '' order by pos) as html, cast(sum(case when kind = 'text' then strlen({trim(decode_sql('raw'))}) else 0 end) as int) as len from st where block_no > 0 group by page_id, block_no)"
+BODY_TOKENS = TOKENS.replace("from pages))", f"from (select page_id, {BODY} as html from pages)))", 1)
+LOOSE, BLOCK = tokens.CLOSED_BY_NEXT, tokens.BLOCK
+STARTS = f"""su as (select page_id, pos, kind, tag, raw, coalesce(sum(case when tag in {LOOSE} then 0 when kind = 'open' then 1 when kind = 'close' and tag not in {tokens.VOID} then -1 else 0 end) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding), 0) as s from tokens),
+ tp as (select *, s = least(min(s) over (partition by page_id order by pos), 0) as top from su),
+ ev as (select *, case when not top then null when tag in {LOOSE} and kind = 'open' then 1 when tag in {LOOSE} and kind = 'close' then 0 when tag in {BLOCK} and kind in ('open', 'void') then 0 end as e from tp),
+ st as (select *, coalesce(last_value(e ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding), 0) as inside from ev),
+ nb as (select *, cast(sum(case when top and ((inside = 0 and (kind in ('open', 'void', 'raw') or (kind = 'text' and {trim('raw')} <> ''))) or (kind = 'open' and tag in {LOOSE}) or (kind in ('open', 'void') and tag in {BLOCK})) then 1 else 0 end) over (partition by page_id order by pos) as int) as block_no from st),
+ bb as (select page_id, block_no, string_agg(raw, '' order by pos) as html, cast(sum(case when kind = 'text' then strlen({trim(decode_sql('raw'))}) else 0 end) as int) as len from nb where block_no > 0 group by page_id, block_no)"""
 
 
 @query("d3_body_blocks", with_sql(BODY_TOKENS, STARTS, select="select * from bb"))
@@ -58,7 +65,12 @@ def d4(s, d):
     return pack.greedy_pack(sized, ["doc_id"], "seq", "size", 1000)
 
 
-@query("d5_split_pages")
+SPLIT = f"""pl as (select page_id, html, cast(coalesce(list_sum(list_transform(ts, lambda t: strlen(t))), 0) as int) as n from (select page_id, html, {texts_sql('body', tokens.TOKEN)} as ts from (select page_id, html, {BODY} as body from pages))),
+ sz as (select bb.page_id, cast(row_number() over (partition by bb.page_id order by block_no) - 1 as int) as seq, len as size, bb.html from bb join pl using (page_id) where n > 1500)"""
+HEAD = r"regexp_extract(html, '(?is)<head\b[^>]*>.*?</head\s*>')"
+
+
+@query("d5_split_pages", with_sql(BODY_TOKENS, STARTS, SPLIT, greedy("sz", "page_id", 1500), select=f"select page_id, cast(1 as int) as chunk, html from pl where n <= 1500 union all select c.page_id, c.chunk, {q('<!DOCTYPE html>' + chr(10) + '<html>' + chr(10))} || h.head || {q(chr(10) + '<body>' + chr(10))} || c.html || {q(chr(10) + '</body>' + chr(10) + '</html>' + chr(10))} from (select page_id, cast(grp + 1 as int) as chunk, string_agg(html, '' order by seq) as html from gr join sz using (page_id, seq) group by page_id, grp) c join (select page_id, {HEAD} as head from pl) h on h.page_id = c.page_id"))
 def d5(s, d):
     return pack.split_pages(X.table(s, d, "pages"), ["page_id"], 1500)
 
@@ -109,12 +121,15 @@ def e3(s, d):
     return X.table(s, d, "pages").select("page_id", decode_entities(F.col("html")).alias("html"))
 
 
-MARK = "tt as (select page_id, pos, kind, raw, tag, sum(case when tag in ('pre', 'code') then case kind when 'open' then 1 when 'close' then -1 else 0 end else 0 end) over (partition by page_id order by pos) as inside from tokens)"
+SEGMENT_TOKENS = f"tt as (select page_id, cast(generate_subscripts(rs, 1) - 1 as int) as pos, unnest(rs) as raw from (select page_id, regexp_extract_all(html, {q(tokens.SEGMENT_TOKEN)}) as rs from pages))"
 LEAD, TRAIL = r"regexp_extract(raw, '^([ \t\n\r]*)', 1)", r"regexp_extract(raw, '([ \t\n\r]*)$', 1)"
 ENC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query("e2_apply_translations", with_sql(TOKENS, MARK, select=f"select page_id, string_agg(case when kind = 'text' and inside <= 0 and {trim(decode_sql('raw'))} <> '' then {LEAD} || {ENC(q('T:') + ' || ' + trim(decode_sql('raw')))} || {TRAIL} else raw end, '' order by pos) as html from tt group by page_id"))
+TRANSLATED = f"done as (select page_id, string_agg(case when not regexp_matches(raw, '{tokens.NOT_TEXT}') and {trim(decode_sql('raw'))} <> '' then {LEAD} || {ENC(q('T:') + ' || ' + trim(decode_sql('raw')))} || {TRAIL} else raw end, '' order by pos) as html from tt group by page_id)"
+
+
+@query("e2_apply_translations", with_sql(SEGMENT_TOKENS, TRANSLATED, select="select * from done"))
 def e2_all(s, d):
     pages = X.table(s, d, "pages")
     tm = tokens.extract_segments(pages, ["page_id"]).select("text").distinct().withColumn("translated", F.concat(F.lit("T:"), "text"))
@@ -171,9 +186,13 @@ def batches(s, d):
 FAKE = "bt as (select page_id || '-' || seq // 20 as batch_no, page_id, seq, text from segs), fl as (select *, bool_or(contains(text, '©')) over (partition by batch_no) as bad, case when strlen(text) % 11 = 0 then text when strlen(text) % 13 = 0 then '' else 'T:' || text end as t from bt)"
 
 
-@query("e10_e18_translate", with_sql(X.SITE_BOOKS, SEGMENTS, FAKE, select="select batch_no, text, case when bad then null else t end as translated, case when bad then 'ValueError: refused' end as error from fl"))
+BATCHED = ("sz as (select page_id, seq, cast(strlen(text) as int) as size from segs)", greedy("sz", "page_id", 500), "fl as (select *, case when bad then 'ValueError: refused' end as error from (select page_id, cast(grp as int) as batch_no, seq, text, bool_or(contains(text, '©')) over (partition by page_id, grp) as bad, case when strlen(text) % 11 = 0 then text when strlen(text) % 13 = 0 then '' else 'T:' || text end as t from gr join segs using (page_id, seq)))")
+
+
+@query("e10_e18_translate", with_sql(X.SITE_BOOKS, SEGMENTS, *BATCHED, select="select page_id, batch_no, seq, text, case when bad then null else t end as translated, error from fl"))
 def e10(s, d):
-    return translate.translate(batches(s, d), translate.with_retry(X.fake_backend, wait=0.0), "en", "de")
+    """Batches by bytes, as they come, to the backend; the order of a batch's texts is the page's."""
+    return translate.translate(e8(s, d), translate.with_retry(X.fake_backend, wait=0.0), "en", "de", ["page_id", "batch_no"], "seq")
 
 
 @query("e12_build_prompts", with_sql(X.SITE_BOOKS, SEGMENTS, FAKE, select=f"select batch_no, cast(count(*) as int) as n, {q('Translate each line from English to German' + translate.PROMPT_RULES)} || string_agg((seq % 20 + 1) || '. ' || text || chr(10), '' order by seq) as prompt from bt group by batch_no"))
@@ -199,24 +218,34 @@ def e13(s, d):
     return replies(s, d).select("batch_no", F.array_join(translate.parse_reply(F.col("reply"), F.col("n")), "\n").alias("texts"))
 
 
-@query("e15_retry_echoes", with_sql(X.SITE_BOOKS, SEGMENTS, FAKE, select="select text, case when bad then null when strlen(text) % 13 = 0 or (strlen(text) % 11 = 0 and strlen(text) >= 10) then 'S:' || text else t end as translated, case when bad then 'ValueError: refused' end as error, cast(case when not bad and (t = '' or (strlen(text) >= 10 and t = text)) then 1 else 0 end as int) as tries from fl"))
+@query("e15_retry_echoes", with_sql(X.SITE_BOOKS, SEGMENTS, *BATCHED, select="select page_id, batch_no, seq, text, case when bad then null when strlen(text) % 13 = 0 or (strlen(text) % 11 = 0 and strlen(text) >= 10) then 'S:' || text else t end as translated, error, cast(case when not bad and (t = '' or (strlen(text) >= 10 and t = text)) then 1 else 0 end as int) as tries from fl"))
 def e15(s, d):
     return translate.retry_echoes(e10(s, d), lambda ts, a, b: ["S:" + t for t in ts], "en", "de")
 
 
-@query("e17_translate_titles", f"select page_id, title, case when strlen(title) % 2 = 0 then 'T:' || title else title end as title_translated from (select page_id, {trim(decode_sql(chr(39) + 'Page ' + chr(39) + ' || page_id'))} as title from pages)")
+TITLES = f"tl as (select page_id, {PAGE_TITLE} as title from pages)"
+
+
+@query("e17_translate_titles", with_sql(TITLES, select="select page_id, title, case when strlen(title) % 2 = 0 and title <> '' then 'T:' || title else title end as title_translated from tl"))
 def e17(s, d):
-    books = X.table(s, d, "pages").select("page_id", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"))
-    tm = books.where(F.octet_length("title") % 2 == 0).select(F.col("title").alias("text"), F.concat(F.lit("T:"), "title").alias("translated"))
+    books = X.table(s, d, "pages").select("page_id", html_title(F.col("html"), F.col("url")).alias("title"))
+    tm = books.where(F.octet_length("title") % 2 == 0).where("title <> ''").select(F.col("title").alias("text"), F.concat(F.lit("T:"), "title").alias("translated"))
     return translate.translate_titles(books, tm)
 
 
-@query("e18_page_status", with_sql(X.SITE_BOOKS, SEGMENTS, FAKE, "bd as (select text, max(case when bad then 1 else 0 end) as bad from fl group by text), ps as (select page_id, count(*) as segments, cast(sum(b.bad) as bigint) as failed from segs join bd b using (text) group by page_id)", select="select *, case when failed = 0 then 'ok' when failed < segments then 'partial' else 'original' end as status from ps"))
+@query("e19_translation_metrics", with_sql(X.SITE_BOOKS, SEGMENTS, *BATCHED, "mt as (select page_id, count(*) as total, count(*) filter (not bad) as done, count(*) filter (bad) as failed, cast(coalesce(sum(strlen(text)) filter (not bad), 0) as bigint) as bytes, cast(coalesce(sum(strlen(text)) filter (bad), 0) as bigint) as open from fl group by page_id), ms as (select *, bytes / 60.0 as rate, cast(floor(open / nullif(bytes / 60.0, 0)) as bigint) as s from mt)", select="select page_id, total, done, failed, bytes, rate, case when bytes = 0 then null when s < 60 then s || 's' else s // 60 || 'm' || s % 60 || 's' end as eta from ms"))
+def e19_metrics(s, d):
+    """As if every page had taken a minute."""
+    return translate.translation_metrics(e10(s, d), ["page_id"], F.lit(60.0))
+
+
+@query("e18_page_status", with_sql(X.SITE_BOOKS, SEGMENTS, *BATCHED, "bd as (select text, max(case when bad then 1 else 0 end) as bad from fl group by text), ps as (select page_id, count(*) as segments, cast(sum(b.bad) as bigint) as failed from segs join bd b using (text) group by page_id)", select="select *, case when failed = 0 then 'ok' when failed < segments then 'partial' else 'original' end as status from ps"))
 def e18(s, d):
     return translate.page_status(segments(s, d), e10(s, d), ["page_id"])
 
 
-NAVBAR = "||".join([q('<div class="bar"><div class="nav-actions">'), f"""coalesce('<a class="nav-link" href="' || {escape('p')} || '">&#9664; Back</a>', '<a class="disabled">&#9664; Back</a>')""", q('<a class="nav-link" href="index.html">&#9776; Contents</a>'), f"""coalesce('<a class="nav-link" href="' || {escape('n')} || '">Forward &#9654;</a>', '<a class="disabled">Forward &#9654;</a>')""", q('</div><span class="nav-info">'), "c", "' / '", "t", q("</span></div>")])
+NAV_LINK = lambda rel, to, text: f"""coalesce(' <a rel="{rel}" href="' || {escape(to)} || '">{text}</a>', '')"""
+NAVBAR = "||".join([q('<nav class="pager"><b>'), "c", q("</b> of "), "t", NAV_LINK("prev", "p", "Previous"), NAV_LINK("next", "n", "Next"), q(' <a rel="contents" href="index.html">Contents</a></nav>')])
 
 
 def site_spine(s, d):
@@ -224,16 +253,15 @@ def site_spine(s, d):
 
 
 @query("f3_inject_nav", with_sql(X.SITE_BOOKS, "nv as (select *, 'p' || lag(page_id) over w || '.html' as p, 'p' || lead(page_id) over w || '.html' as n, row_number() over w as c, count(*) over (partition by book_id) as t from site_books window w as (partition by book_id order by spine_pos))",
-    f"hd as (select *, {NAVBAR} as bar, case when contains(lower(html), '</head>') then substring(html, 1, instr(lower(html), '</head>') - 1) || '<style></style>' || substring(html, instr(lower(html), '</head>')) else html end as h from nv)",
-    "bs as (select *, instr(lower(h), '<body') as b from hd), be as (select *, case when b > 0 and instr(substring(h, b), '>') > 0 then b + instr(substring(h, b), '>') - 1 else 0 end as e from bs)",
-    select="select page_id, case when e > 0 then substring(h, 1, e) || bar || substring(h, e + 1) else h end as html from be"))
+    f"hd as (select *, {NAVBAR} as bar, case when regexp_matches(html, '(?i)</head>') then regexp_extract(html, '(?is)^(.*?)</head>', 1) || '<style></style>' || substring(html, length(regexp_extract(html, '(?is)^(.*?)</head>', 1)) + 1) else html end as h from nv)",
+    f"bs as (select *, length(regexp_extract(h, {q('(?is)^.*?' + BODY_TAG)})) as e from hd)",
+    select="select page_id, case when e > 0 then substring(h, 1, e) || bar || substring(h, e + 1) else h end as html from bs"))
 def f3(s, d):
     spine = site_spine(s, d)
     return site.inject_nav(spine, site.nav(spine), ["book_id", "spine_pos"], "<style></style>").select("page_id", "html")
 
 
-NO_SNIP = site.NO_SNIPPET
-SNIP = f"sn as (select book_id, spine_pos, page_id, list_reduce(list_prepend('', ts), lambda a, t: case when strlen(a) > 300 then a when a = '' then t else a || ' ' || t end) as t from (select book_id, spine_pos, page_id, {texts_sql('html', NO_SNIP)} as ts from (select book_id, spine_pos, page_id, {BODY} as html from site_books))), snips as (select book_id, spine_pos, page_id, case when two <> '' then regexp_replace(two, '{X.SP}+$', '') when length(t) > 250 then regexp_replace(substring(t, 1, 250), '{X.SP}+$', '') || '…' else t end as snippet from (select *, regexp_extract(substring(t, 1, 250), '(?s)^((?:[^.!?]*[.!?]){{2}})', 1) as two from sn))"
+SNIP = f"sn as (select book_id, spine_pos, page_id, list_reduce(list_prepend('', ts), lambda a, t: case when strlen(a) > 300 then a when a = '' then t else a || ' ' || t end) as t from (select book_id, spine_pos, page_id, {texts_sql('html', site.SNIPPET_TOKEN)} as ts from (select book_id, spine_pos, page_id, {BODY} as html from site_books))), snips as (select book_id, spine_pos, page_id, case when two <> '' then regexp_replace(two, '{X.SP}+$', '') when length(t) > 250 then regexp_replace(substring(t, 1, 250), '{X.SP}+$', '') || '…' else t end as snippet from (select *, regexp_extract(substring(t, 1, 250), '(?s)^((?:[^.!?]*[.!?]){{2}})', 1) as two from sn))"
 
 
 @query("f4_snippet", with_sql(X.SITE_BOOKS, SNIP, select="select page_id, snippet from snips"))
@@ -241,15 +269,18 @@ def f4(s, d):
     return X.table(s, d, "pages").select("page_id", site.snippet(F.col("html")).alias("snippet"))
 
 
-@query("f6_f7_build_index", with_sql(X.SITE_BOOKS, SNIP, select=f"""select book_id, count(*) as chapters, case when count(*) = 1 then {q('<!DOCTYPE html>' + chr(10) + '<html>' + chr(10) + '<head>' + chr(10) + '  <meta charset="UTF-8">' + chr(10) + '  <script>location.replace("')} || 'p' || min(page_id) || '.html' || {q('");</script>' + chr(10) + '</head>' + chr(10) + '<body></body>' + chr(10) + '</html>' + chr(10))}
+INDEX = f"""select book_id, count(*) as chapters, case when count(*) = 1 then {q('<!DOCTYPE html>' + chr(10) + '<html>' + chr(10) + '<head>' + chr(10) + '  <meta charset="UTF-8">' + chr(10) + '  <script>location.replace("')} || 'p' || min(page_id) || '.html' || {q('");</script>' + chr(10) + '</head>' + chr(10) + '<body></body>' + chr(10) + '</html>' + chr(10))}
  else {q('<!DOCTYPE html>' + chr(10) + '<html lang="en">' + chr(10) + '<head>' + chr(10) + '  <meta charset="UTF-8">' + chr(10) + '  <title>')} || book_id || {q('</title>' + chr(10) + '</head>' + chr(10) + '<body>' + chr(10) + '  <h1>')} || book_id || {q('</h1>' + chr(10) + '  <p class="meta">Chapters: ')} || count(*) || {q('</p>' + chr(10) + '  <nav>' + chr(10) + '    <ul>' + chr(10))}
- || string_agg('      <li><a href="p' || page_id || '.html"><span class="toc-label">' || case when snippet <> '' then spine_pos || '.</span><span class="toc-snippet">' || {escape('snippet')} else spine_pos || '. p' || page_id end || '</span></a></li>', chr(10) order by spine_pos) || {q(chr(10) + '    </ul>' + chr(10) + '  </nav>' + chr(10) + '</body>' + chr(10) + '</html>' + chr(10))} end as html from snips group by book_id"""))
+ || string_agg('      <li><a href="p' || page_id || '.html"><span class="toc-label">' || case when snippet <> '' then spine_pos || '.</span><span class="toc-snippet">' || {escape('snippet')} else spine_pos || '. p' || page_id end || '</span></a></li>', chr(10) order by spine_pos) || {q(chr(10) + '    </ul>' + chr(10) + '  </nav>' + chr(10) + '</body>' + chr(10) + '</html>' + chr(10))} end as html from snips group by book_id"""
+
+
+@query("f6_f7_build_index", with_sql(X.SITE_BOOKS, SNIP, select=INDEX))
 def f6(s, d):
     spine = site_spine(s, d).withColumn("snippet", site.snippet(F.col("html")))
     return site.build_index(spine.drop("html"), spine.select("book_id", F.col("book_id").alias("title")).distinct())
 
 
-@query("f8_index_after_translation")
+@query("f8_index_after_translation", with_sql(X.SITE_BOOKS, SEGMENT_TOKENS, TRANSLATED, "translated as (select s.* replace (d.html as html) from site_books s join done d using (page_id))", SNIP.replace("from site_books", "from translated"), select=INDEX))
 def f8(s, d):
     """Contents pages whose snippets are translated: texts are put back before snippets are taken."""
     pages = X.site_books(s, d)

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import io
 import re
+import time
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from bindery.functions.text import book_title, html_body, html_title, utrim
 from bindery.operators.books import ENTRY_BYTES, content_files, normalize_hrefs, opf_path, parse_opf, rename_reserved, safe_entries, spine_hrefs, with_key
-from bindery.operators.paragraphs import paginate, paragraphs, render_pages
+from bindery.operators.paragraphs import page_html, render_texts
+from bindery.sources.staging import staged
 
 Decoder = Callable[[bytes], str]
 PAGE_SCHEMA = ["book_id", "page_no", "item_id", "href", "html"]
@@ -58,35 +62,50 @@ def fb2_paragraphs(raw: bytes) -> tuple[str, list[str]]:
 
 
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?(?:\\'[0-9a-fA-F]{2}|[^\\{}])?|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|([^\\{}]+)", re.S)
+#: Groups that hold no text of the document. Fixed values of the format.
+_NO_TEXT = ("fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer")
 
 
-def rtf_text(raw: bytes, codec: str = "cp1251") -> str:
-    """Text of a rich-text file: breaks and tabs kept, other control words dropped, bytes by code page, code points decoded."""
+def rtf_text(raw: bytes, codec: str = "cp1251", skip_groups: bool = False) -> str:
+    """Text of a rich-text file: breaks and tabs kept, other control words dropped, bytes by code page, code points decoded.
+
+    With ``skip_groups`` the text of font tables and other groups that hold none of the document's is left out.
+    """
     out: list[str] = []
-    for byte, point, word, _, sign, _, text in _RTF.findall(raw.decode("latin-1")):
-        if byte:
+    depth, skipped = 0, None
+    for byte, point, word, _, sign, brace, text in _RTF.findall(raw.decode("latin-1")):
+        if brace:
+            depth += 1 if brace == "{" else -1
+            if skipped is not None and depth < skipped:
+                skipped = None
+        elif skip_groups and skipped is None and (word in _NO_TEXT or sign == "*"):
+            skipped = depth
+        elif skipped is not None:
+            continue
+        elif byte:
             out.append(bytes.fromhex(byte).decode(codec, "ignore"))
         elif point:
             out.append(chr(int(point) % 65536))
         elif word:
             out.append({"par": "\n\n", "line": "\n\n", "tab": "\t"}.get(word, ""))
         elif sign:
-            out.append({"\n": "\n\n", "\r": "\n\n", "~": " "}.get(sign, sign if sign in "\\{}" else ""))
+            out.append({"\n": "\n\n", "\r": "\n\n", "~": " "}.get(sign, sign if sign in "\\{}" else ""))
         elif text:
             out.append(text.replace("\r", "").replace("\n", "").encode("latin-1").decode(codec, "ignore"))
     return "".join(out)
 
 
-def _entries(raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """Entries; those that the package is read from must be well-formed, so no later query meets broken XML."""
+def _entries(raw: bytes) -> Iterator[tuple[str, bytes, bool]]:
+    """Entries, and whether they were cut at ENTRY_BYTES; those that the package is read from must be well-formed, so no later query meets broken XML."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for info in z.infolist():
             if not info.is_dir():
                 with z.open(info) as f:
-                    data = f.read(ENTRY_BYTES)
+                    data = f.read(ENTRY_BYTES + 1)
+                cut, data = len(data) > ENTRY_BYTES, data[:ENTRY_BYTES]
                 if info.filename.lower().endswith((".opf", "container.xml")):
                     ET.fromstring(data)
-                yield info.filename, data
+                yield info.filename, data, cut
 
 
 def _adapter(decoders: dict[str, Decoder]):
@@ -96,13 +115,13 @@ def _adapter(decoders: dict[str, Decoder]):
     def adapt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):
-                base = {"book_id": r.book_id, "fmt": r.fmt, "path": r.path, "entry": None, "title": "", "text": None, "content": None, "error": None}
+                base = {"book_id": r.book_id, "fmt": r.fmt, "path": r.path, "entry": None, "title": "", "text": None, "content": None, "truncated": False, "error": None}
                 try:
                     raw = bytes(r.content)
                     if r.fmt in decoders:
                         out = [base | {"text": decoders[r.fmt](raw), "fmt": "txt"}]
                     elif r.fmt == "epub":
-                        out = [base | {"entry": name, "content": data} for name, data in _entries(raw)]
+                        out = [base | {"entry": name, "content": data, "truncated": cut} for name, data, cut in _entries(raw)]
                     elif r.fmt == "fb2":
                         title, ps = fb2_paragraphs(raw)
                         out = [base | {"title": title, "text": "\n".join(ps)}]
@@ -122,24 +141,32 @@ def _adapter(decoders: dict[str, Decoder]):
 
 
 def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict[str, DataFrame]:
-    """Tables books (book_id, path, fmt, title, base_path), pages (book_id, page_no, item_id, href, html), rejects (book_id,
-    path, reason) from (path, content). Formats without a decoder and files that cannot be read are rejects; ``decoders``
-    adds some (bytes to text). Persist ``files`` or write the tables if files are far away: each table reads them."""
-    schema = "book_id long, fmt string, path string, entry string, title string, text string, content binary, error string"
-    rows = with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), schema)
-    entries = safe_entries(rows.where("entry is not null and error is null").select("book_id", "path", "entry", "content"))
-    texts = rows.where("fmt in ('txt', 'fb2', 'rtf') and error is null")
-    paged = paginate(paragraphs(texts.select("book_id", book_title(F.col("title"), F.col("path")).alias("title"), "text", "fmt"), ["book_id", "title", "fmt"], counted=True), ["book_id", "title", "fmt"])
-    plain = render_pages(paged, ["book_id", "title"], F.col("title")).select(*PAGE_SCHEMA)
+    """Tables books (book_id, path, fmt, title, base_path, truncated), pages (book_id, page_no, item_id, href, html), manifest,
+    spine, rejects (book_id, path, reason) from (path, content), one row a path.
+
+    Files are opened once: what comes out of them is written to the session's shared folder, and all tables derive from that.
+    Formats without a decoder and files that cannot be read are rejects; ``decoders`` adds some (bytes to text). Books of
+    which an entry was cut at ENTRY_BYTES say so.
+    """
+    schema = "book_id long, fmt string, path string, entry string, title string, text string, content binary, truncated boolean, error string"
+    rows = staged(with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), schema), "opened")
+    entries = safe_entries(rows.where("entry is not null and error is null").select("book_id", "path", "entry", "content", "truncated"))
+    title = book_title(F.col("title"), F.col("path"))
+
+    def plain(fmt: str) -> DataFrame:
+        own = rows.where((F.col("fmt") == fmt) & F.col("error").isNull()).select("book_id", title.alias("title"), "text")
+        return render_texts(own, ["book_id", "title"], F.col("title"), fmt, mode="blank" if fmt == "rtf" else "adaptive").select(*PAGE_SCHEMA)
+
     html = rows.where("fmt = 'html' and error is null")
-    single = html.select("book_id", F.lit(1).alias("page_no"), F.lit("page_001").alias("item_id"), F.lit("page_001.html").alias("href"), html_body(F.col("text")).alias("html"))
+    named = html_title(F.col("text"), F.col("path"))
+    page = page_html(named, F.lit(1), F.lit(1), F.array(html_body(F.col("text"))), "html")
+    single = html.select("book_id", F.lit(1).alias("page_no"), F.lit("page_001").alias("item_id"), F.lit("page_001.html").alias("href"), page.alias("html"))
     text_of = F.col("content").cast("string")
     # filters may be evaluated in any order: only package files ever reach the XML expressions
     is_container = F.lower("entry") == "meta-inf/container.xml"
-    containers = entries.where(is_container).select("book_id", F.when(is_container, text_of).alias("xml"))
-    opf = opf_path(containers)
+    opf = opf_path(entries.where(is_container).select("book_id", F.when(is_container, text_of).alias("xml")))
     packages = entries.withColumnRenamed("entry", "opf").join(opf, ["book_id", "opf"]).select("book_id", "opf", F.when(F.lower("opf").endswith(".opf"), text_of).alias("xml"))
-    epub, manifest, spine = parse_opf(packages)
+    epub, manifest, spine = (staged(t, n) for t, n in zip(parse_opf(packages), ("packages", "manifest", "spine"), strict=True))
     based = manifest.join(epub.select("book_id", "base_path"), "book_id")
     stored = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
     files_of = content_files(based).withColumn("entry", stored).select("book_id", "item_id", "entry").join(entries.select("book_id", "entry", text_of.alias("html")), ["book_id", "entry"]).select("book_id", "item_id", "html")
@@ -147,15 +174,29 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     manifest, files_of = rename_reserved(manifest, files_of)
     ordered = spine_hrefs(spine, manifest).join(manifest.select("book_id", "href", "item_id"), ["book_id", "href"])
     chapters = ordered.join(files_of, ["book_id", "item_id"]).select("book_id", F.col("spine_pos").alias("page_no"), "item_id", "href", "html")
-    names = rows.where("entry is null and error is null").select("book_id", "path", "fmt", F.when(F.col("fmt") == "html", html_title(F.col("text"), F.col("path"))).otherwise(book_title(F.col("title"), F.col("path"))).alias("title"), F.lit("").alias("base_path"))
-    paths = entries.select("book_id", "path").distinct()
-    of_epub = paths.join(epub, "book_id").select("book_id", "path", F.lit("epub").alias("fmt"), book_title(utrim(F.col("title")), F.col("path")).alias("title"), "base_path")
+    names = rows.where("entry is null and error is null").select("book_id", "path", "fmt", F.when(F.col("fmt") == "html", named).otherwise(title).alias("title"), F.lit("").alias("base_path"), "truncated")
+    paths = entries.groupBy("book_id", "path").agg(F.max("truncated").alias("truncated"))
+    of_epub = paths.join(epub, "book_id").select("book_id", "path", F.lit("epub").alias("fmt"), book_title(utrim(F.col("title")), F.col("path")).alias("title"), "base_path", "truncated")
     broken = paths.join(epub, "book_id", "left_anti").select("book_id", "path", F.lit("no_package").alias("reason"))
     rejects = rows.where("error is not null").select("book_id", "path", F.col("error").alias("reason")).unionByName(broken)
-    return {"books": names.unionByName(of_epub), "pages": plain.unionByName(single).unionByName(chapters), "manifest": manifest, "spine": spine, "rejects": rejects}
+    pages = reduce(DataFrame.unionByName, [plain("txt"), plain("fb2"), plain("rtf"), single, chapters])
+    return {"books": names.unionByName(of_epub), "pages": pages, "manifest": manifest, "spine": spine, "rejects": rejects}
+
 
+def write_corpus(tables: dict[str, DataFrame], out: str) -> str:
+    """All tables as Parquet in a folder of this run, published last by one small file, so that readers see all or nothing.
 
-def write_corpus(tables: dict[str, DataFrame], out: str, mode: str = "overwrite") -> None:
-    """Each table once, as Parquet under ``out``. Books that failed are in rejects alone, so none is there in part."""
+    A run that fails leaves what was published before; its folder is never read. Returns the run's folder.
+    """
+    run = f"{out.rstrip('/')}/runs/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode(mode).parquet(f"{out}/{name}")
+        df.write.parquet(f"{run}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(run, time.time())], "run string, at double").coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}/published")
+    return run
+
+
+def read_corpus(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of the run that was published last."""
+    run = spark.read.parquet(f"{out.rstrip('/')}/published").orderBy(F.desc("at"), "run").first()["run"]
+    return {name: spark.read.parquet(f"{run}/{name}") for name in ("books", "pages", "manifest", "spine", "rejects")}

@@ -98,6 +98,70 @@ def test_parse_reply(spark):
     assert one(spark, lambda c: translate.parse_reply(c, F.lit(4)), a=reply) == ["one", "again", "4. y", ""]
 
 
+@pytest.mark.parametrize(("html", "texts"), [
+    ("<p>1 < 2 and more</p>", ["1 < 2 and more"]), ("<p title=\"a>b c\">x</p>", ["x"]), ("a << b <3 <i>c</i>", ["a << b <3", "c"]), ("x <!-- a > b --> y", ["x", "y"]), ("<?xml v='1'?>t</ >u", ["t", "u"]),
+    ("<p>It&#8217;s &#x41; &eacute; &amp;lt; &bogus; &#150; &#0;</p>", ["It’s A é &lt; &bogus; – \ufffd"]), ("t <", ["t <"]), ("a<br/>b<a href='>'>c", ["a", "b", "c"]), ("<p it's>d</p>", ["d"]),
+])
+def test_segments_of_odd_markup(spark, html, texts):
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    assert [r.text for r in tokens.extract_segments(df, ["id"]).orderBy("seq").collect()] == texts
+    assert [r.text for r in tokens.segment_tokens(df, ["id"]).where("text is not null").orderBy("pos").collect()] == texts
+    assert "".join(r.raw for r in tokens.html_tokens(df, ["id"]).orderBy("pos").collect()) == html
+    assert tokens.apply_translations(df, spark.createDataFrame([], "text string, translated string"), ["id"]).first()["html"] == html
+
+
+@pytest.mark.parametrize(("body", "blocks"), [
+    ("<p>a<p>b<p>c", ["<p>a", "<p>b", "<p>c"]), ("<p>a <b>x</b> y<p>b</p>loose<div>d<p>e<p>f</div><p>g", ["<p>a <b>x</b> y", "<p>b</p>", "loose", "<div>d<p>e<p>f</div>", "<p>g"]),
+    ("<p>a<h2>b</h2>c", ["<p>a", "<h2>b</h2>", "c"]), ("<ul><li>a<li>b</ul><hr>x", ["<ul><li>a<li>b</ul>", "<hr>", "x"]), ("<p>a<br>b</p><p>c", ["<p>a<br>b</p>", "<p>c"]),
+])
+def test_blocks_without_end_tags(spark, body, blocks):
+    df = spark.createDataFrame([(1, f"<body>{body}</body>")], "id int, html string")
+    assert [r.html for r in tokens.body_blocks(df, ["id"]).orderBy("block_no").collect()] == blocks
+
+
+def test_pages_without_end_tags_are_split(spark):
+    df = spark.createDataFrame([(1, "<head></head><body>" + "".join(f"<p>{c * 30}" for c in "abcd") + "</body>")], "id int, html string")
+    parts = pack.split_pages(df, ["id"], 60).orderBy("chunk").collect()
+    assert [(c * 30 in r.html) for r in parts for c in "abcd"] == [True, True, False, False, False, False, True, True]
+
+
+def test_injection(spark):
+    df = spark.createDataFrame([(1, "<head>" + "\u0130" * 4 + "</HEAD><body class='a>b'>x"), (2, "<p>no bar</p>")], "id int, html string")
+    bars = spark.createDataFrame([(1, None, "n.html", "index.html", 1, 2)], "id int, prev_href string, next_href string, index_href string, current int, total int")
+    got = {r.id: r.html for r in site.inject_nav(df, bars, ["id"], "[CSS]").collect()}
+    assert got[2] == "<p>no bar</p>"
+    assert got[1].startswith("<head>" + "\u0130" * 4 + "[CSS]</HEAD><body class='a>b'><nav") and got[1].endswith("</nav>x")
+
+
+def test_groups_of_null_and_nan_keys(spark):
+    rows = [(None, float("nan"), 0, 5), (None, float("nan"), 1, 5), (None, float("nan"), 2, 5), (1, 1.0, 0, None), (1, 1.0, 1, 10), (1, 1.0, 2, 1)]
+    df = spark.createDataFrame(rows, "k int, f double, o int, s int")
+    assert sorted((str(r.k), r.o, r.group_no) for r in pack.greedy_pack(df, ["k", "f"], "o", "s", 10).collect()) == [("1", 0, 0), ("1", 1, 0), ("1", 2, 1), ("None", 0, 0), ("None", 1, 0), ("None", 2, 1)]
+
+
+def test_batches_are_called_once_and_in_order(spark):
+    """Batches of several pages with equal numbers stay apart, also over the borders of Arrow batches."""
+    rows = [(p, b, 9 - k, f"{p}-{b}-{9 - k}") for p in (None, 1, 2) for b in (0, 1) for k in range(10)]
+    df = spark.createDataFrame(rows, "page int, batch_no int, seq int, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        done = translate.translate(df, lambda ts, a, b: ["|".join(ts)] * len(ts), "en", "de", ["page", "batch_no"], "seq", parallel=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(done) == len(rows)
+    assert all(r.translated == "|".join(f"{r.page}-{r.batch_no}-{k}" for k in range(10)) for r in done)
+
+
+def test_observed(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    done = spark.createDataFrame([("abc", None), ("de", "failed")], "text string, error string")
+    watch = Observation("translation")
+    translate.observed(done, watch).write.parquet(str(tmp_path / "out"))
+    assert watch.get == {"texts": 2, "failed": 1, "bytes": 5}
+
+
 def test_retry():
     waits, calls = [], []
 

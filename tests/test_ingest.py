@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from bindery.operators.books import pending
-from bindery.sources.ingest import fb2_paragraphs, ingest, read_files, rtf_text, write_corpus
+from bindery.sources.ingest import fb2_paragraphs, ingest, read_corpus, read_files, rtf_text, write_corpus
 from bindery.streaming.ingest import stream_ingest
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -52,7 +52,13 @@ def test_ingest(spark, folder, tmp_path):
     assert 'href="ch2.html"' in book[1][2]
     assert [p for p in pages if p[0] == "d.txt"][0][3].count("<p>") == 2
     write_corpus(tables, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/pages")).count() == len(pages)
+    assert read_corpus(spark, str(tmp_path / "out"))["pages"].count() == len(pages)
+    # a run that fails half way is never seen
+    with pytest.raises(Exception, match="no_such_column"):
+        write_corpus({"books": tables["books"].limit(0), "pages": tables["pages"].selectExpr("no_such_column")}, str(tmp_path / "out"))
+    assert read_corpus(spark, str(tmp_path / "out"))["books"].count() == 5
+    write_corpus({k: v.limit(1) for k, v in tables.items()}, str(tmp_path / "out"))
+    assert read_corpus(spark, str(tmp_path / "out"))["pages"].count() == 1
 
 
 def test_decoder(spark, folder):
@@ -64,6 +70,24 @@ def test_decoder(spark, folder):
 def test_adapters():
     assert fb2_paragraphs(FB2.encode()) == ("F", ["Top", "S1", "one two", "three", "inner"])
     assert rtf_text(RTF) == "Hello\n\nПривет\tx{y} Жz"
+    table = rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\gen X;}text}"
+    assert rtf_text(table) == "Arial;X;text" and rtf_text(table, skip_groups=True) == "text"
+
+
+def test_cut_entries_say_so(spark, folder, monkeypatch):
+    from bindery.operators import books
+
+    entries = spark.createDataFrame([("a", b"12345"), ("b", b"123")], "entry string, content binary")
+    assert sorted((r.entry, bytes(r.content), r.truncated) for r in books.safe_entries(entries, most=4).collect()) == [("a", b"1234", True), ("b", b"123", False)]
+    assert {r.truncated for r in ingest(read_files(spark, str(folder)))["books"].collect()} == {False}
+
+
+def test_package_items_without_attributes(spark):
+    from bindery.operators.books import parse_opf
+
+    xml = """<opf:package xmlns:opf="x"><opf:manifest><!-- <opf:item id="no"/> --><opf:item href='a&amp;b.html' id = "1" /><opf:item id="2" media-type="t/x"/><opf:item media-type="t>y" href="c"/></opf:manifest></opf:package>"""
+    df = spark.createDataFrame([(1, "a/b.opf", xml)], "book_id long, opf string, xml string")
+    assert [tuple(r)[1:] for r in parse_opf(df)[1].orderBy("pos").collect()] == [(0, "1", "a&b.html", ""), (1, "2", "", "t/x"), (2, "", "c", "t>y")]
 
 
 def test_pending(spark):

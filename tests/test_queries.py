@@ -37,11 +37,11 @@ def test_index_after_translation_has_translated_snippets(spark):
 
 
 def test_every_file_is_a_book_or_a_reject(spark):
-    from bindery.plans.queries import files_of
+    from bindery.plans.fixtures import files
     from bindery.sources.ingest import ingest
 
-    files = files_of(spark, SMALL).dropDuplicates(["path"])
-    tables = ingest(files)
+    found = files(spark, SMALL)
+    tables = ingest(found)
     paths = [r.path for r in tables["books"].collect()] + [r.path for r in tables["rejects"].select("path").distinct().collect()]
-    assert sorted(paths) == sorted(r.path for r in files.collect())
+    assert sorted(paths) == sorted(r.path for r in found.select("path").collect())
     assert tables["pages"].select("book_id").distinct().count() == tables["books"].count()
