@@ -101,7 +101,7 @@ def _features(texts: list[str]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """A linear support vector machine by dual coordinate descent on the Gram matrix; y is 1 or -1. Scales ``x`` in place."""
-    scale = float(np.sqrt((x**2).sum(1).mean())) or 1.0
+    scale = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) or 1.0
     x /= np.float32(scale)
     gram = (x @ x.T).astype(np.float64)
     gram += 1.0
@@ -118,7 +118,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) ->
                 moved = max(moved, abs(d))
         if moved < 1e-3:
             break
-    return ((alpha * y) @ x / scale).astype(np.float32), float((alpha * y).sum())
+    # in the type of x: a product of mixed types would hold all of x a second time, twice as large
+    return (alpha * y).astype(x.dtype) @ x / np.float32(scale), float((alpha * y).sum())
 
 
 def _machines(langs: list[str]) -> list[tuple[str, str, str]]:
