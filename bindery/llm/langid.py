@@ -249,15 +249,25 @@ def _habits(model: Model):
             for at in _trigrams(text):
                 counts += np.bincount(at, minlength=FEATURES)
         logs = np.log(counts / counts.sum())
-        likely = lambda text: np.concatenate([logs[at] for at in _trigrams(text)] or [np.zeros(0)])
+
+        def likely(text: str) -> tuple[float, float] | None:
+            """Mean and deviation of a text's log chances; of no text more than a run is held."""
+            n, total, squares = 0, 0.0, 0.0
+            for at in _trigrams(text):
+                x = logs[at]
+                n, total, squares = n + len(x), total + float(x.sum()), squares + float(x @ x)
+            return (total / n, max(0.0, squares / n - (total / n) ** 2) ** 0.5) if n else None
+
         right = [t for t in judge if model.predict(pa.array([t], pa.string()))[0][0] == lang]
-        own = [x for t in right if len(x := likely(t))]
+        own = [x for t in right if (x := likely(t))]
         order = np.random.default_rng(5)
-        junk = [x for t in right if len(x := likely("".join(order.permutation(list(t[:4000])))))]
+        # letters from all over the text, in random order
+        mixed = lambda t: "".join(order.permutation(list(t[:: max(1, len(t) // 4000)])))
+        junk = [x for t in right if (x := likely(mixed(t)))]
         # without a text to judge by: what random trigrams give
-        high = np.quantile([x.mean() for x in own], LOW) if own else logs.mean()
-        low = np.median([x.mean() for x in junk]) if junk else logs.mean()
-        error = np.median([x.std() for x in own]) if own else logs.std()
+        high = np.quantile([x[0] for x in own], LOW) if own else logs.mean()
+        low = np.median([x[0] for x in junk]) if junk else logs.mean()
+        error = np.median([x[1] for x in own]) if own else logs.std()
         return pd.DataFrame({"lang": [lang], "logs": [logs.astype(np.float32).tobytes()], "least": [(high + low) / 2], "error": [error]})
 
     return run
