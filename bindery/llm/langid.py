@@ -33,6 +33,8 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz", "ky"),
 }
 FEATURES = 1 << 13
+#: Bytes of text that are worked on at once; longer texts are read in runs of as many.
+RUN = 1 << 20
 #: Labelled texts of each language, about, that the machines learn from.
 SAMPLE_ROWS = 500
 UNKNOWN = "und"
@@ -77,17 +79,18 @@ def gram_sums(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     """(texts, columns): mean weight of the n-grams of each text, summed over the n-gram lengths; weights by bucket."""
     data, offsets = joined_bytes(texts)
     sums = np.zeros((len(texts), weights.shape[1]))
-    for n, at in _hashes(data):
-        lens = np.maximum(np.diff(offsets) - n + 1, 0)
-        some = np.flatnonzero(lens)
-        if not len(some):
-            continue
-        # n-grams that reach into the next text belong to none
-        edges = np.stack([offsets[some], offsets[some] + lens[some]], 1).ravel()
-        for c in range(weights.shape[1]):
-            got = weights[:, c][at]
-            ends = np.add.reduceat(np.append(got, 0), edges)[::2]
-            sums[some, c] += ends / lens[some]
+    for start in range(0, len(data), RUN):
+        for n, at in _hashes(data[start : start + RUN + len(_GRAMS) - 1]):
+            at = at[:RUN]
+            lens = np.maximum(np.diff(offsets) - n + 1, 0)
+            # n-grams that reach into the next text belong to none
+            first, end = np.clip(offsets[:-1] - start, 0, len(at)), np.clip(offsets[:-1] + lens - start, 0, len(at))
+            some = np.flatnonzero(first < end)
+            if not len(some):
+                continue
+            edges = np.stack([first[some], end[some]], 1).ravel()
+            for c in range(weights.shape[1]):
+                sums[some, c] += np.add.reduceat(np.append(weights[:, c][at], 0), edges)[::2] / lens[some]
     return sums
 
 
@@ -212,8 +215,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
 def _trigrams(text: str) -> Iterator[np.ndarray]:
     """Buckets of the trigrams that aren't blank, in runs of bounded size."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    for at in range(0, max(1, len(raw) - 2), 1 << 20):
-        run = raw[at : at + (1 << 20) + 2]
+    for at in range(0, max(1, len(raw) - 2), RUN):
+        run = raw[at : at + RUN + 2]
         if len(run) > 2:
             said = _FOLD[run] != 32
             yield _hashes(run)[2][1][said[:-2] | said[1:-1] | said[2:]]
@@ -288,7 +291,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     null or repeated; other columns are ignored; an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, RUN):
             pred, score = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
@@ -306,7 +309,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col
     @F.arrow_udf("boolean")
     def accept(texts: pa.Array) -> pa.Array:
         out = []
-        for block in text_blocks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"])]):
+        for block in text_blocks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"])], RUN):
             pred, score = model.predict(block.column(1))
             ok = [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
             out += [k and (habits is None or habits.fits(t.as_py(), p)) for k, t, p in zip(ok, block.column(1), pred, strict=True)]

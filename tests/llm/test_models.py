@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, contracts, odd tables."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,16 @@ def test_prediction_ignores_block_borders(spark):
     assert together[1] == pytest.approx([a[1][0] for a in alone], abs=1e-4)
 
 
+def test_long_texts_are_read_in_runs(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = pa.array(["", "é" * 700, "".join(rng.choice(list("abc dé"), 5000)), "a", None, "b" * 1000], pa.string())
+    weights = rng.normal(size=(langid.FEATURES, 3)).astype(np.float32)
+    whole = langid.gram_sums(texts, weights)
+    for run in (3, 700, 1000):
+        monkeypatch.setattr(langid, "RUN", run)
+        assert np.allclose(langid.gram_sums(texts, weights), whole)
+
+
 def test_quality_held_out(spark):
     """Both labels' shares that are found, apart."""
     got = quality.op4(spark, TABLE)
