@@ -22,6 +22,8 @@ from bindery.llm.common import stage, text_blocks
 
 #: Leading tokens that every template keeps.
 DEPTH = 2
+#: Text bytes that a task works on at once; a longer text is worked on alone.
+BLOCK_BYTES = 1 << 20
 #: Lines of fewer tokens have one template only and must recur in more documents.
 SHORT = 8
 #: Documents in which a template recurs: of short lines, of others.
@@ -47,7 +49,7 @@ def _occurrences(depth: int, short: int):
     """(id, mark, text) to one row for each line and template; ``once`` at the template's first line in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(b.select([0, 2, 1]) for b in batches):
+        for batch in text_blocks((b.select([0, 2, 1]) for b in batches), BLOCK_BYTES):
             keys, lines, rows, once, brief = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 seen: set[int] = set()
