@@ -105,15 +105,16 @@ def html_title(html: Column, path: Column) -> Column:
     return F.coalesce(F.get(found, 0), stem(path))
 
 
-#: The body's start tag; quoted attributes may hold ``>``.
-BODY_TAG = r"""<body\b(?:(?:[^>"']+|"[^"]*"|'[^']*')*|[^>]*)>"""
+#: The body's start tag; a quote opens a value, which may hold ``>``, only after ``=``. Possessive: in time linear in the page.
+BODY_TAG = r"""<body(?:[ \t\n\f\r/](?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)?+)?+)*+)?+>"""
 
 
 def html_body(html: Column) -> Column:
     """What is inside ``body``; to the end if it isn't closed; everything if there is none."""
     open_at = F.regexp_instr(html, F.lit(f"(?i){BODY_TAG}"))
-    rest = F.regexp_extract(html, f"(?is){BODY_TAG}(.*)$", 1)
-    return F.when(open_at == 0, html).otherwise(F.regexp_replace(rest, r"(?is)</body\s*>.*$", ""))
+    rest = F.substring(html, open_at + F.length(F.regexp_extract(html, f"(?i){BODY_TAG}", 0)), F.length(html))
+    end_at = F.regexp_instr(rest, F.lit(r"(?i)</body\s*+>"))
+    return F.when(open_at == 0, html).when(end_at == 0, rest).otherwise(F.substring(rest, F.lit(1), end_at - 1))
 
 
 def classify_block(text: Column, indent: Column) -> Column:
@@ -170,9 +171,20 @@ def chapter_label(href: Column, number: Column) -> Column:
     return F.when(name == "", F.concat(F.lit("Chapter "), number.cast("string"))).otherwise(F.concat(number.cast("string"), F.lit(". "), name))
 
 
+#: Originals of fewer bytes may come back as they are.
+ECHO_BYTES = 10
+
+
 def is_echo(translated: Column, original: Column) -> Column:
     """Nothing came back, or ten bytes and more came back as they were (case and outer white space aside)."""
-    return F.when(utrim(translated) == "", True).when(F.octet_length(utrim(original)) < 10, False).otherwise(F.lower(utrim(translated)) == F.lower(utrim(original)))
+    said = F.coalesce(utrim(translated), F.lit(""))
+    return F.when(said == "", True).when(F.octet_length(utrim(original)) < ECHO_BYTES, False).otherwise(F.lower(said) == F.lower(utrim(original)))
+
+
+def echoes(translated: str | None, original: str) -> bool:
+    """``is_echo`` inside a task that asks again."""
+    said, meant = (translated or "").strip(SPACES), original.strip(SPACES)
+    return not said or (len(meant.encode()) >= ECHO_BYTES and said.lower() == meant.lower())
 
 
 def language_name(code: Column) -> Column:

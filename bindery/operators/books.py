@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from bindery.functions.links import relinked, targets
 from bindery.functions.text import decode_entities, full_href, route_format, sanitize_name, stem
+from bindery.operators.tokens import per_page
+from bindery.sources.staging import staged
 
 HTML_TYPES = ("application/xhtml+xml", "text/html")
 ENTRY_BYTES = 100 << 20
@@ -54,45 +59,54 @@ def safe_entries(entries: DataFrame, name: str = "entry", content: str = "conten
     return entries.where(is_safe_entry(F.col(name))).withColumn("truncated", cut).withColumn(content, F.substring(content, 1, most))
 
 
+def entry_path(href: Column) -> Column:
+    """A path without ``.`` and empty steps, each ``..`` taking back the step before it."""
+    steps = F.filter(F.split(F.translate(href, "\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    back = lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("..")), a), -1), F.lit("..")) != ".."), F.slice(a, 1, F.size(a) - 1)).otherwise(F.array_append(a, p))
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), back), "/")
+
+
 def html_href(href: Column) -> Column:
     return F.regexp_replace(href, r"(?i)\.xhtml?$", ".html")
 
 
-#: A link's or a source's value, quoted.
-LINK = r"""(?i)\b(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*')"""
+def _rewrite(pages: DataFrame, renamed: DataFrame, hint: str, href: str) -> DataFrame:
+    """Page html with the links to renamed entries of its book following; queries and fragments stay.
+
+    ``renamed`` has (book_id, old, new), paths from the book's base, as ``href`` is the page's own. Only pages that hold ``hint``,
+    a pattern that every link to a renamed entry matches, leave their task. Their links, resolved against the page's folder,
+    meet the book's new names in a join by (book_id, entry), so that neither a book's names nor its pages are gathered; each
+    page then takes its own few. Pages need no key: equal pages at one place have equal links.
+    """
+    has = F.coalesce(F.col("html").rlike(hint), F.lit(False))
+    own = staged(pages.where(has).withColumn("__mark", F.xxhash64("html", href)), "linking")
+    page = F.struct(F.col("html").alias("html"), F.coalesce(F.col(href), F.lit("")).alias("at"))
+    links = per_page(own.select("book_id", "__mark", page.alias("__page")), ["book_id", "__mark"], F.col("__page"), {"old": StringType()}, lambda p: ((t,) for t in targets(p["html"], p["at"])))
+    found = links.distinct().join(renamed.select("book_id", "old", "new").distinct(), ["book_id", "old"]).groupBy("book_id", "__mark").agg(F.collect_list(F.struct("old", "new")).alias("__names"))
 
+    def run(html: pa.Array, at: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
+        rows = zip(html.to_pylist(), at.to_pylist(), old.to_pylist(), new.to_pylist(), strict=True)
+        return pa.array([h if o is None else relinked(h, a or "", dict(zip(o, n, strict=True))) for h, a, o, n in rows], pa.string())
 
-def _rewrite(pages: DataFrame, renamed: DataFrame) -> DataFrame:
-    """Page html with the links to renamed hrefs of its book following; fragments stay.
+    both = own.join(found, ["book_id", "__mark"], "left").withColumn("html", F.arrow_udf(run, StringType())("html", href, "__names.old", "__names.new"))
+    return pages.where(~has).unionByName(both.select(*pages.columns))
 
-    A page's links meet the book's new names in a join by (book, href), so that neither a book's names nor its pages are
-    ever gathered; each page then takes its own few. Pages without such a link never leave their task. Pages need no key:
-    equal pages of a book have equal links.
-    """
-    value = lambda link: F.regexp_replace(F.regexp_extract(link, r"""(?s)=\s*["'](.*)["']$""", 1), r"[?#].*$", "")
-    marked = pages.withColumn("__mark", F.xxhash64("html"))
-    links = marked.select("book_id", "__mark", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), 0), value))).alias("old")).distinct()
-    own = links.join(renamed.select("book_id", "old", "new").distinct(), ["book_id", "old"]).groupBy("book_id", "__mark").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__map"))
-    both = marked.join(own, ["book_id", "__mark"], "left")
-    found = F.regexp_extract_all("html", F.lit(LINK), 0)
-    new = lambda link: F.coalesce(F.replace(link, value(link), F.try_element_at("__map", value(link))), link)
-    html = F.array_join(F.transform(F.split("html", LINK, -1), lambda p, i: F.concat(p, F.coalesce(new(F.get(found, i)), F.lit("")))), "")
-    return both.withColumn("html", F.when(F.col("__map").isNull(), F.col("html")).otherwise(html)).select(*pages.columns)
-
-
-def normalize_hrefs(manifest: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """XHTML items under ``.html`` names and type, and pages whose links follow. Pages: book_id, html and more."""
+
+def normalize_hrefs(manifest: DataFrame, pages: DataFrame, href: str = "href") -> tuple[DataFrame, DataFrame]:
+    """XHTML items under ``.html`` names and type, and pages whose links follow. Pages: book_id, html, ``href`` and more, where
+    ``href`` is the page's name in the manifest before the renaming, and so it stays."""
     is_x = F.col("href").rlike(r"(?i)\.xhtml?$") & F.col("media_type").isin(*HTML_TYPES)
-    renamed = manifest.where(is_x).select("book_id", F.col("href").alias("old"), html_href(F.col("href")).alias("new"))
+    renamed = manifest.where(is_x).select("book_id", entry_path(F.col("href")).alias("old"), html_href(entry_path(F.col("href"))).alias("new"))
     items = manifest.withColumn("media_type", F.when(is_x, "text/html").otherwise(F.col("media_type"))).withColumn("href", F.when(is_x, html_href(F.col("href"))).otherwise(F.col("href")))
-    return items, _rewrite(pages, renamed)
+    return items, _rewrite(pages, renamed, r"(?i)\.xhtml?|%|&#", href)
 
 
-def rename_reserved(manifest: DataFrame, pages: DataFrame, base_path: str = "base_path") -> tuple[DataFrame, DataFrame]:
+def rename_reserved(manifest: DataFrame, pages: DataFrame, base_path: str = "base_path", href: str = "href") -> tuple[DataFrame, DataFrame]:
     """An HTML item that would sit at ``index.html`` gets ``_content_`` before its name, and links follow."""
-    clash = F.col("media_type").isin(*HTML_TYPES, "") & (F.regexp_replace(full_href(F.col(base_path), F.col("href")), r"^(\./)+", "") == "index.html")
-    renamed = manifest.where(clash).select("book_id", F.col("href").alias("old"), F.concat(F.lit("_content_"), "href").alias("new"))
-    return manifest.withColumn("href", F.when(clash, F.concat(F.lit("_content_"), "href")).otherwise(F.col("href"))), _rewrite(pages, renamed)
+    clash = F.col("media_type").isin(*HTML_TYPES, "") & (entry_path(full_href(F.col(base_path), F.col("href"))) == "index.html")
+    new = F.regexp_replace(entry_path(F.col("href")), r"([^/]+)$", "_content_$1")
+    renamed = manifest.where(clash).select("book_id", entry_path(F.col("href")).alias("old"), new.alias("new"))
+    return manifest.withColumn("href", F.when(clash, new).otherwise(F.col("href"))), _rewrite(pages, renamed, r"index\.html|%|&#", href)
 
 
 def opf_path(containers: DataFrame, xml: str = "xml") -> DataFrame:

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from bindery.functions import markup
 from bindery.functions.text import BODY_TAG, chapter_label, folder, full_href, html_body, html_escape, relative_path, rtrim_space
-from bindery.operators.tokens import token_pattern, visible_texts
+from bindery.operators.ranks import numbered
+from bindery.operators.tokens import of_page
 
 SNIPPET_BYTES, SNIPPET_CHARS = 300, 250
-#: Tokens of which a snippet leaves out heads, bars, buttons, and the page's own header, a div without inner divs.
-SNIPPET_TOKEN = token_pattern("head", "nav", "button").replace("(?is)", r"(?is)<div\b[^>]*class=\"[^\"]*\bpage-header\b[^\"]*\"[^>]*>.*?(?:</div\s*>|\z)|", 1)
+#: Chapters that a part of a contents page lists; what a book without a title is called (a fixed value).
+PART_ENTRIES, NO_TITLE = 5000, "EPUB Book"
+_HEADER = re.compile(r"""(?i)\bclass\s*=\s*(?:"[^"]*\bpage-header\b|'[^']*\bpage-header\b|page-header(?=[\s>]))""")
+
+
+def _aside(tag: str, raw: str) -> bool:
+    """Elements of which a snippet says nothing: heads, bars, buttons, and the page's own header."""
+    return tag in ("head", "nav", "button") or (tag == "div" and bool(_HEADER.search(raw)))
+
+
+def _beginning(body: str) -> str:
+    """A page's first texts, joined by blanks, until they are over SNIPPET_BYTES."""
+    out, size = [], 0
+    for text in markup.texts(body, _aside):
+        out.append(text)
+        size += len(text.encode()) + (len(out) > 1)
+        if size > SNIPPET_BYTES:
+            break
+    return " ".join(out)
 
 
 def nav(spine: DataFrame) -> DataFrame:
     """(book_id, spine_pos, href, prev_href, next_href, index_href, current, total) from (book_id, spine_pos, href,
-    base_path): links are relative to each page's folder."""
-    line = Window.partitionBy("book_id").orderBy("spine_pos")
-    pages = spine.withColumn("full", full_href(F.col("base_path"), F.col("href")))
-    pages = pages.withColumns({"p": F.lag("full").over(line), "n": F.lead("full").over(line), "current": F.row_number().over(line), "total": F.count("*").over(Window.partitionBy("book_id")).cast("int")})
+    base_path): links are relative to each page's folder. A book may have any number of pages."""
+    pages = numbered(spine.select("book_id", "spine_pos", full_href(F.col("base_path"), F.col("href")).alias("full")), ["book_id"], ["spine_pos"], ["full"], "current", "total")
     here = folder(F.col("full"))
-    return pages.select("book_id", "spine_pos", F.col("full").alias("href"), relative_path(here, F.col("p")).alias("prev_href"), relative_path(here, F.col("n")).alias("next_href"), relative_path(here, F.lit("index.html")).alias("index_href"), "current", "total")
+    return pages.select("book_id", "spine_pos", F.col("full").alias("href"), relative_path(here, F.col("prev_full")).alias("prev_href"), relative_path(here, F.col("next_full")).alias("next_href"), relative_path(here, F.lit("index.html")).alias("index_href"), F.col("current").cast("int").alias("current"), F.col("total").cast("int").alias("total"))
 
 
 def nav_html(prev: Column, following: Column, index: Column, current: Column, total: Column, labels: tuple[str, str, str] = ("Previous", "Next", "Contents")) -> Column:
@@ -50,40 +69,55 @@ def inject_nav(pages: DataFrame, bars: DataFrame, key: list[str], css: str = "",
 
 def snippet(html: Column) -> Column:
     """The first two sentences of a page's visible text within 250 characters, else a cut; empty without text."""
-    texts = visible_texts(html_body(html), SNIPPET_TOKEN)
-    text = F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.octet_length(a) > SNIPPET_BYTES, a).otherwise(F.when(a == "", t).otherwise(F.concat(a, F.lit(" "), t))))
+    text = of_page(html_body(html), StringType(), _beginning)
     two = F.regexp_extract(F.substring(text, 1, SNIPPET_CHARS), r"(?s)^((?:[^.!?]*[.!?]){2})", 1)
     cut = F.concat(rtrim_space(F.substring(text, 1, SNIPPET_CHARS)), F.lit("…"))
     return F.when(two != "", rtrim_space(two)).when(F.length(text) > SNIPPET_CHARS, cut).otherwise(text)
 
 
-def toc_entry(full: Column, number: Column, label: Column, text: Column) -> Column:
-    """One list item: the snippet, or the label where there is none."""
-    head = F.concat(F.lit('      <li><a href="'), html_escape(full), F.lit('"><span class="toc-label">'))
-    said = F.concat(number.cast("string"), F.lit('.</span><span class="toc-snippet">'), html_escape(text))
-    return F.concat(head, F.when(text != "", said).otherwise(html_escape(label)), F.lit("</span></a></li>"))
+def contents_entry(full: Column, number: Column, label: Column, text: Column) -> Column:
+    """One line of a contents page: the number and the snippet, or the label where there is none."""
+    said = F.when(text != "", F.concat(number.cast("string"), F.lit(". "), text)).otherwise(label)
+    return F.concat(F.lit('<p><a href="'), html_escape(full), F.lit('">'), html_escape(said), F.lit("</a></p>\n"))
+
+
+def part_href(part: Column) -> Column:
+    """Where a part of a book's contents is: ``index.html``, then ``index_2.html`` ..."""
+    return F.when(part == 1, "index.html").otherwise(F.concat(F.lit("index_"), part.cast("string"), F.lit(".html")))
 
 
-def build_index(spine: DataFrame, titles: DataFrame, css: DataFrame | None = None) -> DataFrame:
-    """(book_id, chapters, html): the table of contents, or a redirect for a book of one page.
+def contents_html(title: Column, sheets: Column, chapters: Column, part: Column, parts: Column, entries: Column) -> Column:
+    """A contents page; of several parts each links to the one before and after it."""
+    links = F.array_join(F.transform(sheets, lambda h: F.concat(F.lit('<link rel="stylesheet" href="'), html_escape(h), F.lit('">'))), "")
+    step = lambda when, to, rel: F.when(when, F.concat(F.lit(f'<a rel="{rel}" href="'), part_href(to), F.lit(f'">{rel}</a>'))).otherwise("")
+    around = F.concat(step(part > 1, part - 1, "prev"), step(part < parts, part + 1, "next"))
+    return F.concat(
+        F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit("</title>"), links, F.lit('</head>\n<body>\n<main class="contents">\n<h2>'), title,
+        F.lit("</h2>\n<p>"), chapters.cast("string"), F.lit(" chapters</p>\n"), entries, around, F.lit("</main>\n</body></html>\n"),
+    )
+
+
+def redirect_html(to: Column) -> Column:
+    """A page that leads to the only chapter."""
+    return F.concat(F.lit('<!doctype html>\n<meta charset="utf-8"><meta http-equiv="refresh" content="0; url='), html_escape(to), F.lit('">\n<a href="'), html_escape(to), F.lit('">1</a>\n'))
+
+
+def build_index(spine: DataFrame, titles: DataFrame, css: DataFrame | None = None, entries: int = PART_ENTRIES, markup: Callable[..., Column] = contents_html) -> DataFrame:
+    """(book_id, part, chapters, html): the contents in parts of at most ``entries`` chapters, or a redirect for a book of one page.
 
     ``spine`` has book_id, spine_pos, href, base_path and snippet; ``titles`` book_id and title; ``css`` book_id and href of
-    style sheets. Snippets are short, so an entry list stays small whatever the pages weigh.
+    style sheets. Parts are as large for a book of any size, and no task sees a whole book; ``markup`` draws a part.
     """
-    number = F.row_number().over(Window.partitionBy("book_id").orderBy("spine_pos"))
-    rows = spine.withColumn("n", number).withColumn("full", full_href(F.col("base_path"), F.col("href")))
-    entry = toc_entry(F.col("full"), F.col("n"), chapter_label(F.col("href"), F.col("n")), F.coalesce("snippet", F.lit("")))
-    books = rows.groupBy("book_id").agg(F.count("*").alias("chapters"), F.min(F.struct("n", "full"))["full"].alias("first"), F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))).alias("es"))
-    books = books.join(titles.select("book_id", "title"), "book_id", "left")
+    rows = spine.select("book_id", "spine_pos", "href", full_href(F.col("base_path"), F.col("href")).alias("full"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    rows = numbered(rows, ["book_id"], ["spine_pos"], number="n", total="chapters")
+    entry = contents_entry(F.col("full"), F.col("n"), chapter_label(F.col("href"), F.col("n")), F.col("snippet"))
+    rows = rows.withColumn("part", (F.floor((F.col("n") - 1) / entries) + 1).cast("int"))
+    parts = rows.groupBy("book_id", "part", "chapters").agg(F.min(F.struct("n", "full"))["full"].alias("first"), F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))).alias("es"))
+    parts = parts.join(titles.select("book_id", "title"), "book_id", "left")
     if css is not None:
-        books = books.join(css.groupBy("book_id").agg(F.array_sort(F.collect_list("href")).alias("sheets")), "book_id", "left")
+        parts = parts.join(css.groupBy("book_id").agg(F.array_sort(F.collect_set("href")).alias("sheets")), "book_id", "left")
     else:
-        books = books.withColumn("sheets", F.array().cast("array<string>"))
-    links = F.array_join(F.transform(F.coalesce("sheets", F.array().cast("array<string>")), lambda h: F.concat(F.lit('  <link rel="stylesheet" href="'), html_escape(h), F.lit('">\n'))), "")
-    title = html_escape(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("EPUB Book")))
-    toc = F.concat(
-        F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n  <meta charset="UTF-8">\n  <title>'), title, F.lit("</title>\n"), links, F.lit("</head>\n<body>\n  <h1>"), title,
-        F.lit('</h1>\n  <p class="meta">Chapters: '), F.col("chapters").cast("string"), F.lit("</p>\n  <nav>\n    <ul>\n"), F.array_join("es.e", "\n"), F.lit("\n    </ul>\n  </nav>\n</body>\n</html>\n"),
-    )
-    redirect = F.concat(F.lit('<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="UTF-8">\n  <script>location.replace("'), F.replace(F.replace(F.col("first"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('");</script>\n</head>\n<body></body>\n</html>\n'))
-    return books.select("book_id", "chapters", F.when(F.col("chapters") == 1, redirect).otherwise(toc).alias("html"))
+        parts = parts.withColumn("sheets", F.lit(None).cast("array<string>"))
+    title = html_escape(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(NO_TITLE)))
+    page = markup(title, F.coalesce("sheets", F.array().cast("array<string>")), F.col("chapters"), F.col("part"), F.ceil(F.col("chapters") / entries).cast("int"), F.array_join("es.e", ""))
+    return parts.select("book_id", "part", "chapters", F.when(F.col("chapters") == 1, redirect_html(F.col("first"))).otherwise(page).alias("html"))

@@ -1,121 +1,110 @@
 """HTML as rows of tokens: text lengths, body blocks, translatable segments and their way back into the page.
 
-There is no tree: comments, scripts and styles are single tokens, depth is a running sum that never falls below zero, void
-and self-closed tags don't count, and what is never closed ends with the page. Texts, blocks and segments all come from one
-definition of a token.
+Texts, blocks and segments all come from one walk over a page's tokens (``bindery.functions.markup``), in the task that holds the page:
+nothing here is shuffled but the texts that meet the translation memory. Comments, scripts and styles are single tokens, an
+end tag ends what is open inside its element, and what is never closed ends where HTML ends it or with the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+from html import escape
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from bindery.functions import markup
+from bindery.functions.text import html_body
+
+#: Pages that a task turns into rows at once.
+PAGES = 64
 
-from bindery.functions.text import decode_entities, html_body, utrim
 
-_RAW = r"<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-#: Declarations and what browsers read as comments; tags, whose quoted attributes may hold ``>``; text, in which a ``<`` that
-#: opens nothing is a character like others.
-_REST = r"""<[!?][^>]*(?:>|\z)|</(?:>|[^a-z>][^>]*(?:>|\z))|</?[a-z](?:[^>"']+|"[^"]*"|'[^']*')*(?:>|\z)|</?[a-z][^>]*(?:>|\z)|(?:[^<]+|<+(?:[^a-z/!?<]|\z))+|<"""
+def per_page(pages: DataFrame, key: list[str], html: Column, fields: dict[str, object], rows: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """(key, fields): what ``rows`` gives for each page, in order, without a shuffle; none for a null page."""
+    own = pages.select(*key, html.alias("__html"))
+    schema = StructType([*own.schema.fields[:-1], *[StructField(n, t) for n, t in fields.items()]])
+    names, kinds = list(fields), to_arrow_schema(StructType([StructField(n, t) for n, t in fields.items()])).types
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(s, PAGES)
+                made = [(at, row) for at, page in enumerate(batch.column(len(key)).to_pylist()) if page is not None for row in rows(page)]
+                at = pa.array([a for a, _ in made], pa.int32())
+                values = [pa.array([row[k] for _, row in made], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(key))], *values], [*key, *names])
 
-def token_pattern(*more: str) -> str:
-    """All of a page as tokens; elements named in ``more`` are single tokens, as comments, scripts and styles are."""
-    own = [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in more]
-    return "(?is)" + "|".join([_RAW, *own, _REST])
+    return own.mapInArrow(run, schema)
 
 
-TOKEN = token_pattern()
-#: Elements whose text is never translated are single tokens too.
-SEGMENT_TOKEN = token_pattern("pre", "code")
-#: What a token of text does not start with.
-NOT_TEXT = "^<[A-Za-z/!?]"
-#: Elements that an end tag need not close, and those whose start closes an open paragraph. Fixed values of the format.
-CLOSED_BY_NEXT = ("p", "li", "dt", "dd", "option")
-BLOCK = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "pre", "section", "table", "ul")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+def of_page(html: Column, kind, value: Callable[[str], object]) -> Column:
+    """``value`` of each page as a column; null for a null page."""
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else value(p) for p in pages.to_pylist()], arrow)
+
+    arrow = to_arrow_schema(StructType([StructField("x", kind)])).types[0]
+    return F.arrow_udf(run, kind)(html)
 
 
 def html_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, pos, kind, tag, raw, depth): kind is text, open, close, void, raw or comment; depth counts open elements before."""
-    raw = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), 0)).alias("pos", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    kind = (
-        F.when(F.col("raw").rlike("^<[!?]") | (F.startswith("raw", F.lit("</")) & (tag == "")), "comment")
-        .when((tag != "") & F.startswith("raw", F.lit("</")), "close")
-        .when(tag.isin("script", "style"), "raw")
-        .when(tag.isin(*VOID) | ((tag != "") & F.endswith("raw", F.lit("/>"))), "void")
-        .when(tag != "", "open")
-        .otherwise("text")
-    )
-    page = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("kind") == "open", 1).when((F.col("kind") == "close") & ~F.col("tag").isin(*VOID), -1).otherwise(0)
-    sums = raw.withColumn("tag", tag).withColumn("kind", kind).withColumn("__sum", F.coalesce(F.sum(step).over(page), F.lit(0)))
-    least = F.coalesce(F.min("__sum").over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return sums.withColumn("depth", (F.col("__sum") - F.least(least, F.lit(0))).cast("int")).select(*key, "pos", "kind", "tag", "raw", "depth")
-
-
-def visible_texts(html: Column, pattern: str) -> Column:
-    """Array of the decoded, trimmed, non-blank texts among the tokens of ``pattern``, as one expression without a shuffle."""
-    tokens = F.filter(F.regexp_extract_all(html, F.lit(pattern), 0), lambda t: ~t.rlike(NOT_TEXT))
-    return F.filter(F.transform(tokens, lambda t: utrim(decode_entities(t))), lambda t: t != "")
-
-
-def body_text_len(html: Column) -> Column:
-    return F.aggregate(visible_texts(html_body(html), TOKEN), F.lit(0), lambda a, t: a + F.octet_length(t))
+    """(key, pos, kind, tag, raw, depth): kind is text, open, close, void, raw or comment; depth counts the elements that a token
+    stands in."""
+    rows = lambda page: ((n, t.kind, t.tag, t.raw, t.depth) for n, t in enumerate(markup.walk(page)))
+    return per_page(pages, key, F.col(html), {"pos": IntegerType(), "kind": StringType(), "tag": StringType(), "raw": StringType(), "depth": IntegerType()}, rows)
+
+
+def visible_texts(html: Column, hides: Callable[[str, str], bool] = markup.never) -> Column:
+    """Array of the decoded, trimmed, non-blank texts outside of scripts, styles and the elements that ``hides`` names."""
+    return of_page(html, ArrayType(StringType()), lambda page: list(markup.texts(page, hides)))
+
+
+def bytes_of_text(body: str) -> int:
+    return sum(len(t.encode()) for t in markup.texts(body))
 
 
 def text_len(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, text_len): bytes of trimmed text in the body; scripts and styles don't count, code does."""
-    return pages.select(*key, body_text_len(F.col(html)).alias("text_len"))
+    """(key, text_len): bytes of trimmed text in the body; scripts and styles don't count, code does. Null without a page."""
+    return pages.select(*key, of_page(html_body(F.col(html)), IntegerType(), bytes_of_text).alias("text_len"))
 
 
 def body_blocks(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, block_no from 1, html, len): direct children of the body in order, loose text counts if not blank.
-
-    Elements that need no end tag don't count for the depth: one that stands in the body itself begins a block, which lasts
-    until its end tag or the start of the next such element or of a block element.
-    """
-    tokens = html_tokens(pages.select(*key, html_body(F.col(html)).alias("html")), key)
-    line = Window.partitionBy(*key).orderBy("pos")
-    before, upto = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
-    loose = F.col("tag").isin(*CLOSED_BY_NEXT)
-    step = F.when(loose, 0).when(F.col("kind") == "open", 1).when((F.col("kind") == "close") & ~F.col("tag").isin(*VOID), -1).otherwise(0)
-    summed = tokens.withColumn("__sum", F.coalesce(F.sum(step).over(before), F.lit(0)))
-    summed = summed.withColumn("__top", F.col("__sum") == F.least(F.coalesce(F.min("__sum").over(upto), F.lit(0)), F.lit(0)))
-    state = F.when(~F.col("__top"), None).when(loose & F.col("kind").isin("open", "close"), F.col("kind") == "open").when(F.col("tag").isin(*BLOCK) & F.col("kind").isin("open", "void"), False)
-    marked = summed.withColumn("__in", F.coalesce(F.last(state, ignorenulls=True).over(before), F.lit(False)))
-    solid = F.col("kind").isin("open", "void", "raw") | ((F.col("kind") == "text") & (utrim(F.col("raw")) != ""))
-    starts = F.col("__top") & solid & (~F.col("__in") | (F.col("kind") == "open") & (loose | F.col("tag").isin(*BLOCK)) | (F.col("kind") == "void") & F.col("tag").isin(*BLOCK))
-    size = F.when(F.col("kind") == "text", F.octet_length(utrim(decode_entities(F.col("raw"))))).otherwise(0)
-    numbered = marked.withColumn("block_no", F.sum(starts.cast("int")).over(upto).cast("int")).where("block_no > 0")
-    own = numbered.groupBy(*key, "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("ts"), F.sum(size).cast("int").alias("len"))
-    return own.select(*key, "block_no", F.array_join("ts.raw", "").alias("html"), "len")
+    """(key, block_no from 1, html, len): direct children of the body in order, loose text counts if not blank."""
+    rows = lambda body: ((n, *block) for n, block in enumerate(markup.blocks(body), 1))
+    return per_page(pages, key, html_body(F.col(html)), {"block_no": IntegerType(), "html": StringType(), "len": IntegerType()}, rows)
 
 
 def extract_segments(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
     """(key, seq from 0, text): decoded, trimmed, non-blank text outside script, style, code and pre, in document order."""
-    return pages.select(*key, F.posexplode(visible_texts(F.col(html), SEGMENT_TOKEN)).alias("seq", "text"))
-
+    return per_page(pages, key, F.col(html), {"seq": IntegerType(), "text": StringType()}, lambda page: enumerate(markup.texts(page, markup.code)))
 
-def segment_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, pos, raw, text): tokens with what is translated in them, null in all others."""
-    tokens = pages.select(*key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SEGMENT_TOKEN), 0)).alias("pos", "raw"))
-    text = F.when(~F.col("raw").rlike(NOT_TEXT), utrim(decode_entities(F.col("raw"))))
-    return tokens.withColumn("text", F.nullif(text, F.lit("")))
 
+def apply_translations(pages: DataFrame, tm: DataFrame, key: list[str], html: str = "html", encode: Callable[[str], str] | None = None) -> DataFrame:
+    """(key, html): each segment's text replaced by ``tm`` (text, translated), white space around it kept.
 
-def apply_translations(pages: DataFrame, tm: DataFrame, key: list[str], html: str = "html", encode=None) -> DataFrame:
-    """(key, html): each segment's text replaced by ``tm`` (text, translated), outer white space kept.
+    Without a translation, or with an empty one, the token stays byte for byte, as all others do. Null pages stay null.
+    ``encode`` (default: HTML escaping of & < >) is applied to translations. ``key`` names a page.
 
-    Without a translation, or with an empty one, the token stays byte for byte; so do all other tokens, which are not part
-    of the join. Empty and null pages have no row. ``encode`` (default: HTML escaping of & < >) is applied to translations.
+    A page's distinct texts meet the memory, one row each, so a text that stands on every page costs keys and not pages; what is
+    found comes back as a small map to the page, which is put together in its task.
     """
-    encode = encode or (lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    encode = encode or (lambda text: escape(text, quote=False))
     known = tm.where("translated is not null and translated <> ''").groupBy("text").agg(F.min("translated").alias("translated"))
-    tokens = segment_tokens(pages, key, html)
-    lead, trail = F.regexp_extract("raw", r"^([ \t\n\r]*)", 1), F.regexp_extract("raw", r"([ \t\n\r]*)$", 1)
-    out = F.when(F.col("translated").isNull(), F.col("raw")).otherwise(F.concat(lead, encode(F.col("translated")), trail))
-    said = tokens.where("text is not null").join(known, "text", "left").select(*key, "pos", out.alias("raw"))
-    both = said.unionByName(tokens.where("text is null").select(*key, "pos", "raw"))
-    own = both.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("ts"))
-    return own.select(*key, F.array_join("ts.raw", "").alias("html"))
+    asked = per_page(pages, key, F.col(html), {"text": StringType()}, lambda page: ((t,) for t in dict.fromkeys(markup.texts(page, markup.code))))
+    found = asked.join(known, "text").groupBy(*key).agg(F.collect_list(F.struct("text", "translated")).alias("__found"))
+    names = [f"__k{n}" for n in range(len(key))]
+    found = found.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.col("__found.text").alias("__said"), F.col("__found.translated").alias("__now"))
+    same = F.lit(True)
+    for k, n in zip(key, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+
+    def run(page: pa.Array, said: pa.Array, now: pa.Array) -> pa.Array:
+        rows = zip(page.to_pylist(), said.to_pylist(), now.to_pylist(), strict=True)
+        return pa.array([p if s is None or p is None else markup.replaced(p, dict(zip(s, n, strict=True)), encode) for p, s, n in rows], pa.string())
+
+    both = pages.select(*key, F.col(html).alias("__html")).join(found, same, "left")
+    return both.select(*key, F.arrow_udf(run, StringType())("__html", "__said", "__now").alias("html"))

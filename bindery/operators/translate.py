@@ -8,12 +8,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from bindery.functions.text import duration, is_echo, language_name, utrim
+from bindery.functions.text import duration, echoes, is_echo, language_name, utrim
+from bindery.operators.pack import BATCH_BYTES, packing, starts
 
 Backend = Callable[[list[str], str, str], list[str]]
 USD_PER_MILLION, ASK_BYTES, ECHO_PASSES = 20.0, 1000, 2
@@ -103,56 +105,70 @@ def parse_reply(reply: Column, n: Column) -> Column:
     return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(utrim(F.try_element_at(of(i), F.lit(-1))["v"]), F.lit(""))))
 
 
-def translate(batches: DataFrame, backend: Backend, src: str, dst: str, batch: list[str], order: str, parallel: int | None = None) -> DataFrame:
-    """(batch, order, text, translated, error) from (batch, order, text): one call per batch, its texts in order.
+def _calls(backend: Backend, src: str, dst: str, batch: list[str]):
+    """Arrow batches sorted by ``batch`` to the same with translated and error; one call a batch, over the borders of what Spark
+    hands over at once."""
 
-    ``batch`` names all columns that make a batch, such as a page and its batch_no. Batches are held together over the
-    borders of what Spark hands over at once. A failing batch has an error and no translations, others go on. ``parallel``
-    bounds the calls at a time. Write the result before it is used twice.
-    """
-    kept = [*batch, order, "text"]
-
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
+    def call(rows: pa.Table) -> pa.Table:
         try:
-            got, error = backend(rows["text"].tolist(), src, dst), None
-            if len(got) != len(rows):
-                raise BackendError(f"{len(got)} texts for {len(rows)}")
+            got, error = backend(rows.column("text").to_pylist(), src, dst), None
+            if len(got) != rows.num_rows:
+                raise BackendError(f"{len(got)} texts for {rows.num_rows}")
         except Exception as e:  # noqa: BLE001  a backend's failure is data here
-            got, error = [None] * len(rows), f"{type(e).__name__}: {e}"
-        return rows.assign(translated=got, error=error)
+            got, error = [None] * rows.num_rows, f"{type(e).__name__}: {e}"
+        return rows.append_column("translated", pa.array(got, pa.string())).append_column("error", pa.array([error] * rows.num_rows, pa.string()))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for rows in parts:
-            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-            if rows.empty:
+        for part in parts:
+            rows = pa.Table.from_batches([part])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not rows.num_rows:
                 continue
-            number = rows.groupby(batch, sort=False, dropna=False).ngroup().to_numpy()
-            cut = int((number != number[-1]).sum())
-            for _, own in rows[:cut].groupby(number[:cut], sort=False):
-                yield call(own)
-            rest = rows[cut:]
-        if rest is not None and len(rest):
-            yield call(rest)
-
-    dealt = batches.select(*kept)
+            at = np.flatnonzero(starts(rows, batch)).tolist()
+            done = [call(rows.slice(s, t - s)) for s, t in zip(at, at[1:], strict=False)]
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+            rest = rows.slice(at[-1])
+        if rest is not None:
+            yield from call(rest).combine_chunks().to_batches()
+
+    return run
+
+
+_ANSWER = [StructField("translated", StringType()), StructField("error", StringType())]
+
+
+def translate(batches: DataFrame, backend: Backend, src: str, dst: str, batch: list[str], order: str, parallel: int | None = None) -> DataFrame:
+    """(batch, order, text, translated, error) from (batch, order, text): one call per batch, its texts in order.
+
+    ``batch`` names all columns that make a batch, such as a page and its batch_no. A failing batch has an error and no
+    translations, others go on. ``parallel`` bounds the calls at a time. Write the result before it is used twice.
+    """
+    dealt = batches.select(*dict.fromkeys([*batch, order, "text"]))
     dealt = dealt.repartition(parallel, *batch) if parallel else dealt.repartition(*batch)
-    schema = StructType([*dealt.schema.fields, StructField("translated", StringType()), StructField("error", StringType())])
-    return dealt.sortWithinPartitions(*batch, order).mapInPandas(run, schema)
+    return dealt.sortWithinPartitions(*batch, order).mapInArrow(_calls(backend, src, dst, batch), StructType([*dealt.schema.fields, *_ANSWER]))
+
+
+def translate_packed(segments: DataFrame, backend: Backend, src: str, dst: str, part: list[str], order: str = "seq", limit: int = BATCH_BYTES) -> DataFrame:
+    """(part, order, text, batch_no, translated, error): segments packed into batches of at most ``limit`` bytes within ``part`` and sent
+    on as they are packed, in one pass after one shuffle."""
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = segments.select(*dict.fromkeys([*part, order, "text"]), F.octet_length("text").alias("__size")).repartition(n, *part).sortWithinPartitions(*part, order)
+    schema = StructType([*sized.schema.fields, StructField("batch_no", IntegerType()), *_ANSWER])
+    pack, send = packing(part, "__size", limit, "batch_no"), _calls(backend, src, dst, [*part, "batch_no"])
+    return sized.mapInArrow(lambda rows: send(pack(rows)), schema).drop("__size")
 
 
 def retry_echoes(done: DataFrame, backend: Backend, src: str, dst: str, passes: int = ECHO_PASSES) -> DataFrame:
     """``done`` (text, translated, error and more) with tries: texts that came back unchanged or empty are asked for again one
     by one, at most ``passes`` times, in the task that holds them; the last answer that isn't an echo stays."""
 
-    def echo(t: str | None, o: str) -> bool:
-        t, o = (t or "").strip(), o.strip()
-        return not t or (len(o.encode()) >= 10 and t.casefold() == o.casefold())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
-            texts, got, tries = rows["text"].tolist(), rows["translated"].tolist(), [0] * len(rows)
-            open_ = [i for i, (t, o, e) in enumerate(zip(got, texts, rows["error"], strict=True)) if e is None and echo(t, o)]
+            texts, got, errors = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("text", "translated", "error"))
+            tries = [0] * len(texts)
+            open_ = [i for i, (t, o, e) in enumerate(zip(got, texts, errors, strict=True)) if e is None and echoes(t, o)]
             for _ in range(passes):
                 before = len(open_)
                 for i in open_:
@@ -161,14 +177,15 @@ def retry_echoes(done: DataFrame, backend: Backend, src: str, dst: str, passes:
                         answer = backend([texts[i]], src, dst)[0]
                     except Exception:  # noqa: BLE001  the first answer stays
                         continue
-                    if not echo(answer, texts[i]):
+                    if not echoes(answer, texts[i]):
                         got[i] = answer
-                open_ = [i for i in open_ if echo(got[i], texts[i])]
+                open_ = [i for i in open_ if echoes(got[i], texts[i])]
                 if len(open_) == before or not open_:
                     break
-            yield rows.assign(translated=got, tries=tries)
+            columns = dict(zip(rows.schema.names, rows.columns, strict=True)) | {"translated": pa.array(got, pa.string()), "tries": pa.array(tries, pa.int32())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return done.mapInPandas(run, StructType([*done.schema.fields, StructField("tries", IntegerType())]))
+    return done.mapInArrow(run, StructType([*done.schema.fields, StructField("tries", IntegerType())]))
 
 
 def translation_metrics(done: DataFrame, key: list[str], seconds: Column) -> DataFrame:
@@ -197,10 +214,15 @@ def translate_titles(books: DataFrame, tm: DataFrame) -> DataFrame:
     return books.join(known, books["title"] == known["text"], "left").withColumn("title_translated", F.coalesce("__t", "title")).drop("__t", "text")
 
 
-def page_status(segments: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
-    """(key, segments, failed, status): ``ok`` if all its texts came back, ``partial`` or ``original`` if not."""
-    failed = done.groupBy("text").agg(F.max(F.col("error").isNotNull().cast("int")).alias("bad"))
-    own = segments.join(failed, "text", "left").groupBy(*key).agg(F.count("*").alias("segments"), F.coalesce(F.sum(F.coalesce("bad", F.lit(1))), F.lit(0)).alias("failed"))
+def page_status(segments: DataFrame, done: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
+    """(key, segments, failed, status): ``ok`` if all of a page's segments came back, ``original`` if none did, else ``partial``.
+
+    ``done`` has (key, seq, error), one row for each segment that was sent; those that never were have failed. Each segment is
+    judged by what became of itself, whatever became of the same text elsewhere.
+    """
+    names = [*key, seq]
+    sent = done.select(*names, F.col("error").isNull().cast("int").alias("__ok")).groupBy(*names).agg(F.max("__ok").alias("__ok"))
+    own = segments.select(*names).join(sent, names, "left").groupBy(*key).agg(F.count("*").alias("segments"), F.count_if(F.coalesce("__ok", F.lit(0)) == 0).alias("failed"))
     return own.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("failed") < F.col("segments"), "partial").otherwise("original"))
 
 

@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.operators.ranks import numbered
+
 SP = r"[\s\x0b\x{85}\p{Z}]"
 
 
@@ -46,25 +48,51 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def source_books(spark: SparkSession, d: str) -> DataFrame:
     """Each source is a book, its documents the chapters."""
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    keys = documents(spark, d).select(F.col("source").alias("book_id"), "doc_id", pos.alias("spine_pos"))
+    keys = numbered(documents(spark, d).select(F.col("source").alias("book_id"), "doc_id"), ["book_id"], ["doc_id"], number="spine_pos")
+    keys = keys.withColumn("spine_pos", F.col("spine_pos").cast("int"))
     return keys.join(documents(spark, d).select("doc_id", "text"), "doc_id").select("book_id", "spine_pos", "doc_id", "text").withColumn("href", F.format_string("page_%03d.html", "spine_pos"))
 
 
 SOURCE_BOOKS = "sb as (select source as book_id, cast(row_number() over (partition by source order by doc_id) as int) as spine_pos, doc_id, text from documents), source_books as (select *, format('page_{:03d}.html', spine_pos) as href from sb)"
 
 
+def site_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their host as book_id."""
+    return table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("book_id"), "page_id", "url", "html")
+
+
 def site_books(spark: SparkSession, d: str) -> DataFrame:
     """Each host is a book, its pages the chapters."""
-    pages = table(spark, d, "pages")
-    keys = pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("book_id"), "page_id")
-    keys = keys.withColumn("spine_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")))  # keys alone: a large host's pages don't meet in one task
-    return keys.join(pages, "page_id").select("book_id", "spine_pos", "page_id", "url", "html")
+    pages = site_pages(spark, d)
+    keys = numbered(pages.select("book_id", "page_id"), ["book_id"], ["page_id"], number="spine_pos")
+    return keys.withColumn("spine_pos", F.col("spine_pos").cast("int")).join(pages.drop("book_id"), "page_id").select("book_id", "spine_pos", "page_id", "url", "html")
 
 
 SITE_BOOKS = "hosts as (select *, regexp_extract(url, '://([^/?#]*)', 1) as book_id from pages), site_books as (select book_id, cast(row_number() over (partition by book_id order by page_id) as int) as spine_pos, page_id, url, html from hosts)"
 
 
+#: What stands for what in messy pages: no end tags of paragraphs, unquoted values with apostrophes, marks and cells left open.
+MESS = [("</p>", " 1 < 2 "), ("<li>", "<li title=it's><b>"), ("</nav>", "<table><tr><td>a<td><i>b</table><pre>x <code>y</nav>"), ('<div class="ad">', "<div class='a>b'><b>m</div><div>"), ("<br>", "<ol><li>n<ul><li>o</ul><li>p</ol>")]
+
+
+def messy_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with markup as people write it."""
+    html = F.col("html")
+    for old, new in MESS:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return table(spark, d, "pages").select("page_id", html.alias("html"))
+
+
+def _messy_sql() -> str:
+    html = "html"
+    for old, new in MESS:
+        html = "replace({}, '{}', '{}')".format(html, *(x.replace("'", "''") for x in (old, new)))
+    return f"messy as (select page_id, {html} as html from pages)"
+
+
+MESSY_PAGES = _messy_sql()
+
+
 def conv_books(spark: SparkSession, d: str) -> DataFrame:
     """Conversations with blank lines between turns."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
@@ -132,13 +160,17 @@ def _file(doc_id: int, text: str) -> tuple[str, bytes]:
 
     kind, lines = doc_id % 8, text.split("\n")
     if kind == 0:
-        out = io.BytesIO()
+        out, folders = io.BytesIO(), ("parts", "more")
+        at = lambda n: f"{folders[n % 2]}/ch{n}.xhtml"
+        items = "".join(f'<item id="c{n}" href="{at(n)}" media-type="application/xhtml+xml"/>' for n in range(1, len(lines) + 1))
+        refs = "".join(f'<itemref idref="c{n}"/>' for n in range(len(lines), 0, -1))
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-            z.writestr("OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Archive {doc_id}</dc:title></metadata><manifest><item id="s" href="a.css"/><item id="c1" href="ch1.xhtml" media-type="application/xhtml+xml"/><item id="c2" href="ch2.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c2"/><itemref idref="gone"/><itemref idref="c1"/></spine></package>')
-            z.writestr("OEBPS/ch1.xhtml", f'<html><body><p>{xml(lines[0])}</p><a href="ch2.xhtml">on</a></body></html>')
-            z.writestr("OEBPS/ch2.xhtml", f"<html><body><p>{xml(lines[-1])}</p></body></html>")
-            z.writestr("../../evil.txt", "no")
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="book/list.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+            z.writestr("book/list.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Archive {doc_id}</dc:title></metadata><manifest><item id="look" href="look.css"/>{items}</manifest><spine><itemref idref="nowhere"/>{refs}</spine></package>')
+            for n, line in enumerate(lines, 1):
+                back = f'<a href="../{at(n - 1)}#end">back</a>' if n > 1 else ""
+                z.writestr(f"book/{at(n)}", f"<html><body><p>{xml(line)}</p>{back}</body></html>")
+            z.writestr("../outside.txt", "no")
         return ".epub", out.getvalue()
     if kind == 1:
         return ".fb2", f"<FictionBook><description><title-info><book-title>Tale {doc_id}</book-title></title-info></description><body><section>{''.join(f'<p>{xml(x)}</p>' for x in lines)}</section></body></FictionBook>".encode()

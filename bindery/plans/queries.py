@@ -74,7 +74,11 @@ def decode_sql(x: str) -> str:
 
 
 URL_STEM = STEM.replace("path", "url")
-BODY = f"case when not regexp_matches(html, {q('(?i)' + T.BODY_TAG)}) then html else regexp_replace(regexp_extract(html, {q('(?is)' + T.BODY_TAG + '(.*)$')}, 1), '(?is)</body\\s*>.*$', '') end"
+#: Blanks of markup, and what may follow a tag's name, for a matcher without possessive groups.
+WS = r"[ \t\n\f\r]"
+ATTRIBUTES = rf"""(?:[ \t\n\f\r/]+|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*(?:{WS}*={WS}*(?:"[^"]*"|'[^']*'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*)?)?)*"""
+BODY_TAG = rf"<body(?:[ \t\n\f\r/]{ATTRIBUTES})?>"
+BODY = f"case when not regexp_matches(html, {q('(?i)' + BODY_TAG)}) then html else regexp_replace(regexp_extract(html, {q('(?is)' + BODY_TAG + '(.*)$')}, 1), '(?is)</body\\s*>.*$', '') end"
 
 
 PAGE_TITLE = f"coalesce(list_filter(list_transform(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>', 1), lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')[1], {URL_STEM})"
@@ -255,11 +259,11 @@ def b16(s, d):
 
 
 def manifest_of(s, d):
-    """Every fifth chapter is listed twice, some items have other types or XHTML names."""
+    """Every fifth chapter is listed twice, every third is in a folder, some items have other types or XHTML names."""
     b = X.source_books(s, d)
     kind = F.element_at(F.array(*map(F.lit, ["application/xhtml+xml", "text/html", "text/css", ""])), (F.col("spine_pos") % 4 + 1).cast("int"))
-    first = b.select("book_id", (F.col("spine_pos") * 2).alias("pos"), F.format_string("ch%d", "spine_pos").alias("item_id"), F.when(F.col("spine_pos") % 4 == 0, F.regexp_replace("href", "html$", "XHTML")).when(F.col("spine_pos") == 5, "index.html").otherwise(F.col("href")).alias("href"), kind.alias("media_type"))
-    again = first.where("pos % 10 = 0").select("book_id", (F.col("pos") + 1).alias("pos"), "item_id", F.concat(F.lit("again_"), "href").alias("href"), "media_type")
+    first = b.select("book_id", (F.col("spine_pos") * 2).alias("pos"), F.format_string("ch%d", "spine_pos").alias("item_id"), F.concat(F.when(F.col("spine_pos") % 3 == 0, "text/").otherwise(""), F.when(F.col("spine_pos") % 4 == 0, F.regexp_replace("href", "html$", "XHTML")).when(F.col("spine_pos") == 5, "index.html").otherwise(F.col("href"))).alias("href"), kind.alias("media_type"))
+    again = first.where("pos % 10 = 0").select("book_id", (F.col("pos") + 1).alias("pos"), "item_id", F.concat("href", F.lit(".again")).alias("href"), "media_type")
     return first.unionByName(again)
 
 
@@ -268,8 +272,8 @@ def spine_of(s, d):
     return b.select("book_id", "spine_pos", F.when(F.col("spine_pos") % 7 == 0, "missing").otherwise(F.format_string("ch%d", "spine_pos")).alias("idref"))
 
 
-MANIFEST = """m1 as (select book_id, spine_pos * 2 as pos, 'ch' || spine_pos as item_id, case when spine_pos % 4 = 0 then regexp_replace(href, 'html$', 'XHTML') when spine_pos = 5 then 'index.html' else href end as href, (['application/xhtml+xml', 'text/html', 'text/css', ''])[spine_pos % 4 + 1] as media_type from source_books),
- manifest as (select * from m1 union all select book_id, pos + 1, item_id, 'again_' || href, media_type from m1 where pos % 10 = 0), spine as (select book_id, spine_pos, case when spine_pos % 7 = 0 then 'missing' else 'ch' || spine_pos end as idref from source_books)"""
+MANIFEST = """m1 as (select book_id, spine_pos * 2 as pos, 'ch' || spine_pos as item_id, case when spine_pos % 3 = 0 then 'text/' else '' end || case when spine_pos % 4 = 0 then regexp_replace(href, 'html$', 'XHTML') when spine_pos = 5 then 'index.html' else href end as href, (['application/xhtml+xml', 'text/html', 'text/css', ''])[spine_pos % 4 + 1] as media_type from source_books),
+ manifest as (select * from m1 union all select book_id, pos + 1, item_id, href || '.again', media_type from m1 where pos % 10 = 0), spine as (select book_id, spine_pos, case when spine_pos % 7 = 0 then 'missing' else 'ch' || spine_pos end as idref from source_books)"""
 SPINE_HREFS = "hrefs as (select s.book_id, s.spine_pos, m.href, m.media_type from spine s join (select *, row_number() over (partition by book_id, item_id order by pos desc) as n from manifest) m on m.book_id = s.book_id and m.item_id = s.idref and m.n = 1)"
 
 
@@ -308,21 +312,26 @@ def c5(s, d):
 
 
 def linked_pages(s, d):
-    """A page for each chapter: it links to the chapters before and after it by their names in the manifest, and to a sheet."""
+    """A page for each chapter, at the chapter's place: it links to the chapters before and after it, as seen from its folder, with
+    and without quotes, and to a sheet; it speaks of names that are no links."""
     from pyspark.sql import Window
 
     first = manifest_of(s, d).where("pos % 2 = 0")
     line = Window.partitionBy("book_id").orderBy("pos")
-    link = lambda to, text: F.coalesce(F.concat(F.lit('<a href="'), to, F.lit(f'#top">{text}</a>')), F.lit(""))
-    near = first.withColumns({"p": F.lag("href").over(line), "n": F.lead("href").over(line)})
-    return near.select("book_id", F.expr("cast(pos div 2 as int)").alias("spine_pos"), F.concat(link(F.col("p"), "back"), F.lit("<link href='a.css'>page_004.XHTML index.html"), link(F.col("n"), "on")).alias("html"))
+    near = first.withColumns({"p": F.lag("href").over(line), "n": F.lead("href").over(line), "spine_pos": F.expr("cast(pos div 2 as int)")})
+    seen = lambda to: F.concat(F.when(F.col("spine_pos") % 4 == 1, "./").otherwise(""), T.relative_path(T.folder(F.col("href")), F.col(to)))
+    back = F.coalesce(F.concat(F.lit('<a title="href=" href="'), seen("p"), F.lit('#top">back</a>')), F.lit(""))
+    on = F.coalesce(F.concat(F.lit("<a href="), seen("n"), F.lit("#top class=n>on</a>")), F.lit(""))
+    return near.select("book_id", "spine_pos", "href", F.concat(back, F.lit("<link href='a.css'>page_004.XHTML href=\"index.html\""), on).alias("html"))
 
 
 def links_sql(renamed: str, to: str) -> str:
     """Pages whose two links are replaced where the manifest has a renamed item of that name."""
-    new = lambda x: f"case when (book_id, {x}) in (select (book_id, href) from manifest where {renamed}) then {to.format(x)} else {x} end"
-    link = lambda x, text: f"coalesce('<a href=\"' || {new(x)} || '#top\">{text}</a>', '')"
-    return f"select book_id, spine_pos, {link('p', 'back')} || '<link href=''a.css''>page_004.XHTML index.html' || {link('n', 'on')} as html from (select book_id, cast(pos // 2 as int) as spine_pos, lag(href) over w as p, lead(href) over w as n from m1 window w as (partition by book_id order by pos))"
+    seen = lambda x: f"case when starts_with(href, 'text/') then case when starts_with({x}, 'text/') then substring({x}, 6) else '../' || {x} end else {x} end"
+    dot = "case when spine_pos % 4 = 1 then './' else '' end"
+    new = lambda x, mark: f"case when (book_id, {x}) in (select (book_id, href) from manifest where {renamed}) then '{mark}' || {seen(to.format(x))} || '#top{mark}' else '{mark if mark and x == 'p' else ''}' || {dot} || {seen(x)} || '#top{mark if mark and x == 'p' else ''}' end"
+    html = f"""coalesce('<a title="href=" href=' || {new('p', '"')} || '>back</a>', '') || '<link href=''a.css''>page_004.XHTML href="index.html"' || coalesce('<a href=' || {new('n', '"')} || ' class=n>on</a>', '')"""
+    return f"select book_id, spine_pos, {html} as html from (select book_id, href, cast(pos // 2 as int) as spine_pos, lag(href) over w as p, lead(href) over w as n from m1 window w as (partition by book_id order by pos))"
 
 
 XH = "(regexp_matches(href, '(?i)\\.xhtml?$') and media_type in ('application/xhtml+xml', 'text/html'))"
@@ -421,15 +430,16 @@ def kind_pages(kind: int, fmt: str, title: str) -> str:
     return f"select path, page_no, item_id, href, html from ({text_pages(title, fmt, paged, 'path, ')})"
 
 
-CHAPTER = lambda n, item, body: f"select path, {n} as page_no, 'c{item}' as item_id, 'ch{item}.html' as href, '<html><body><p>' || {body} || '</body></html>' as html from files where kind = 0"
+FOLDER = lambda n: f"case when {n} % 2 = 0 then 'parts' else 'more' end"
+CHAPTERS = f"""select path, len(ls) - n + 2 as page_no, 'c' || n as item_id, {FOLDER('n')} || '/ch' || n || '.html' as href, '<html><body><p>' || {XML('ls[n]')} || '</p>' || case when n > 1 then '<a href="../' || {FOLDER('(n - 1)')} || '/ch' || (n - 1) || '.html#end">back</a>' else '' end || '</body></html>' as html
+ from (select path, ls, unnest(range(1, len(ls) + 1)) as n from (select path, string_split(text, chr(10)) as ls from files where kind = 0))"""
 FILE_PAGES = " union all ".join(
     [
         kind_pages(3, "txt", "'b' || doc_id"),
         kind_pages(1, "fb2", "'Tale ' || doc_id"),
         kind_pages(2, "rtf", "'b' || doc_id"),
         f"select path, 1, 'page_001', 'page_001.html', {rendered(escape(q('Page & ') + ' || doc_id'), 'html', q('<p>') + ' || ' + XML('text') + ' || ' + q('</p>') + ' || chr(10)')} from (select *, 1 as page_no, 1 as total_pages from files where kind = 4)",
-        CHAPTER(1, 2, XML("string_split(text, chr(10))[-1]") + " || '</p>'"),
-        CHAPTER(3, 1, XML("string_split(text, chr(10))[1]") + " || '</p><a href=\"ch2.html\">on</a>'"),
+        CHAPTERS,
     ]
 )
 
@@ -443,7 +453,7 @@ def a2(s, d):
     return tables["pages"].join(tables["books"].select("book_id", "path"), "book_id").select("path", "page_no", "item_id", "href", "html")
 
 
-@query("a2_ingest_books", with_sql(X.FILES, select="select path, (['epub', 'fb2', 'rtf', 'txt', 'html'])[kind + 1] as fmt, (['Archive ', 'Tale ', 'b', 'b', 'Page & '])[kind + 1] || doc_id as title, case when kind = 0 then 'OEBPS' else '' end as base_path, false as truncated from files where kind < 5"))
+@query("a2_ingest_books", with_sql(X.FILES, select="select path, (['epub', 'fb2', 'rtf', 'txt', 'html'])[kind + 1] as fmt, (['Archive ', 'Tale ', 'b', 'b', 'Page & '])[kind + 1] || doc_id as title, case when kind = 0 then 'book' else '' end as base_path, false as truncated from files where kind < 5"))
 def a2_books(s, d):
     from bindery.sources.ingest import ingest
 

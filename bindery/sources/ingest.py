@@ -16,12 +16,14 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions.text import book_title, html_body, html_title, utrim
-from bindery.operators.books import ENTRY_BYTES, content_files, normalize_hrefs, opf_path, parse_opf, rename_reserved, safe_entries, spine_hrefs, with_key
+from bindery.operators.books import ENTRY_BYTES, content_files, entry_path, normalize_hrefs, opf_path, parse_opf, rename_reserved, safe_entries, spine_hrefs, with_key
 from bindery.operators.paragraphs import page_html, render_texts
+from bindery.sources.archives import checked, read_archives
 from bindery.sources.staging import staged
 
 Decoder = Callable[[bytes], str]
@@ -96,50 +98,75 @@ def rtf_text(raw: bytes, codec: str = "cp1251", skip_groups: bool = False) -> st
 
 
 def _entries(raw: bytes) -> Iterator[tuple[str, bytes, bool]]:
-    """Entries, and whether they were cut at ENTRY_BYTES; those that the package is read from must be well-formed, so no later query meets broken XML."""
+    """Entries, and whether they were cut at ENTRY_BYTES."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for info in z.infolist():
             if not info.is_dir():
                 with z.open(info) as f:
                     data = f.read(ENTRY_BYTES + 1)
-                cut, data = len(data) > ENTRY_BYTES, data[:ENTRY_BYTES]
-                if info.filename.lower().endswith((".opf", "container.xml")):
-                    ET.fromstring(data)
-                yield info.filename, data, cut
+                yield info.filename, checked(info.filename, data[:ENTRY_BYTES]), len(data) > ENTRY_BYTES
+
+
+OPENED = "book_id long, fmt string, path string, entry string, title string, text string, content binary, truncated boolean, error string"
+#: Bytes, and rows, that a task hands over at once.
+HAND_BYTES, HAND_ROWS = 16 << 20, 256
+
+
+def _opened(fmt: str, raw: bytes, decoders: dict[str, Decoder]) -> Iterator[dict]:
+    """What comes out of a file: one row for each archive entry of an EPUB, else one; an error may follow entries that were read."""
+    try:
+        if fmt in decoders:
+            out = {"text": decoders[fmt](raw), "fmt": "txt"}
+        elif fmt == "epub":
+            for name, data, cut in _entries(raw):
+                yield {"entry": name, "content": data, "truncated": cut}
+            return
+        elif fmt == "fb2":
+            title, ps = fb2_paragraphs(raw)
+            out = {"title": title, "text": "\n".join(ps)}
+        elif fmt == "rtf":
+            out = {"text": rtf_text(raw)}
+        elif fmt in ("txt", "html"):
+            out = {"text": raw.decode("utf-8", "ignore")}
+        else:
+            out = {"error": "no_decoder"}
+        yield out if out.get("error") or (out["text"] or "").strip() else {"error": "empty"}
+    except Exception as e:  # noqa: BLE001  a broken file is a row of rejects
+        yield {"error": f"{type(e).__name__}: {e}"}
 
 
 def _adapter(decoders: dict[str, Decoder]):
-    """(book_id, fmt, path, content) to (book_id, fmt, path, entry, title, text, content, error) rows: one for each archive
-    entry of an EPUB, else one."""
+    """(book_id, fmt, path, content) to rows of OPENED, handed over in runs of bounded size, whatever an archive holds."""
 
     def adapt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for rows in batches:
             for r in rows.itertuples(index=False):
                 base = {"book_id": r.book_id, "fmt": r.fmt, "path": r.path, "entry": None, "title": "", "text": None, "content": None, "truncated": False, "error": None}
-                try:
-                    raw = bytes(r.content)
-                    if r.fmt in decoders:
-                        out = [base | {"text": decoders[r.fmt](raw), "fmt": "txt"}]
-                    elif r.fmt == "epub":
-                        out = [base | {"entry": name, "content": data, "truncated": cut} for name, data, cut in _entries(raw)]
-                    elif r.fmt == "fb2":
-                        title, ps = fb2_paragraphs(raw)
-                        out = [base | {"title": title, "text": "\n".join(ps)}]
-                    elif r.fmt == "rtf":
-                        out = [base | {"text": rtf_text(raw)}]
-                    elif r.fmt in ("txt", "html"):
-                        out = [base | {"text": raw.decode("utf-8", "ignore")}]
-                    else:
-                        out = [base | {"error": "no_decoder"}]
-                    if r.fmt != "epub" and not out[0]["error"] and not (out[0]["text"] or "").strip():
-                        out = [base | {"error": "empty"}]
-                except Exception as e:  # noqa: BLE001  a broken file is a row of rejects
-                    out = [base | {"error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(out)
+                for out in _opened(r.fmt, bytes(r.content), decoders):
+                    held.append(base | out)
+                    size += len(out.get("content") or out.get("text") or "")
+                    if size > HAND_BYTES or len(held) >= HAND_ROWS:
+                        yield pd.DataFrame(held)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held)
 
     return adapt
 
 
+def open_files(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """Rows of OPENED from (path, content)."""
+    return with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), OPENED)
+
+
+def open_folder(spark: SparkSession, path: str, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """Rows of OPENED from all files under ``path``. Archives are read entry by entry and never whole."""
+    others = read_files(spark, path)
+    own = with_key(read_archives(spark, path, ".epub")).select("book_id", F.lit("epub").alias("fmt"), "path", "entry", F.lit("").alias("title"), F.lit(None).cast("string").alias("text"), "content", "truncated", "error")
+    return open_files(others.where(~F.lower("path").endswith(".epub")), decoders).unionByName(own)
+
+
 def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict[str, DataFrame]:
     """Tables books (book_id, path, fmt, title, base_path, truncated), pages (book_id, page_no, item_id, href, html), manifest,
     spine, rejects (book_id, path, reason) from (path, content), one row a path.
@@ -148,9 +175,19 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     Formats without a decoder and files that cannot be read are rejects; ``decoders`` adds some (bytes to text). Books of
     which an entry was cut at ENTRY_BYTES say so.
     """
-    schema = "book_id long, fmt string, path string, entry string, title string, text string, content binary, truncated boolean, error string"
-    rows = staged(with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), schema), "opened")
-    entries = safe_entries(rows.where("entry is not null and error is null").select("book_id", "path", "entry", "content", "truncated"))
+    return corpus(open_files(files, decoders))
+
+
+def ingest_folder(spark: SparkSession, path: str, decoders: dict[str, Decoder] | None = None) -> dict[str, DataFrame]:
+    """The tables of ``ingest`` from all files under ``path``; archives of any size, as none is whole in a row."""
+    return corpus(open_folder(spark, path, decoders))
+
+
+def corpus(opened: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``ingest`` from rows of OPENED. A book of which an entry could not be read is a reject."""
+    rows = staged(opened, "opened")
+    broken_ids = rows.where("error is not null").select("book_id").distinct()
+    entries = safe_entries(rows.where("entry is not null and error is null").join(broken_ids, "book_id", "left_anti").select("book_id", "path", "entry", "content", "truncated"))
     title = book_title(F.col("title"), F.col("path"))
 
     def plain(fmt: str) -> DataFrame:
@@ -169,11 +206,12 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     epub, manifest, spine = (staged(t, n) for t, n in zip(parse_opf(packages), ("packages", "manifest", "spine"), strict=True))
     based = manifest.join(epub.select("book_id", "base_path"), "book_id")
     stored = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
-    files_of = content_files(based).withColumn("entry", stored).select("book_id", "item_id", "entry").join(entries.select("book_id", "entry", text_of.alias("html")), ["book_id", "entry"]).select("book_id", "item_id", "html")
+    listed = content_files(based).withColumn("entry", entry_path(stored)).select("book_id", "item_id", "href", "entry")
+    files_of = staged(listed.join(entries.select("book_id", entry_path(F.col("entry")).alias("entry"), text_of.alias("html")), ["book_id", "entry"]).select("book_id", "item_id", "href", "html"), "chapters")
     manifest, files_of = normalize_hrefs(based, files_of)
     manifest, files_of = rename_reserved(manifest, files_of)
     ordered = spine_hrefs(spine, manifest).join(manifest.select("book_id", "href", "item_id"), ["book_id", "href"])
-    chapters = ordered.join(files_of, ["book_id", "item_id"]).select("book_id", F.col("spine_pos").alias("page_no"), "item_id", "href", "html")
+    chapters = ordered.join(files_of.drop("href"), ["book_id", "item_id"]).select("book_id", F.col("spine_pos").alias("page_no"), "item_id", "href", "html")
     names = rows.where("entry is null and error is null").select("book_id", "path", "fmt", F.when(F.col("fmt") == "html", named).otherwise(title).alias("title"), F.lit("").alias("base_path"), "truncated")
     paths = entries.groupBy("book_id", "path").agg(F.max("truncated").alias("truncated"))
     of_epub = paths.join(epub, "book_id").select("book_id", "path", F.lit("epub").alias("fmt"), book_title(utrim(F.col("title")), F.col("path")).alias("title"), "base_path", "truncated")
@@ -183,20 +221,48 @@ def ingest(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> dict
     return {"books": names.unionByName(of_epub), "pages": pages, "manifest": manifest, "spine": spine, "rejects": rejects}
 
 
-def write_corpus(tables: dict[str, DataFrame], out: str) -> str:
+def write_run(tables: dict[str, DataFrame], out: str, batch: int = 0) -> str:
     """All tables as Parquet in a folder of this run, published last by one small file, so that readers see all or nothing.
 
-    A run that fails leaves what was published before; its folder is never read. Returns the run's folder.
+    A run that fails leaves what was published before; its folder is never read. Of several runs of a batch the last counts.
+    Returns the run's folder.
     """
     run = f"{out.rstrip('/')}/runs/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{run}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(run, time.time())], "run string, at double").coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}/published")
+    spark.createDataFrame([(batch, run, time.time())], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}/published")
     return run
 
 
-def read_corpus(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables of the run that was published last."""
-    run = spark.read.parquet(f"{out.rstrip('/')}/published").orderBy(F.desc("at"), "run").first()["run"]
-    return {name: spark.read.parquet(f"{run}/{name}") for name in ("books", "pages", "manifest", "spine", "rejects")}
+PUBLISHED = "batch long, run string, at double"
+TABLES = {
+    "books": "book_id long, path string, fmt string, title string, base_path string, truncated boolean",
+    "pages": "book_id long, page_no int, item_id string, href string, html string",
+    "manifest": "book_id long, pos int, item_id string, href string, media_type string, base_path string",
+    "spine": "book_id long, spine_pos int, idref string",
+    "rejects": "book_id long, path string, reason string",
+}
+
+
+def published(spark: SparkSession, out: str) -> list[tuple[int, str]]:
+    """(batch, folder) of the run that counts of each batch; empty before the first."""
+    try:
+        log = spark.read.schema(PUBLISHED).parquet(f"{out.rstrip('/')}/published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    last = log.groupBy("batch").agg(F.max_by("run", F.struct("at", "run")).alias("run"))
+    return [(r["batch"], r["run"]) for r in last.orderBy("batch").collect()]
+
+
+def write_corpus(tables: dict[str, DataFrame], out: str) -> str:
+    """One run that stands for the whole corpus; see ``write_run``."""
+    return write_run(tables, out)
+
+
+def read_corpus(spark: SparkSession, out: str, but: int | None = None) -> dict[str, DataFrame]:
+    """The tables of all published batches (``but`` one): of each the run that was published last."""
+    runs = [run for batch, run in published(spark, out) if batch != but]
+    return {name: spark.read.schema(kind).parquet(*[f"{r}/{name}" for r in runs]) if runs else spark.createDataFrame([], kind) for name, kind in TABLES.items()}

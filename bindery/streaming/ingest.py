@@ -3,40 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bindery.operators.books import pending, with_key
-from bindery.sources.ingest import ingest
+from bindery.sources.ingest import ingest, read_corpus, write_run
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """All files under ``path`` that ``out`` doesn't have yet, then stops (trigger availableNow).
+def stream_ingest(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:
+    """All files under ``path`` that ``out`` doesn't have yet, then stops (trigger availableNow). ``read_corpus`` reads ``out``.
 
-    Every micro-batch is named by its number and replaces its own folder, so one that is run again after a failure leaves
-    the same rows; files whose key another batch has are left out.
+    A micro-batch is one run: its tables become visible together, by one entry of the log under its number. One that fails
+    between two tables is never seen; one that is run again takes the place of its first run; files whose key another batch
+    has are left out.
     """
+
     def each(batch: DataFrame, number: int) -> None:
         files = with_key(batch.select("path", "content"))
-        done = [p for p in ("books", "rejects") if _exists(spark, f"{out}/{p}")]
-        for name in done:
-            seen = spark.read.parquet(f"{out}/{name}").where(F.col("batch") != number)
-            files = pending(files, seen, ["book_id"])
-        files = files.select("path", "content").persist()
-        for name, df in ingest(files).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        files.unpersist()
-
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(path)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        seen = read_corpus(spark, out, but=number)
+        for name in ("books", "rejects"):
+            files = pending(files, seen[name], ["book_id"])
+        write_run(ingest(files.select("path", "content")), out, number)
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except Exception as e:  # noqa: BLE001  before the first batch there is no table
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
-        raise
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
+    stream = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).load(path)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

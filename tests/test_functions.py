@@ -71,13 +71,103 @@ def test_thirty_five_paragraphs_are_two_pages(spark):
 
 @pytest.mark.parametrize(("sizes", "groups"), [([0, 12, 5, 5, 3], [0, 1, 2, 2, 3]), ([5, 5, 3, 3], [0, 0, 1, 1]), ([], []), ([20, 20], [0, 1]), ([0, 0, 11], [0, 0, 1])])
 def test_greedy(spark, sizes, groups):
-    import numpy as np
-
-    assert pack.greedy_groups(np.array(sizes, int), 10).tolist() == groups
+    assert list(pack.greedy_groups(sizes, 10)) == groups
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(sizes)], "k int, o int, s int")
     assert [r.group_no for r in pack.greedy_pack(df, ["k"], "o", "s", 10).orderBy("o").collect()] == groups
 
 
+def test_runs_compose_to_sequential_packing():
+    """Summaries of pieces, applied one after another, lead to the groups of one pass over all items."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        limit, n = rng.choice([0, 1, 5, 10, 50]), rng.randint(0, 30)
+        sizes = [rng.choice([0, 0, 1, 2, 3, 7, 12, 60]) for _ in range(n)]
+        cuts = sorted(rng.randint(0, n) for _ in range(rng.randint(0, 4)))
+        want, group, total = list(pack.greedy_groups(sizes, limit)), None, 0
+        for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+            if a < b:
+                group, total = pack.after(pack.summary(np.array(sizes[a:b]), limit), group, total, limit)
+                assert (group, total) == (want[b - 1], sum(s for s, g in zip(sizes[:b], want[:b], strict=True) if g == want[b - 1]))
+
+
+def test_one_key_is_packed_in_several_tasks(spark):
+    rows = [("hot", n, n * 7919 % 101) for n in range(6000)] + [(k, n, 40) for k in ("a", "z", None) for n in range(5)]
+    df = spark.createDataFrame(rows, "k string, o int, s int")
+    packed = pack.greedy_pack(df.repartition(3), ["k"], "o", "s", 100)
+    got = packed.withColumn("task", F.spark_partition_id()).collect()
+    for key in ("hot", "a", "z", None):
+        own = sorted((r.o, r.s, r.group_no) for r in got if r.k == key)
+        assert [g for _, _, g in own] == list(pack.greedy_groups([s for _, s, _ in own], 100))
+    assert len({r.task for r in got if r.k == "hot"}) > 1
+
+
+def test_numbers_of_a_key_that_lies_in_several_ranges(spark):
+    from bindery.operators.ranks import numbered
+
+    rows = [("hot", n * 3 % 4001, f"v{n}") for n in range(4001)] + [(k, n, f"{k}{n}") for k in ("a", None, "z") for n in range(3)]
+    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would go to one task
+    try:
+        got = numbered(df, ["k"], ["o"], ["v"], total="all", ranges=6).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and len({r.task for r in got if r.k == "hot"}) > 1
+    for key in ("hot", "a", "z", None):
+        own = sorted((r for r in got if r.k == key), key=lambda r: r.o)
+        values = [r.v for r in own]
+        assert [(r.n, r.all) for r in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
+        assert [r.prev_v for r in own] == [None, *values[:-1]] and [r.next_v for r in own] == [*values[1:], None]
+
+
+def test_ids_come_back_from_the_backend_as_they_were(spark):
+    """64-bit hashes beside nulls, in translation and in asking again."""
+    rows = [(9007199254740993, 0, "some text here"), (None, 0, "other text here"), (-(1 << 62) - 1, 1, "more text here")]
+    df = spark.createDataFrame(rows, "book_id long, seq int, text string").coalesce(1)
+    done = translate.translate_packed(df, lambda ts, a, b: ts, "en", "de", ["book_id"])
+    again = translate.retry_echoes(done, lambda ts, a, b: ["S:" + t for t in ts], "en", "de").collect()
+    assert {r.book_id: (r.translated, r.tries) for r in again} == {b: ("S:" + t, 1) for b, _, t in rows}
+
+
+@pytest.mark.parametrize(("translated", "original"), [("", "short"), (None, "short"), ("short", "short"), ("\u00a0Hello World ", "hello world"), ("STRASSE der Welt", "straße der Welt"), ("Ähnliche Wörter", "ähnliche wörter"), ("a", "b" * 20), ("\u3000", "long enough text")])
+def test_echoes_have_one_definition(spark, translated, original):
+    df = spark.createDataFrame([(translated, original)], "t string, o string")
+    assert df.select(T.is_echo(F.col("t"), F.col("o"))).first()[0] == T.echoes(translated, original)
+
+
+def test_pages_are_judged_by_their_own_segments(spark):
+    segments = spark.createDataFrame([(p, n) for p in (1, 2, 3) for n in (0, 1)], "page_id int, seq int")
+    done = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", None), (2, 0, "a", "E"), (2, 1, "b", "E"), (3, 0, "a", None)], "page_id int, seq int, text string, error string")
+    got = {r.page_id: (r.failed, r.status) for r in translate.page_status(segments, done, ["page_id"]).collect()}
+    assert got == {1: (0, "ok"), 2: (2, "original"), 3: (1, "partial")}
+
+
+@pytest.mark.parametrize(("link", "want"), [
+    ('<a href="ch1.xhtml">', '<a href="ch1.html">'), ("<a href='../text/ch1.xhtml#top'>", "<a href='ch1.html#top'>"), ("<a href=./ch1.xhtml?q=1#t>", '<a href="ch1.html?q=1#t">'), ('<img SRC = "../img/%61b.xhtml">', '<img SRC = "../img/ab.html">'),
+    ('<img srcset="ch1.xhtml 1x, ../img/ab.xhtml 2x">', '<img srcset="ch1.html 1x, ../img/ab.html 2x">'), ('<a href="/text/ch1.xhtml">', None), ('<a href="http://x/text/ch1.xhtml">', None), ('<a href="#ch1.xhtml">', None), ('<a title="href=ch1.xhtml" href="ch2.xhtml">', None),
+    ("<p>ch1.xhtml</p>", None), ("<script>a.href='ch1.xhtml'</script>", None), ("<!-- <a href='ch1.xhtml'> -->", None), ('<a href="../ch1.xhtml">', None), ('<a href="&#99;h1.xhtml">', '<a href="ch1.html">'), ('<a href="../../text/ch1.xhtml">', None),
+])
+def test_links_follow_by_folder(spark, link, want):
+    from bindery.operators import books
+
+    manifest = spark.createDataFrame([(1, 1, "a", "text/ch1.xhtml", "text/html"), (1, 2, "b", "img/ab.xhtml", "text/html"), (2, 1, "a", "text/ch2.xhtml", "text/html")], "book_id int, pos int, item_id string, href string, media_type string")
+    pages = spark.createDataFrame([(1, "text/ch9.xhtml", f"<body>{link}"), (1, "text/ch8.xhtml", None)], "book_id int, href string, html string")
+    assert {r.href: r.html for r in books.normalize_hrefs(manifest, pages)[1].collect()} == {"text/ch9.xhtml": f"<body>{want or link}", "text/ch8.xhtml": None}
+
+
+def test_contents_in_parts(spark):
+    spine = spark.createDataFrame([("b", n, f"c{n}.html", "", f"says {n}") for n in range(1, 8)] + [("one", 1, "x.html", "", "")], "book_id string, spine_pos int, href string, base_path string, snippet string")
+    titles = spark.createDataFrame([("b", "T & t")], "book_id string, title string")
+    got = {(r.book_id, r.part): r for r in site.build_index(spine, titles, entries=3).collect()}
+    assert set(got) == {("b", 1), ("b", 2), ("b", 3), ("one", 1)}
+    assert got["b", 2].html.count("<p><a") == 3 and 'rel="prev" href="index.html"' in got["b", 2].html and 'rel="next" href="index_3.html"' in got["b", 2].html
+    assert "T &amp; t" in got["b", 1].html and 'rel="prev"' not in got["b", 1].html and "7. says 7" in got["b", 3].html
+    assert 'url=x.html' in got["one", 1].html
+
+
 def test_segments_skip_code(spark):
     page = "<title>T &amp; t</title><body>a<script>var t='</p>'</script><pre>no<code>no</code></pre><p> b <!-- no --><i>c</i></p>"
     df = spark.createDataFrame([(1, page)], "id int, html string")
@@ -101,11 +191,13 @@ def test_parse_reply(spark):
 @pytest.mark.parametrize(("html", "texts"), [
     ("<p>1 < 2 and more</p>", ["1 < 2 and more"]), ("<p title=\"a>b c\">x</p>", ["x"]), ("a << b <3 <i>c</i>", ["a << b <3", "c"]), ("x <!-- a > b --> y", ["x", "y"]), ("<?xml v='1'?>t</ >u", ["t", "u"]),
     ("<p>It&#8217;s &#x41; &eacute; &amp;lt; &bogus; &#150; &#0;</p>", ["It’s A é &lt; &bogus; – \ufffd"]), ("t <", ["t <"]), ("a<br/>b<a href='>'>c", ["a", "b", "c"]), ("<p it's>d</p>", ["d"]),
+    ("<a href=x title=it's>link text</a><p>more</p><p>isn't it</p>", ["link text", "more", "isn't it"]), ('<a title="open>one</a> two', ["one", "two"]), ("<a b=c'd>e'>f", ["e'>f"]), ("<a =x>y", ["y"]), ("<p/class='a>b'>c", ["c"]),
+    ("<!-->a<!--->b<!--c--!>d", ["a", "b", "d"]), ("<SCRIPT>a</scripts>b</script >c<scripts>d", ["c", "d"]), ("</>a</p >b</", ["a", "b</"]), ("<style/>a</style>b", ["b"]),
+    ("<div><pre>x</div>y<p><code>z<p>w</code>v", ["y", "w", "v"]), ("<pre>a<pre>b</pre>c</pre>d", ["d"]), ("<code>a<code>b</code>c</code>d", ["d"]), ("<code><p>a</code>b</p>c", ["b", "c"]), ("\u00a0a&nbsp;<b> &nbsp;</b>", ["a"]),
 ])
 def test_segments_of_odd_markup(spark, html, texts):
     df = spark.createDataFrame([(1, html)], "id int, html string")
     assert [r.text for r in tokens.extract_segments(df, ["id"]).orderBy("seq").collect()] == texts
-    assert [r.text for r in tokens.segment_tokens(df, ["id"]).where("text is not null").orderBy("pos").collect()] == texts
     assert "".join(r.raw for r in tokens.html_tokens(df, ["id"]).orderBy("pos").collect()) == html
     assert tokens.apply_translations(df, spark.createDataFrame([], "text string, translated string"), ["id"]).first()["html"] == html
 
@@ -113,12 +205,47 @@ def test_segments_of_odd_markup(spark, html, texts):
 @pytest.mark.parametrize(("body", "blocks"), [
     ("<p>a<p>b<p>c", ["<p>a", "<p>b", "<p>c"]), ("<p>a <b>x</b> y<p>b</p>loose<div>d<p>e<p>f</div><p>g", ["<p>a <b>x</b> y", "<p>b</p>", "loose", "<div>d<p>e<p>f</div>", "<p>g"]),
     ("<p>a<h2>b</h2>c", ["<p>a", "<h2>b</h2>", "c"]), ("<ul><li>a<li>b</ul><hr>x", ["<ul><li>a<li>b</ul>", "<hr>", "x"]), ("<p>a<br>b</p><p>c", ["<p>a<br>b</p>", "<p>c"]),
+    ("<table><tr><td>a<td>b</table><p>x", ["<table><tr><td>a<td>b</table>", "<p>x"]), ("<div><b>a</div><p>c<p>d", ["<div><b>a</div>", "<p>c", "<p>d"]), ("<table><tr><th>a<tr><th><table><tr><td>b</table>c</table><i>x</i>y", ["<table><tr><th>a<tr><th><table><tr><td>b</table>c</table>", "<i>x</i>", "y"]),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul>t", ["<ul><li>a<ul><li>b</ul><li>c</ul>", "t"]), ("<b><p>a</b>b</p><p>c", ["<b><p>a</b>b</p>", "<p>c"]), ("<dl><dt>a<dd>b<dt>c</dl>d", ["<dl><dt>a<dd>b<dt>c</dl>", "d"]),
+    ("<p>a<div>b</div>c</p>d", ["<p>a", "<div>b</div>", "c</p>", "d"]), ("<span><div>a</span>b</div>c</span><h1>t<h2>u</h1>v", ["<span><div>a</span>b</div>c</span>", "<h1>t", "<h2>u</h1>", "v"]), ("</div>a</td><!-- n --><hr> b", ["a</td><!-- n -->", "<hr>", " b"]), ("<table><td>a<tr><td>b</td></tr></table>c", ["<table><td>a<tr><td>b</td></tr></table>", "c"]),
 ])
 def test_blocks_without_end_tags(spark, body, blocks):
     df = spark.createDataFrame([(1, f"<body>{body}</body>")], "id int, html string")
     assert [r.html for r in tokens.body_blocks(df, ["id"]).orderBy("block_no").collect()] == blocks
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p>" + "a < b " * 1000, 1), ("<" * 1_000_000, 1), ("<p>" + "a < b " * 800_000, 1), ("<p " + "a='x>y' " * 100_000 + ">t", 1), ("<p " + "a=it's " * 700_000 + ">t", 1), ('<a b="' * 800_000, 0), ("<script " * 600_000, 0), ("<script>" + "</scrip" * 700_000, 0),
+    ("<!--" + "--" * 500_000, 0), ("<div>" * 60_000 + "t", 1), ("<x><div>" + "<b>" * 600 + "</x>" * 8_000 + "t", 1), ("<body " + "a='x>y' " * 100_000 + ">t", 1), ("&amp;" * 200_000, 1), ("<p>x</p>" * 30_000, 30_000),
+])
+def test_large_and_hostile_pages(spark, page, texts):
+    """Pages of up to 5 MB: no overflow, every text, time in proportion to the page."""
+    import time
+
+    df = spark.createDataFrame([(1, page)], "id int, html string")
+    began = time.time()
+    assert tokens.extract_segments(df, ["id"]).count() == texts
+    assert tokens.text_len(df, ["id"]).first()["text_len"] >= 0 and tokens.body_blocks(df, ["id"]).count() >= 0
+    assert one(spark, site.snippet, a=page) is not None
+    assert time.time() - began < 40
+
+
+def test_segments_come_back_between_their_blanks(spark):
+    page = "<p>\u00a0 one&nbsp;<b>\n&lt;two&gt; </b><pre>one</pre><code>one</code><script>one</script>"
+    df = spark.createDataFrame([(1, page), (None, page), (2, None), (3, "none")], "id int, html string")
+    tm = spark.createDataFrame([("one", "1 & <1>"), ("<two>", "2"), ("none", "")], "text string, translated string")
+    got = {r.id: r.html for r in tokens.apply_translations(df, tm, ["id"]).collect()}
+    want = "<p>\u00a0 1 &amp; &lt;1&gt;\u00a0<b>\n2 </b><pre>one</pre><code>one</code><script>one</script>"
+    assert got == {1: want, None: want, 2: None, 3: "none"}
+
+
+def test_null_pages_have_no_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "id int, html string")
+    assert tokens.html_tokens(df, ["id"]).count() == tokens.body_blocks(df, ["id"]).count() == tokens.extract_segments(df, ["id"]).count() == 0
+    assert {r.id: r.text_len for r in tokens.text_len(df, ["id"]).collect()} == {1: None, 2: 0}
+    assert [(r.id, r.html) for r in pack.split_pages(df, ["id"]).collect()] == [(2, "")]
+
+
 def test_pages_without_end_tags_are_split(spark):
     df = spark.createDataFrame([(1, "<head></head><body>" + "".join(f"<p>{c * 30}" for c in "abcd") + "</body>")], "id int, html string")
     parts = pack.split_pages(df, ["id"], 60).orderBy("chunk").collect()
