@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -95,25 +95,28 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _shares(rows: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MOST_VALUES + 1).collect()}
+def _shares(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of each value of ``label``, by a hash of ``key``, each key once; counts are those of distinct keys."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.approx_count_distinct(key, 0.02)).limit(MOST_VALUES + 1).collect()}
     if len(counts) > MOST_VALUES:
         raise ValueError(f"{label} has over {MOST_VALUES} values")
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1e6 < share)
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / max(n, 1)))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) / 1e6 < share).dropDuplicates([label, key])
 
 
 def labelled_sample(docs: DataFrame, label: str, most: int, id_col: str, text_col: str) -> DataFrame:
-    """About ``most`` labelled rows of each label value, outside the held-out fifth, chosen by a hash of the id.
+    """About ``most`` labelled rows of each label value, outside the held-out fifth, chosen by a hash of id and text.
 
-    The share kept of each value follows from counts over all rows, so the sample stays as large however many rows
-    there are. Columns: id, text, label. Rows with a null id, text or label are left out; of texts over SAMPLE_CHARS there
-    are parts spread over the whole length. A column of over MOST_VALUES values stops the job.
+    The share kept of each value follows from counts of distinct rows, so the sample stays as large however many rows there
+    are, and however often an id or a row repeats. Columns: id, text, label. Rows with a null id, text or label are left out; of texts over
+    SAMPLE_CHARS there are parts spread over the whole length. A column of over MOST_VALUES values stops the job.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    return _shares(rows, label, id_col, most).select(F.col(id_col).alias("id"), excerpt(F.col(text_col).cast("string"), SAMPLE_CHARS).alias("text"), F.col(label).alias("label"))
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
+    rows = rows.select(F.col(id_col).alias("id"), text.alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(id_col), text).alias("mark"))
+    return _shares(rows, "label", "mark", most).select("id", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"), "label")
 
 
 def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tuple[DataFrame, dict[int, int]]:
@@ -124,7 +127,37 @@ def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tup
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     rows = rows.groupBy("id").agg(F.min("label").alias("label")).where(~held_out("id"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    return _shares(rows, "label", "id", most), counts
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col("label") == value, F.lit(min(1.0, most / n))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) / 1e6 < share), counts
+
+
+def labelled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, label) of the sampled ``ids``, one row each: of an id with several texts that with the smallest hash, so that
+    there are as many rows as ids however often one repeats. Of texts over SAMPLE_CHARS there are parts, as in ``labelled_sample``."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), excerpt(text, SAMPLE_CHARS).alias("text"), F.xxhash64(text).alias("mark")).where("text is not null").join(F.broadcast(ids), "id")
+    return rows.groupBy("id").agg(F.min_by(F.struct("text", "label"), "mark").alias("r")).select("id", "r.text", "r.label")
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever is in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def carrying(docs: DataFrame, id_col: str | None, text_col: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` of a table (doc_id, text, rest), as a table with the columns of ``docs`` in their order.
+
+    All other columns travel as fields of ``rest`` under numbers, so that no name that a caller's table has can clash with one that
+    an operator makes. Without ``id_col`` the id is one of them. ``work`` returns the three columns and perhaps more, which follow.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(F.lit(0).alias("c"), *[column(c).alias(f"c{n}") for n, c in enumerate(others)])
+    out = work(docs.select((column(id_col) if id_col else F.lit(None)).alias("doc_id"), column(text_col).alias("text"), rest.alias("rest")))
+    of = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"rest.c{n}") for n, c in enumerate(others)}
+    more = [c for c in out.columns if c not in ("doc_id", "text", "rest")]
+    return out.select(*[of[c].alias(c) for c in docs.columns], *more)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

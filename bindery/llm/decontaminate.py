@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from bindery.llm.common import stage, text_blocks
+from bindery.llm.common import carrying, stage, text_blocks
 
 WINDOW = 13
 #: Benchmark words that one pass indexes, in bytes; as windows they take about ten times that in every task.
@@ -203,7 +204,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, carried: Column, window: int
     parts = _parts(docs, benchmark, window, most, text_col, item_col)
     text = F.col(text_col).cast("string")
     own = docs.select(carried.alias("id"), text.alias("text"), text.alias("__text"), F.xxhash64(text).alias("mark"))
-    out = own.mapInArrow(_finder(next(parts), True), f"id {own.schema['id'].dataType.simpleString()}, __text string, mark long, {_FOUND}")
+    out = own.mapInArrow(_finder(next(parts), True), StructType([own.schema["id"], *StructType.fromDDL(f"__text string, mark long, {_FOUND}")]))
     more = _more(docs, parts, text_col, {"mark": F.xxhash64(text), "size": F.octet_length(text)})
     if more is None:
         return out
@@ -229,9 +230,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     Null and empty texts stay, as do null and repeated ids and repeated rows: each row is judged by its own text. Texts of any
     length are read whole; an empty benchmark drops nothing; an empty table gives an empty result.
     """
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__one"))
-    out = _scanned(docs, benchmark, rest, window, most_index_bytes, text_col, item_col).where(~contaminated())
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"id.`{c}`") for c in docs.columns])
+    def work(own: DataFrame) -> DataFrame:
+        out = _scanned(own, benchmark, F.struct("rest"), window, most_index_bytes, "text", item_col).where(~contaminated())
+        return out.select(F.lit(None).alias("doc_id"), F.col("__text").alias("text"), F.col("id.rest").alias("rest"))
+
+    # rows are judged by their texts alone, so every other column is carried
+    return carrying(docs, None, text_col, work)
 
 
 def n_hit() -> Column:

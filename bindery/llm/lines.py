@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import stage, text_blocks
+from bindery.llm.common import carrying, stage, text_blocks
 
 #: Leading tokens that every template keeps.
 DEPTH = 2
@@ -105,16 +105,19 @@ def drop_recurring(docs: DataFrame, keep_empty: bool = False, id_col: str = "doc
     numbers) follow. Null and empty texts stay as they are; blank lines are never dropped by themselves; texts of any
     length are one row; an empty table gives an empty result.
     """
-    lines = recurring_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("lines").alias("__dropped"), _mask(F.col("lines")).alias("__mask"))
-    text = F.col(text_col).cast("string")
-    both = docs.join(lines, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
-    split = F.split(text, "\n")
-    left = F.array_join(F.filter(split, lambda _, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
-    out = both.withColumn("__split", F.when(text.isNull(), 0).otherwise(F.size(split))).withColumn(text_col, F.when(F.col("__dropped").isNull(), text).otherwise(left))
-    if keep_empty:
-        return out.select(*docs.columns, F.col("__split").alias("__lines"), F.coalesce("__dropped", F.expr("cast(array() as array<int>)")).alias("__dropped"))
-    gone = F.col("__dropped").isNotNull() & (F.trim(F.translate(F.col(text_col), "\n\r\t", "   ")) == "")
-    return out.where(~gone).select(*docs.columns)
+    def work(own: DataFrame) -> DataFrame:
+        lines = recurring_lines(own, **options).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("lines").alias("__dropped"), _mask(F.col("lines")).alias("__mask"))
+        text = F.col("text").cast("string")
+        both = own.join(lines, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
+        split = F.split(text, "\n")
+        left = F.array_join(F.filter(split, lambda _, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+        out = both.withColumn("__lines", F.when(text.isNull(), 0).otherwise(F.size(split))).withColumn("text", F.when(F.col("__dropped").isNull(), text).otherwise(left))
+        if keep_empty:
+            return out.select(*own.columns, "__lines", F.coalesce("__dropped", F.expr("cast(array() as array<int>)")).alias("__dropped"))
+        gone = F.col("__dropped").isNotNull() & (F.trim(F.translate(F.col("text"), "\n\r\t", "   ")) == "")
+        return out.where(~gone).select(*own.columns)
+
+    return carrying(docs, id_col, text_col, work)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import SAMPLE_CHARS, excerpt, held_out, joined_bytes, sampled_labels, text_blocks
+from bindery.llm.common import held_out, joined_bytes, labelled_texts, sampled_labels, text_blocks
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         np.savez(out, **train(rows["text"].tolist(), y, weight).p)
         return pd.DataFrame({"model": [out.getvalue()]})
 
-    sample = docs.select(F.col(id_col).alias("id"), excerpt(F.col(text_col).cast("string"), SAMPLE_CHARS).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+    sample = labelled_texts(docs, ids, id_col, text_col)
     got = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
     return Network(dict(np.load(io.BytesIO(got[0]["model"])))) if got else None
 

@@ -28,10 +28,8 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
-#: How base64url of a brace and what may follow it starts: quote, blank, line end, carriage return, tab.
-_HEADS = re.compile(r"e(?=yJ|yA|wo|w0|wk)")
-#: Characters before a header's end in which other starts than the part's own are tried.
-MOST_HEAD = 1024
+#: How base64url of a brace and what may follow it in an object that isn't empty starts: quote, blank, line end, carriage return, tab.
+_HEADS = re.compile(r"e(?:yJ|yA|wo|w0|wk)")
 _ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*KEY)-----")
 _SSH_NAME = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$")
 
@@ -118,8 +116,8 @@ def _object(part: str) -> dict | None:
 def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of three base64url parts between dots, the first a JSON object with a text under "alg", the second JSON too.
 
-    Every three neighbouring parts of a dotted run are tried; a header may start within its part, after letters that
-    belong to something else. Each part is decoded once whole, and from other starts within MOST_HEAD characters of its end.
+    Every three neighbouring parts of a dotted run are tried; a header may start anywhere within its part, after letters that
+    belong to something else.
     """
     for run in _DOTTED.finditer(text):
         if run[0].count(".") < 2:
@@ -127,18 +125,49 @@ def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
         parts, at = run[0].split("."), run.start()
         for k in range(len(parts) - 2):
             head = parts[k]
-            if len(head) >= 10 and len(parts[k + 1]) >= 2:
-                starts = [0] if head[0] == "e" else []
-                starts += [m.start() for m in _HEADS.finditer(head, max(1, len(head) - MOST_HEAD))]
-                for start in starts:
-                    said = _object(head[start:])
-                    if said and isinstance(said.get("alg"), str):
-                        if _object(parts[k + 1]) is not None:
-                            yield at + start, at + len(head) + len(parts[k + 1]) + len(parts[k + 2]) + 2
-                        break
+            if len(head) >= 10 and len(parts[k + 1]) >= 2 and _HEADS.search(head):
+                start = _header(head)
+                if start is not None and _object(parts[k + 1]) is not None:
+                    yield at + start, at + len(head) + len(parts[k + 1]) + len(parts[k + 2]) + 2
             at += len(head) + 1
 
 
+_SIGNS = re.compile(rb'\\*["{}]')
+
+
+def _opening(raw: bytes) -> int:
+    """Where the JSON object that ends ``raw`` would begin, -1 if nowhere: quotes and braces are read from the end, where no text is
+    open, so there is one place at most."""
+    depth, quoted = 0, False
+    if not raw.rstrip().endswith(b"}"):
+        return -1
+    for sign in reversed(list(_SIGNS.finditer(raw))):
+        mark = sign[0][-1:]
+        if mark == b'"':
+            quoted ^= len(sign[0]) % 2 == 1
+        elif not quoted:
+            depth += 1 if mark == b"}" else -1
+            if not depth:
+                return sign.end() - 1
+    return -1
+
+
+def _header(head: str) -> int | None:
+    """Where in ``head`` a base64url object with a text under "alg" starts that fills the rest. The part is decoded once for each of the
+    three ways in which groups of four may lie up to its end."""
+    found = []
+    for over in (0, 2, 3):
+        first = (len(head) - over) % 4
+        raw = base64.urlsafe_b64decode(head[first:] + "=" * (-over % 4))
+        at = _opening(raw)
+        if at >= 0 and at % 3 == 0:
+            start = first + at // 3 * 4
+            said = _object(head[start:])
+            if said and isinstance(said.get("alg"), str):
+                found.append(start)
+    return min(found, default=None)
+
+
 def armoured(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, base64) of blocks between a key's BEGIN and the END that follows it.
 

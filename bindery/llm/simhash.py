@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import components, forest, stage, text_blocks
+from bindery.llm.common import carrying, components, forest, stage, text_blocks
 
 WORDS, RADIUS = 4, 4
 #: Fingerprints of a bucket that one comparison holds at most, twice.
@@ -239,19 +239,22 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADI
     A document is an id and its text, so an id that repeats with another text stands for two. Rows with a null id all
     stay, unless ``keep_null_ids`` is false: then they are documents like others, after those with an id.
     """
-    own = stage(fingerprint(docs, words, id_col, text_col, mark=True), "fingerprints")
-    counted = F.lit(not keep_null_ids) | F.col("id").isNotNull()
-    first = F.min(F.when(counted, F.struct(F.col("id").isNull().alias("none"), "id", "mark")))
-    led = _leaders(stage(own.groupBy("fp").agg(first.alias("leader")), "nodes"), radius)
-    stays = F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("mark") == F.col("leader.mark"))
-    goes = stage(own.where(counted).join(led, "fp").where(~stays).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "removed")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__mark"))
-    left = docs.join(goes, same, "left_anti")
-    again = stage(own.where(counted).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).count().where("count > 1").drop("count"), "repeated")
-    if again.isEmpty():
-        return left
-    once = left.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(again, same, "left_anti").unionByName(once)
+    def work(rows: DataFrame) -> DataFrame:
+        own = stage(fingerprint(rows, words, mark=True), "fingerprints")
+        counted = F.lit(not keep_null_ids) | F.col("id").isNotNull()
+        first = F.min(F.when(counted, F.struct(F.col("id").isNull().alias("none"), "id", "mark")))
+        led = _leaders(stage(own.groupBy("fp").agg(first.alias("leader")), "nodes"), radius)
+        stays = F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("mark") == F.col("leader.mark"))
+        goes = stage(own.where(counted).join(led, "fp").where(~stays).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "removed")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark"))
+        left = rows.join(goes, same, "left_anti")
+        again = stage(own.where(counted).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).count().where("count > 1").drop("count"), "repeated")
+        if again.isEmpty():
+            return left
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        return left.join(again, same, "left_anti").unionByName(once)
+
+    return carrying(docs, id_col, text_col, work)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

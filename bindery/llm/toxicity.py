@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import SAMPLE_CHARS, excerpt, held_out, sampled_labels, text_blocks
+from bindery.llm.common import held_out, labelled_texts, sampled_labels, text_blocks
 
 #: Labelled texts of each label value, about, that are learned from.
 SAMPLE_ROWS = 3000
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
         np.savez(out, ordinary=np.frombuffer(m.ordinary, np.uint8), toxic=np.frombuffer(m.toxic, np.uint8), ratio=m.ratio, curve=np.array(m.curve))
         return pd.DataFrame({"model": [out.getvalue()]})
 
-    sample = docs.select(F.col(id_col).alias("id"), excerpt(F.col(text_col).cast("string"), SAMPLE_CHARS).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+    sample = labelled_texts(docs, ids, id_col, text_col)
     got = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
     if not got:
         return None

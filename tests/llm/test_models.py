@@ -294,3 +294,25 @@ def test_url_trees_learn(spark):
     rows += [(1000 + i, f"http://h{i}.com/fr/{'9' * 12 if i % 2 else 'abc'}") for i in range(40)]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).where("rule is null").collect()
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 36
+
+
+@pytest.mark.parametrize("texts", ["one", "many"])
+def test_samples_are_bounded_however_often_an_id_repeats(spark, texts):
+    """One id on 20,000 rows, with one text or as many texts."""
+    from pyspark.sql import functions as F
+
+    from bindery.llm import common
+
+    text = F.lit("the same words") if texts == "one" else F.concat(F.lit("words number "), F.col("id").cast("string"))
+    hot = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(100, 160).select(F.col("id").alias("doc_id"), F.concat(F.lit("andere "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    docs = hot.unionByName(few)
+    assert not docs.where("doc_id = 3").select(common.held_out().alias("h")).first()["h"]
+    got = {r["label"]: r["count"] for r in common.labelled_sample(docs, "lang", 500, "doc_id", "text").groupBy("label").count().collect()}
+    assert got["en"] == 1 if texts == "one" else 350 < got["en"] < 650
+    assert 30 < got["de"] <= 60
+    labels = docs.select("doc_id").distinct().withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    ids, counts = common.sampled_labels(labels, "quality", 1500, "doc_id")
+    sample = common.labelled_texts(docs, ids, "doc_id", "text")
+    assert sample.count() == ids.count() == sample.select("id").distinct().count() == sum(counts.values())
+    assert sample.where("id = 3").count() == 1

@@ -233,6 +233,37 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+CLASHING = ["a.b", "__id", "__mark", "__dropped", "__text", "rest", "id", "mark", "c0", "`q`", "words", "label"]
+
+
+def test_pipeline_carries_columns_of_any_name(spark):
+    """Names that operators make themselves, names with dots and marks, and a nested field of such a name."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("*", *[F.lit(n).alias(c) for n, c in enumerate(CLASHING)], F.struct(F.col("doc_id").alias("x.y"), F.lit("v").alias("e-f")).alias("nested"))
+    plain, now = docs, more
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        plain, now = common.stage(step(spark, plain, SMALL), name), common.stage(step(spark, now, SMALL), name)
+        assert now.columns == more.columns
+        got = now.collect()
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == sorted((r.doc_id, r.text, r.n_chars) for r in plain.collect())
+        assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) and r["nested"]["x.y"] == r.doc_id for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() == len(got)
+
+
+def test_pipeline_reads_a_text_over_a_megabyte(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    base = docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").first()
+    long = "\n".join(f"{base.text} number {n} of many, {n * 7919 % 1013}" for n in range(1_300_000 // len(base.text)))
+    assert len(long) > 1_000_000
+    now = docs.unionByName(spark.createDataFrame([(10**9, long, "en", "x", len(long))], docs.schema))
+    for name, step in corpus_pipeline.STAGES:
+        now = common.stage(step(spark, now, SMALL), name)
+    row = now.where("doc_id = 1000000000").collect()
+    assert len(row) == 1 and row[0].n_tokens > 1000
+
+
 def test_pipeline_run_equals_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"]

@@ -188,6 +188,26 @@ def test_long_texts_of_many_lines(spark):
     assert got == {1: text + "\nfirst", 2: "second\nand more"}
 
 
+@pytest.mark.parametrize("before", ["", "x", "sess_", "id-", "ey", "eyJ"])
+@pytest.mark.parametrize("size", [10, 2_000, 60_000])
+def test_signed_tokens_with_headers_of_any_size(before, size):
+    import base64
+    import json
+
+    pack = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).rstrip(b"=").decode()
+    head = pack({"alg": "RS256", "x5c": ['{"' + "Mi}\\" * (size // 4)], "n": {"a": "}{"}})
+    token = f"{head}.{pack({'sub': 1})}.c2ln"
+    assert list(secrets.signed_tokens(f"see {before}{token} end")) == [(4 + len(before), 4 + len(before) + len(token))]
+
+
+def test_heads_that_open_often_take_linear_time():
+    import time
+
+    began = time.time()
+    assert list(secrets.signed_tokens("eyJ" * 400_000 + ".e30.x")) == []
+    assert time.time() - began < 5
+
+
 def test_signed_tokens_in_dotted_runs():
     url = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).rstrip(b"=").decode()
     token = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln"
