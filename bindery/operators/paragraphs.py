@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions.text import classify_block, html_escape, image_page_no, is_garbage, normalize_lines, utrim, words
+from bindery.operators.ranks import numbered
+from bindery.sources.staging import staged
 
 PAGE_PARAGRAPHS = 30
 PAGE_BYTES = 10 << 20
@@ -123,9 +125,17 @@ def words_to_rows(words_df: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "row_no", text.alias("text"), first["y"].alias("y"), first["x"].alias("first_x")).where("text <> ''")
 
 
-def rows_to_paragraphs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, para_no from 0, text): a new paragraph where the gap is over 1.5 times the page's median gap, or the row starts
-    more than 8 right of the page's left margin (first quartile). Medians are exact order statistics, not estimates."""
+#: Rows of a page beyond which it is dealt to many tasks.
+PAGE_ROWS = 200_000
+GAP, INDENT, NO_GAP = 1.5, 8, 12.0
+
+
+def _breaks() -> Column:
+    return F.coalesce((F.col("gap") > F.col("median") * GAP) | (F.col("gap").isNotNull() & (F.col("first_x") > F.col("margin") + INDENT)), F.lit(False)).cast("int")
+
+
+def _islands(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with para_no, by windows of a page each."""
     page = Window.partitionBy(*key)
     line = page.orderBy("row_no")
     gaps = rows.withColumn("gap", F.abs(F.col("y") - F.lag("y").over(line)))
@@ -137,11 +147,35 @@ def rows_to_paragraphs(rows: DataFrame, key: list[str]) -> DataFrame:
         "gr": F.row_number().over(page.orderBy(F.when(F.col("gap") > 0, F.col("gap")).asc_nulls_last(), "row_no")),
     })
     marked = ranked.withColumns({
-        "median": F.coalesce(F.max(F.when((F.col("gr") == F.floor(F.col("ng") / 2) + 1) & (F.col("gap") > 0), F.col("gap"))).over(page), F.lit(12.0)),
+        "median": F.coalesce(F.max(F.when((F.col("gr") == F.floor(F.col("ng") / 2) + 1) & (F.col("gap") > 0), F.col("gap"))).over(page), F.lit(NO_GAP)),
         "margin": F.max(F.when(F.col("xr") == F.floor(F.col("n") / 4) + 1, F.col("first_x"))).over(page),
     })
-    new = (F.col("gap") > F.col("median") * 1.5) | (F.col("gap").isNotNull() & (F.col("first_x") > F.col("margin") + 8))
-    island = marked.withColumn("para_no", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("para_no", F.sum(_breaks()).over(line.rowsBetween(Window.unboundedPreceding, 0))).select(*key, "row_no", "text", "para_no")
+
+
+def _spread_islands(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The same for pages of any size: gaps, ranks and numbers of paragraphs are prefix sums over ranges of rows."""
+    lined = staged(numbered(rows.select(*key, "row_no", "y", "first_x"), key, ["row_no"], ["y"], number="line").withColumn("gap", F.abs(F.col("y") - F.col("prev_y"))), "gaps")
+    margins = numbered(lined.select(*key, "first_x", "row_no"), key, ["first_x", "row_no"], number="xr", total="n").where("xr = floor(n / 4) + 1").select(*key, F.col("first_x").alias("margin"))
+    medians = numbered(lined.where("gap > 0").select(*key, "gap", "row_no"), key, ["gap", "row_no"], number="gr", total="ng").where("gr = floor(ng / 2) + 1").select(*key, F.col("gap").alias("median"))
+    # one row a page, written, so that its size is known to the join
+    of_page = staged(margins.join(medians, key, "left").withColumn("median", F.coalesce("median", F.lit(NO_GAP))), "statistics")
+    marked = lined.join(of_page, key).select(*key, "row_no", _breaks().alias("new"))
+    islands = numbered(marked, key, ["row_no"], number="line", sums=["new"]).select(*key, "row_no", F.col("sum_new").alias("para_no"))
+    return rows.select(*key, "row_no", "text").join(islands, [*key, "row_no"])
+
+
+def rows_to_paragraphs(rows: DataFrame, key: list[str], page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(key, para_no from 0, text): a new paragraph where the gap is over 1.5 times the page's median gap, or the row starts
+    more than 8 right of the page's left margin (first quartile). Medians are exact order statistics, not estimates.
+
+    Pages of up to ``page_rows`` rows are worked on in a window each, larger ones in many tasks; both give the same. Keys are not null.
+    """
+    large = staged(rows.groupBy(*key).count().where(F.col("count") > page_rows).select(*key), "large")
+    if large.isEmpty():
+        island = _islands(rows, key)
+    else:
+        island = _islands(rows.join(large, key, "left_anti"), key).unionByName(_spread_islands(rows.join(large, key, "left_semi"), key))
     own = island.groupBy(*key, "para_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("rs"))
     return own.select(*key, F.col("para_no").cast("int").alias("para_no"), F.array_join("rs.text", " ").alias("text"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,13 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from bindery.functions.text import duration, echoes, is_echo, language_name, utrim
 from bindery.operators.pack import BATCH_BYTES, packing, starts
+from bindery.sources.staging import staged
 
 Backend = Callable[[list[str], str, str], list[str]]
 USD_PER_MILLION, ASK_BYTES, ECHO_PASSES = 20.0, 1000, 2
 RETRIES, FIRST_WAIT = 3, 1.0
+#: Pieces that batches are dealt to where calls are bounded.
+PIECES = 32
 
 
 class BackendError(Exception):
@@ -139,15 +143,28 @@ def _calls(backend: Backend, src: str, dst: str, batch: list[str]):
 _ANSWER = [StructField("translated", StringType()), StructField("error", StringType())]
 
 
-def translate(batches: DataFrame, backend: Backend, src: str, dst: str, batch: list[str], order: str, parallel: int | None = None) -> DataFrame:
+def translate(batches: DataFrame, backend: Backend, src: str, dst: str, batch: list[str], order: str, parallel: int | None = None, pieces: int = PIECES) -> DataFrame:
     """(batch, order, text, translated, error) from (batch, order, text): one call per batch, its texts in order.
 
     ``batch`` names all columns that make a batch, such as a page and its batch_no. A failing batch has an error and no
-    translations, others go on. ``parallel`` bounds the calls at a time. Write the result before it is used twice.
+    translations, others go on. Write the result before it is used twice.
+
+    ``parallel`` bounds the calls at a time: batches are dealt to ``pieces``, and these are sent in rounds of so many tasks, each round written
+    before the next, at once and not when the result is asked for. So a backend that takes one call at a time still gets
+    many small tasks, and a lost one repeats a piece.
     """
-    dealt = batches.select(*dict.fromkeys([*batch, order, "text"]))
-    dealt = dealt.repartition(parallel, *batch) if parallel else dealt.repartition(*batch)
-    return dealt.sortWithinPartitions(*batch, order).mapInArrow(_calls(backend, src, dst, batch), StructType([*dealt.schema.fields, *_ANSWER]))
+    names = list(dict.fromkeys([*batch, order, "text"]))
+    dealt = batches.select(*names)
+    schema = StructType([*dealt.schema.fields, *_ANSWER])
+    send = _calls(backend, src, dst, batch)
+    if not parallel:
+        return dealt.repartition(*batch).sortWithinPartitions(*batch, order).mapInArrow(send, schema)
+    held = staged(dealt.withColumn("__piece", F.pmod(F.xxhash64(*batch), F.lit(max(pieces, parallel))).cast("int")), "pieces")
+    done = []
+    for first in range(0, max(pieces, parallel), parallel):
+        own = held.where(F.col("__piece").between(first, first + parallel - 1)).repartition(parallel, "__piece").sortWithinPartitions(*batch, order).select(*names)
+        done.append(staged(own.mapInArrow(send, schema), f"round-{first}"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def translate_packed(segments: DataFrame, backend: Backend, src: str, dst: str, part: list[str], order: str = "seq", limit: int = BATCH_BYTES) -> DataFrame:

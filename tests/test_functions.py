@@ -280,6 +280,37 @@ def test_batches_are_called_once_and_in_order(spark):
     assert all(r.translated == "|".join(f"{r.page}-{r.batch_no}-{k}" for k in range(10)) for r in done)
 
 
+def test_bounded_calls_are_many_small_tasks(spark, tmp_path):
+    """One call at a time, and none of the tasks holds the table."""
+    import os
+    import time
+
+    def backend(texts, src, dst):
+        began = time.time()
+        time.sleep(0.01)
+        with open(tmp_path / f"{os.getpid()}-{time.time_ns()}", "w") as f:
+            f.write(f"{began} {time.time()}")
+        return texts
+
+    rows = [(p, n, f"{p} {n}") for p in range(12) for n in range(3)]
+    done = translate.translate(spark.createDataFrame(rows, "page int, seq int, text string"), backend, "en", "de", ["page"], "seq", parallel=1, pieces=6)
+    assert sorted(tuple(r)[:3] for r in done.collect()) == rows and all(r.translated == r.text for r in done.collect())
+    calls = sorted(tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir())
+    assert len(calls) == 12 and all(a[1] <= b[0] for a, b in zip(calls, calls[1:], strict=False))
+    assert len(done.inputFiles()) >= 4
+
+
+@pytest.mark.parametrize("gaps", [True, False])
+def test_large_layouts_give_what_windows_give(spark, gaps):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, n, f"{k}{n}", 9000.0 - 12 * n - 10 * (n // rng.choice([3, 4])) if gaps else 5.0, rng.choice([72.0, 72.0, 90.0, 75.0])) for k, size in (("a", 900), ("b", 5), ("c", 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "k string, row_no int, text string, y double, first_x double").repartition(4)
+    got = [sorted(map(tuple, paragraphs.rows_to_paragraphs(df, ["k"], n).collect())) for n in (10**6, 3, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
 def test_observed(spark, tmp_path):
     from pyspark.sql import Observation
 
