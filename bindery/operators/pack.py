@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from bindery.functions import markup
 from bindery.functions.text import html_body
 from bindery.operators.ranks import numbered
-from bindery.operators.tokens import bytes_of_text, per_page
+from bindery.operators.tokens import per_page
 from bindery.sources.staging import staged
 
 PAGE_BYTES, BATCH_BYTES, BATCH_ITEMS = 5000, 5000, 20
@@ -222,8 +222,8 @@ def split_pages(pages: DataFrame, key: list[str], limit: int = PAGE_BYTES, html:
     both = pages.select(*key, F.struct(F.col(html).alias("page"), html_body(F.col(html)).alias("body")).alias("__both"))
 
     def parts(page: str, body: str) -> Iterator[tuple[int, str]]:
-        found = list(markup.blocks(body))
-        if bytes_of_text(body) <= limit or not found:
+        found = list(markup.blocks(body))  # all of a body's text is in its blocks
+        if sum(size for _, size in found) <= limit:
             yield 1, page
             return
         head = m.group() if (m := _HEAD.search(page)) else ""
