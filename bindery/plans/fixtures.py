@@ -210,5 +210,10 @@ def fake_backend(texts: list[str], src: str, dst: str) -> list[str]:
     return [t if len(t.encode()) % 11 == 0 else "" if len(t.encode()) % 13 == 0 else "T:" + t for t in texts]
 
 
+def prefix_backend(texts: list[str], src: str, dst: str) -> list[str]:
+    """Answers everything."""
+    return ["T:" + t for t in texts]
+
+
 def with_sql(*ctes: str, select: str) -> str:
     return "with recursive " + ", ".join(ctes) + " " + select

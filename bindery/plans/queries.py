@@ -43,6 +43,20 @@ def a3(s, d):
     return books.pending(found, found.where(F.substring("book_id", 4, 9).cast("int") % 2 == 0), ["book_id"])
 
 
+@query("a3_replace_books", with_sql(X.SOURCE_BOOKS, select="select doc_id as book_id, case when doc_id % 5 = 0 then 'rebuilt' else 'as it was' end as state, strlen(text) as size from documents where doc_id % 5 <> 0 or doc_id % 2 = 0"))
+def a3_replace(s, d):
+    """A store in which a fifth of the books are rebuilt; every other one of these has no rows any more."""
+    from bindery.sources import shelf
+    from bindery.sources.staging import scratch
+
+    own = X.documents(s, d).select(F.col("doc_id").alias("book_id"), F.lit("as it was").alias("state"), F.octet_length("text").cast("long").alias("size"))
+    again = own.where("book_id % 5 = 0")
+    out = scratch(s)
+    shelf.store({"sizes": own}, out, 16)
+    shelf.replace_books({"sizes": again.where("book_id % 2 = 0").withColumn("state", F.lit("rebuilt"))}, out, again, 16)
+    return shelf.load(s, out, ["sizes"])["sizes"]
+
+
 @query("a6_sanitize_name", with_sql(X.FILE_PATHS, NAMES, select="select doc_id, name from named"))
 def a6(s, d):
     return X.file_paths(s, d).select("doc_id", T.sanitize_name(T.stem(F.col("path"))).alias("name"))
@@ -218,6 +232,12 @@ def b12(s, d):
     return paragraphs.rows_to_paragraphs(X.layout_rows(s, d), ["doc_id"])
 
 
+@query("b12_spread_layouts", with_sql(X.LINES, X.LAYOUT_ROWS, GEOMETRY, select="select * from geo"))
+def b12_spread(s, d):
+    """The same with pages of over three rows dealt to many tasks."""
+    return paragraphs.rows_to_paragraphs(X.layout_rows(s, d), ["doc_id"], page_rows=3)
+
+
 @query("b13_words_to_rows", with_sql(X.LINES, X.LAYOUT_ROWS, select="select doc_id, row_no, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: " + trim("w") + "), lambda w: w <> ''), ' ') as text, y, first_x from layout_rows where " + trim("text") + " <> ''"))
 def b13(s, d):
     rows = X.layout_rows(s, d)

@@ -120,6 +120,15 @@ def d4(s, d):
     return pack.greedy_pack(sized, ["doc_id"], "seq", "size", 1000)
 
 
+@query("d4_pack_long_keys", with_sql(PARAS, "sz as (select k, cast(row_number() over (partition by k order by place) - 1 as int) as seq, place, size from (select doc_id % 11 as k, doc_id * 100000 + seq as place, cast(strlen(text) as int) as size from paras))", greedy("sz", "k", 700), select="select k, place, gr.size, cast(grp as int) as group_no from gr join sz using (k, seq)"))
+def d4_long(s, d):
+    """Few keys with many items each, which lie in several ranges."""
+    from bindery.operators.paragraphs import paragraphs
+
+    sized = paragraphs(X.documents(s, d), ["doc_id"]).select((F.col("doc_id") % 11).alias("k"), (F.col("doc_id") * 100000 + F.col("seq")).alias("place"), F.octet_length("text").alias("size"))
+    return pack.greedy_pack(sized, ["k"], "place", "size", 700)
+
+
 SPLIT = f"""{token_rows('bt', 'bodies')}, {TEXT_LEN}, pl as (select page_id, html, text_len as n from pages join tl using (page_id)),
  sz as (select bb.page_id, cast(row_number() over (partition by bb.page_id order by block_no) - 1 as int) as seq, len as size, bb.html from bb join pl using (page_id) where n > 1500)"""
 HEAD = r"regexp_extract(html, '(?is)<head\b[^>]*>.*?</head\s*>')"
@@ -275,6 +284,20 @@ def e15(s, d):
     return translate.retry_echoes(e10(s, d), lambda ts, a, b: ["S:" + t for t in ts], "en", "de")
 
 
+@query("e6_stream_memory", with_sql(X.SITE_BOOKS, SEGMENTS, select="select distinct 'en' as src, 'de' as dst, text, 'T:' || text as translated, cast(null as varchar) as error from segs"))
+def e6_stream(s, d):
+    """Segments as a stream of two files: each text is sent once, whatever file it comes in."""
+    from bindery.sources.staging import scratch, staged
+    from bindery.streaming.translate import memory, stream_translate
+
+    found = staged(segments(s, d).select("text").repartition(2), "stream")
+    source = found.inputFiles()[0].rpartition("/")[0]
+    stream = s.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(source)
+    out = scratch(s)
+    stream_translate(stream, X.prefix_backend, "en", "de", f"{out}/memory", f"{out}/state").awaitTermination()
+    return memory(s, f"{out}/memory")
+
+
 TITLES = f"tl as (select page_id, {PAGE_TITLE} as title from pages)"
 
 
@@ -342,6 +365,17 @@ def f6(s, d):
     return site.build_index(spine.drop("html"), spine.select("book_id", F.col("book_id").alias("title")).distinct())
 
 
+PARTED = INDEX.replace("select book_id, cast(1 as int) as part, count(*) as chapters", "select book_id, part, any_value(total) as chapters").replace("count(*)", "any_value(total)").replace(f"{q('</main>' + N + '</body></html>' + N)}", f"case when part > 1 then {q('<a rel="prev" href="')} || case when part = 2 then 'index.html' else 'index_' || (part - 1) || '.html' end || {q('">prev</a>')} else '' end || case when part * 3 < any_value(total) then {q('<a rel="next" href="index_')} || (part + 1) || {q('.html">next</a>')} else '' end || {q('</main>' + N + '</body></html>' + N)}")
+PARTED = PARTED.replace("from snips group by book_id", "from (select *, cast((spine_pos - 1) // 3 + 1 as int) as part, count(*) over (partition by book_id) as total from snips) group by book_id, part")
+
+
+@query("f6_contents_in_parts", with_sql(X.SITE_BOOKS, SNIP, select=PARTED))
+def f6_parts(s, d):
+    """Contents of three chapters a page, each page linked to the one before and after it."""
+    spine = site_spine(s, d).withColumn("snippet", site.snippet(F.col("html")))
+    return site.build_index(spine.drop("html"), spine.select("book_id", F.col("book_id").alias("title")).distinct(), entries=3)
+
+
 @query("f8_index_after_translation", with_sql(X.SITE_BOOKS, TRANSLATED, "translated as (select s.* replace (d.html as html) from site_books s join done d using (page_id))", snips("translated"), select=INDEX))
 def f8(s, d):
     """Contents pages whose snippets are translated: texts are put back before snippets are taken."""

@@ -6,20 +6,21 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written under ``spark.checkpoint.dir`` and read back.
-
-    A local session that names no folder gets one on this machine; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``. A local session that names none gets one on this machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/bindery-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read back."""
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
