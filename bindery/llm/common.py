@@ -110,13 +110,13 @@ def labelled_sample(docs: DataFrame, label: str, most: int, id_col: str, text_co
     """About ``most`` labelled rows of each label value, outside the held-out fifth, chosen by a hash of id and text.
 
     The share kept of each value follows from counts of distinct rows, so the sample stays as large however many rows there
-    are, and however often an id or a row repeats. Columns: id, text, label. Rows with a null id, text or label are left out; of texts over
+    are, and however often an id or a row repeats. Written. Columns: id, text, label. Rows with a null id, text or label are left out; of texts over
     SAMPLE_CHARS there are parts spread over the whole length. A column of over MOST_VALUES values stops the job.
     """
     text = F.col(text_col).cast("string")
     rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(id_col).alias("id"), text.alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(id_col), text).alias("mark"))
-    return _shares(rows, "label", "mark", most).select("id", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"), "label")
+    rows = rows.select(F.col(id_col).alias("id"), excerpt(text, SAMPLE_CHARS).alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(id_col), text).alias("mark"))
+    return stage(_shares(rows, "label", "mark", most).select("id", "text", "label"), "sample")
 
 
 def sampled_labels(labels: DataFrame, label: str, most: int, id_col: str) -> tuple[DataFrame, dict[int, int]]:

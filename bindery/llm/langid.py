@@ -188,14 +188,20 @@ class Model:
         return best, mean[np.arange(n), best]
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit all machines on about ``sample_rows`` texts of each language; held-out rows are never seen.
+def learned_from(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, text, label) of about ``sample_rows`` texts of each language, written; held-out rows are never seen."""
+    return labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: DataFrame | None = None) -> Model:
+    """Fit all machines on ``sample``, or on what ``learned_from`` takes of ``docs``.
 
     Machines number about as many as half the square of the families and eight times the languages; a model of over
     MOST_MODEL_BYTES stops the job, as it goes to every task.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
+    if sample is None:
+        sample = learned_from(docs, sample_rows, id_col, text_col, lang_col)
     langs = sorted(r[0] for r in sample.select("label").distinct().collect())
     machines = _machines(langs)
     if not machines:
@@ -276,9 +282,10 @@ def _habits(model: Model):
     return run
 
 
-def calibrate(docs: DataFrame, model: Model, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Habits:
-    """``Habits`` of the model's languages from about ``sample_rows`` texts of each; held-out rows are never seen."""
-    sample = labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
+def calibrate(docs: DataFrame, model: Model, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: DataFrame | None = None) -> Habits:
+    """``Habits`` of the model's languages from ``sample``, or from what ``learned_from`` takes of ``docs``."""
+    if sample is None:
+        sample = learned_from(docs, sample_rows, id_col, text_col, lang_col)
     got = sample.groupBy("label").applyInPandas(_habits(model), "lang string, logs binary, least double, error double").collect()
     logs = np.stack([np.frombuffer(r["logs"], np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
     return Habits([r["lang"] for r in got], logs, np.array([r["least"] for r in got]), np.array([r["error"] for r in got]))
