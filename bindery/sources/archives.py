@@ -113,6 +113,7 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, suffixes: str = ".epub,.zip", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Entries of all archives under ``path``."""
+    """Entries of all archives under ``path``, which is local or of a kind that pyarrow's file systems open (``s3://``, ``gs://``,
+    ``hdfs://``). Where only Spark's readers reach, ``ingest`` of ``read_files`` opens archives from their rows."""
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("archive").option("suffixes", suffixes).option("runBytes", str(run_bytes)).load(path)
