@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import stage, text_blocks
+from bindery.llm.common import give_back, lean, stage, text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Text bytes of a block: its word list is held by one task.
@@ -188,6 +188,8 @@ def _assembler(table: dict[int, bytes] | None):
                     bounds = [0, *sizes.tolist()]
                     columns.append(pa.array([b"".join(map(words.__getitem__, said[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()))
                 out.append(pa.RecordBatch.from_arrays(columns, names))
+        del words, order, flat, starts, lens
+        give_back()
         return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())][: len(names)]))
 
     names = ["id", "token_ids"] + ["decoded"] * (table is not None)
@@ -199,8 +201,8 @@ def _run(docs: DataFrame, ranks_path: str | None, id_col: str, text_col: str, de
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions()))
-    cut = stage(own.mapInArrow(_cutter(2 * n), _ROWS), "pretokens", bucket=("block", n))
-    words = cut.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_coder(ranks), _ROWS)
+    cut = stage(own.mapInArrow(lean(_cutter(2 * n)), _ROWS), "pretokens", bucket=("block", n))
+    words = cut.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_coder(ranks)), _ROWS)
     # the table is bucketed by block: positions stay where they are, only the words' ids come to them
     put = _assembler({i: b for b, i in ranks.items()} if decoded else None)
     done = words.groupBy("block").cogroup(cut.where("bucket < 0").groupBy("block")).applyInArrow(put, "id long, token_ids array<int>" + ", decoded binary" * decoded)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -86,6 +88,25 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> I
             at = to
 
 
+def give_back() -> None:
+    """Freed memory back to the system. Python workers live on and serve other stages, whose needs would add to what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a task's work on batches, with what it has freed given back at its end."""
+
+    def work(*batches):
+        yield from run(*batches)
+        give_back()
+
+    return work
+
+
 def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes in one array (null: empty) and the offsets between texts."""
     raw = texts.fill_null("").cast(pa.large_binary())

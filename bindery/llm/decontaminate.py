@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from bindery.llm.common import carrying, stage, text_blocks
+from bindery.llm.common import carrying, lean, stage, text_blocks
 
 WINDOW = 13
 #: Benchmark words that one pass indexes, in bytes; as windows they take about ten times that in every task.
@@ -175,7 +175,7 @@ def _parts(docs: DataFrame, benchmark: DataFrame, window: int, most: int, text_c
         rows = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).collect()
         items = [(r["item"], bytes(r["words"]).split()) for r in rows]
         words = frozenset(w for _, ws in items for w in ws)
-        times = texts.mapInArrow(_counter(words), "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")).collect() if words else []
+        times = texts.mapInArrow(lean(_counter(words)), "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")).collect() if words else []
         yield Windows(items, {bytes(r["word"]): r["times"] for r in times}, window)
 
 
@@ -204,7 +204,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, carried: Column, window: int
     parts = _parts(docs, benchmark, window, most, text_col, item_col)
     text = F.col(text_col).cast("string")
     own = docs.select(carried.alias("id"), text.alias("text"), text.alias("__text"), F.xxhash64(text).alias("mark"))
-    out = own.mapInArrow(_finder(next(parts), True), StructType([own.schema["id"], *StructType.fromDDL(f"__text string, mark long, {_FOUND}")]))
+    out = own.mapInArrow(lean(_finder(next(parts), True)), StructType([own.schema["id"], *StructType.fromDDL(f"__text string, mark long, {_FOUND}")]))
     more = _more(docs, parts, text_col, {"mark": F.xxhash64(text), "size": F.octet_length(text)})
     if more is None:
         return out

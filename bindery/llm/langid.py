@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import held_out, joined_bytes, labelled_sample, text_blocks
+from bindery.llm.common import give_back, held_out, joined_bytes, labelled_sample, text_blocks
 
 #: Families by language code. A code that is not here is a family of its own.
 FAMILIES = {
@@ -320,6 +320,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col
             pred, score = model.predict(block.column(1))
             ok = [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
             out += [k and (habits is None or habits.fits(t.as_py(), p)) for k, t, p in zip(ok, block.column(1), pred, strict=True)]
+        give_back()
         return pa.array(out, pa.bool_())
 
     return docs.where(accept(F.col(text_col).cast("string")))

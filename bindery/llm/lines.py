@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import carrying, stage, text_blocks
+from bindery.llm.common import carrying, lean, stage, text_blocks
 
 #: Leading tokens that every template keeps.
 DEPTH = 2
@@ -82,7 +82,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, sho
     if not again.isEmpty():
         same = own["id"].eqNullSafe(again["id"]) & (own["mark"] == again["mark"])
         own = own.join(again, same, "left_anti").unionByName(own.join(again, same, "left_semi").dropDuplicates(["id", "mark"]))
-    found = stage(own.mapInArrow(_occurrences(depth, short), "template long, id long, mark long, line int, once boolean, brief boolean"), "occurrences")
+    found = stage(own.mapInArrow(lean(_occurrences(depth, short)), "template long, id long, mark long, line int, once boolean, brief boolean"), "occurrences")
     whose = F.struct("id", "mark")
     known = found.groupBy("template").agg(F.sum(F.col("once").cast("int")).alias("docs"), F.min(whose).alias("first"), F.max(whose).alias("last"), F.first("brief").alias("brief"))
     known = known.where(F.col("docs") >= F.when(F.col("brief"), short_docs).otherwise(many_docs)).where("first is distinct from last")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import carrying, components, forest, stage, text_blocks
+from bindery.llm.common import carrying, components, forest, lean, stage, text_blocks
 
 WORDS, RADIUS = 4, 4
 #: Fingerprints of a bucket that one comparison holds at most, twice.
@@ -76,7 +76,7 @@ def fingerprint(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.xxhash64(text).alias("mark")] * mark)
-    return own.mapInArrow(_fingerprint(words), "id long, fp long" + ", mark long" * mark)
+    return own.mapInArrow(lean(_fingerprint(words)), "id long, fp long" + ", mark long" * mark)
 
 
 def tables(n: int, radius: int = RADIUS) -> list[int]:
@@ -206,7 +206,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
     # rows of two buckets under one 64-bit unit are compared too, which adds no false link
     units = dealt.select(F.xxhash64("t", "key", low, high).alias("unit"), side.alias("side"), "fp", "id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_compare(radius), "a long, b long")
+    return units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(lean(_compare(radius)), "a long, b long")
 
 
 def _leaders(nodes: DataFrame, radius: int) -> DataFrame:
