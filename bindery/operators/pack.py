@@ -139,7 +139,8 @@ def _summaries(part: list[str], size: str, limit: int):
             cuts = cuts if now != last else cuts[1:]
             whole = rows.column(size).fill_null(0).cast(pa.int64()).to_numpy()
             sizes.append(whole[: cuts[0] if cuts else None])
-            for s, t in zip(cuts, [*cuts[1:], rows.num_rows], strict=True):
+            # no cut at all: the batch goes on with the key of the one before it
+            for s, t in zip(cuts, [*cuts, rows.num_rows][1:], strict=True):
                 new = rows.slice(s, 1).select(names)
                 if key is not None:
                     over = key.column("__range")[0] != new.column("__range")[0]

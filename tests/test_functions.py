@@ -105,6 +105,13 @@ def test_one_key_is_packed_in_several_tasks(spark):
     assert len({r.task for r in got if r.k == "hot"}) > 1
 
 
+def test_a_key_of_several_whole_batches_is_packed(spark):
+    """In ranges of over 10,000 rows of a key a whole Arrow batch begins and ends within it."""
+    df = spark.range(100_000).selectExpr("0 as k", "id as o", "cast(id % 13 as int) as s")
+    got = pack.greedy_pack(df, ["k"], "o", "s", 100).orderBy("o").collect()
+    assert [r.group_no for r in got] == list(pack.greedy_groups([i % 13 for i in range(100_000)], 100))
+
+
 def test_numbers_of_a_key_that_lies_in_several_ranges(spark):
     from bindery.operators.ranks import numbered
 
