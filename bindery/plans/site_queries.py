@@ -378,7 +378,7 @@ def f6_parts(s, d):
     return site.build_index(spine.drop("html"), spine.select("book_id", F.col("book_id").alias("title")).distinct(), entries=3)
 
 
-@query("f8_index_after_translation", with_sql(X.SITE_BOOKS, TRANSLATED, "translated as (select s.* replace (d.html as html) from site_books s join done d using (page_id))", snips("translated"), select=INDEX))
+@query("f8_index_after_translation", with_sql(X.SITE_BOOKS, TRANSLATED, "translated as (select s.* replace (d.html as html) from site_books s join done d using (page_id))", snips("translated"), select=parted(site.PART_ENTRIES)))
 def f8(s, d):
     """Contents pages whose snippets are translated: texts are put back before snippets are taken."""
     pages = X.site_books(s, d)
