@@ -297,15 +297,15 @@ MANIFEST = """m1 as (select book_id, spine_pos * 2 as pos, 'ch' || spine_pos as
 SPINE_HREFS = "hrefs as (select s.book_id, s.spine_pos, m.href, m.media_type from spine s join (select *, row_number() over (partition by book_id, item_id order by pos desc) as n from manifest) m on m.book_id = s.book_id and m.item_id = s.idref and m.n = 1)"
 
 
-@query("c1_c2_parse_package", with_sql(X.SOURCE_BOOKS, MANIFEST, select="select book_id || '-' || ((pos // 2 - 1) // 100) as book_id, (pos // 2 - 1) % 100 + 1 as pos, item_id, href, case when pos % 3 = 0 then '' else media_type end as media_type, 'Title of ' || book_id as title, 'OEBPS' as base_path from manifest where pos % 2 = 0"))
+@query("c1_c2_parse_package", with_sql(X.SOURCE_BOOKS, MANIFEST, select="select book_id, pos // 2 as pos, item_id, href, case when pos % 3 = 0 then '' else media_type end as media_type, 'Title of ' || book_id as title, 'OEBPS' as base_path from manifest where pos % 2 = 0"))
 def c1(s, d):
-    """A package for every hundred chapters, so that none grows with its source; every third item lacks its media type."""
-    first = manifest_of(s, d).where("pos % 2 = 0").withColumn("volume", F.concat("book_id", F.lit("-"), F.expr("(pos div 2 - 1) div 100").cast("string")))
+    """A package for each source, with all of its chapters; every third item lacks its media type."""
+    first = manifest_of(s, d).where("pos % 2 = 0")
     item = F.concat(F.lit('<item id="'), "item_id", F.lit('" href="'), "href", F.lit('"'), F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat(F.lit(' media-type="'), "media_type", F.lit('"'))), F.lit("/>"))
-    xml = first.groupBy("book_id", "volume").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))).alias("xs"))
+    xml = first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))).alias("xs"))
     head = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Title of '), "book_id", F.lit("</dc:title></metadata><manifest>"))
-    package = xml.select(F.col("volume").alias("book_id"), F.concat(head, F.array_join("xs.x", ""), F.lit("</manifest><spine/></package>")).alias("xml"))
-    container = xml.select(F.col("volume").alias("book_id"), F.lit('<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="a.txt" media-type="text/plain"/><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>').alias("xml"))
+    package = xml.select("book_id", F.concat(head, F.array_join("xs.x", ""), F.lit("</manifest><spine/></package>")).alias("xml"))
+    container = xml.select("book_id", F.lit('<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="a.txt" media-type="text/plain"/><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>').alias("xml"))
     found, manifest, _ = books.parse_opf(package.join(books.opf_path(container), "book_id"))
     return manifest.join(found, "book_id").withColumn("pos", F.col("pos") + 1)
 

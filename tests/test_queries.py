@@ -61,3 +61,10 @@ def test_contents_of_a_book_of_several_parts_equal_sql(spark, tmp_path, name):
     ours, theirs = same_rows(entry.queries()[name](spark, str(tmp_path)), c, entry.oracle_sql()[name])
     assert ours == theirs
     assert len(ours) == 4
+
+
+def test_a_package_holds_all_chapters_of_its_source(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    of_source = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    listed = entry.queries()["c1_c2_parse_package"](spark, SMALL).groupBy("book_id").agg({"pos": "max", "item_id": "count"}).collect()
+    assert {r["book_id"]: (r["max(pos)"], r["count(item_id)"]) for r in listed} == {s: (n, n) for s, n in of_source.items()}
