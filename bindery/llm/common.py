@@ -116,11 +116,17 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _shares(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``label``, by a hash of ``key``, each key once; counts are those of distinct keys."""
+def key_counts(rows: DataFrame, label: str, key: str) -> dict:
+    """Distinct keys of each value of ``label``, nearly. More than MOST_VALUES values stop the job."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.approx_count_distinct(key, 0.02)).limit(MOST_VALUES + 1).collect()}
     if len(counts) > MOST_VALUES:
         raise ValueError(f"{label} has over {MOST_VALUES} values")
+    return counts
+
+
+def _shares(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of each value of ``label``, by a hash of ``key``, each key once; counts are those of distinct keys."""
+    counts = key_counts(rows, label, key)
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / max(n, 1)))).otherwise(share)

@@ -2,7 +2,8 @@
 
 A first level of linear support vector machines tells language families apart, one against one; within a family,
 one-versus-one machines separate its languages. Features are hashed letter n-grams of one to three bytes, relative to the
-text's length. Machines are fitted side by side in Spark tasks on a bounded sample and applied in one pass over the texts.
+text's length. All labelled texts are dealt to blocks; Spark tasks fit every machine on each block, and what the blocks found is
+averaged. The machines are applied in one pass over the texts.
 
 Machines always name a winner, however foreign the text. What is rejected is told by ``Habits``: how likely a text's
 trigrams are in the language that won, against limits calibrated on labelled documents.
@@ -20,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import give_back, held_out, joined_bytes, labelled_sample, text_blocks
+from bindery.llm.common import give_back, held_out, joined_bytes, key_counts, text_blocks
+from bindery.operators.ranks import numbered
 
 #: Families by language code. A code that is not here is a family of its own.
 FAMILIES = {
@@ -35,8 +37,11 @@ FAMILIES = {
 FEATURES = 1 << 13
 #: Bytes of text that are worked on at once; longer texts are read in runs of as many.
 RUN = 1 << 20
-#: Labelled texts of each language, about, that the machines learn from.
-SAMPLE_ROWS = 500
+#: Texts of the commonest language, about, that are learned from at once, in a block; and of a rare one at least, if it has
+#: as many: its texts are in several blocks, so that none is without.
+SAMPLE_ROWS, LEAST_ROWS = 200, 20
+#: Parts that an array of FEATURES is added up in; languages of fewer texts learn and judge by all of them.
+SLICES, FEW = 16, 16
 UNKNOWN = "und"
 #: Score under which a document is rejected whatever its trigrams; no winner of one machine a level is under it.
 LEAST_SCORE = 0.25
@@ -97,8 +102,14 @@ def gram_sums(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 def _features(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES), np.float32)
     for row, text in enumerate(texts):
-        for _, at in _hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)):
-            out[row] += np.bincount(at, minlength=FEATURES) / len(at)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        counts, sizes = np.zeros((len(_GRAMS), FEATURES)), np.zeros(len(_GRAMS))
+        for start in range(0, len(raw), RUN):
+            for n, at in _hashes(raw[start : start + RUN + len(_GRAMS) - 1]):
+                counts[n - 1] += np.bincount(at[:RUN], minlength=FEATURES)
+                sizes[n - 1] += len(at[:RUN])
+        for own, size in zip(counts, sizes, strict=True):
+            out[row] += own / max(size, 1)
     return out
 
 
@@ -133,14 +144,74 @@ def _machines(langs: list[str]) -> list[tuple[str, str, str]]:
     return out + [(f, a, b) for f in families for a, b in combinations(sorted(x for x in langs if of[x] == f), 2)]
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    x = _features(rows["text"].tolist())
-    y = rows["y"].to_numpy()
-    if len(set(y)) < 2:
-        w, b = np.zeros(FEATURES, np.float32), float(y[0])
-    else:
-        w, b = fit_svm(x, y)
-    return pd.DataFrame({"machine": [rows["machine"].iloc[0]], "w": [w.tobytes()], "b": [b]})
+def _pieces(key: str, n: float, values: np.ndarray, bias: float = 0.0) -> pa.RecordBatch:
+    """Rows of ADDED: an array in SLICES parts, and one more with a number."""
+    parts = [*np.split(values.astype(np.float64), SLICES), np.array([bias])]
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([float(n)] * len(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], ["key", "part", "n", "w"])
+
+
+ADDED = "key string, part int, n double, w binary"
+
+
+def _totals(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, float]]:
+    """Of each key the sums of what tasks found, as (n, array, number); tasks give a row for each part at most, whatever they read."""
+
+    def add(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("w")  # one order, so that sums don't depend on that of the tasks
+        w = np.sum([np.frombuffer(x) for x in own["w"]], axis=0)
+        return pd.DataFrame({"key": [own["key"].iloc[0]], "part": [own["part"].iloc[0]], "n": [own["n"].sum()], "w": [w.tobytes()]})
+
+    got: dict[str, dict[int, tuple[float, np.ndarray]]] = {}
+    for r in rows.groupBy("key", "part").applyInPandas(add, ADDED).collect():
+        got.setdefault(r["key"], {})[r["part"]] = r["n"], np.frombuffer(r["w"])
+    return {k: (v[0][0], np.concatenate([v[x][1] for x in range(SLICES)]), float(v[SLICES][1][0])) for k, v in got.items()}
+
+
+def _fit_blocks(classes: list[dict[str, int]]):
+    """Rows (block, label, mark, text), sorted, to ADDED: of each machine the sum over blocks of weights, times the block's rows.
+
+    ``classes`` has for each machine the class, 1 or -1, of the labels that it tells apart. A row that repeats counts once. Texts go as soon as
+    their n-grams are counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: dict[int, np.ndarray] = {}
+        b, seen = np.zeros(len(classes)), np.zeros(len(classes))
+        held: list[tuple[str, np.ndarray, np.ndarray]] = []
+        now, last = None, None
+
+        def learn() -> None:
+            for k, of in enumerate(classes):
+                own = [x for x in held if x[0] in of]
+                y = np.array([of[x[0]] for x in own], float)
+                if len(set(y)) < 2:
+                    continue
+                x = np.zeros((len(own), FEATURES), np.float32)
+                for row, (_, at, values) in enumerate(own):
+                    x[row, at] = values
+                weights, bias = fit_svm(x, y)
+                w[k] = w.get(k, 0.0) + len(own) * weights.astype(np.float64)
+                b[k] += len(own) * bias
+                seen[k] += len(own)
+            held.clear()
+
+        for batch in batches:
+            for block, label, mark, text in zip(*[batch.column(c) for c in range(4)], strict=True):
+                block, key = block.as_py(), (label.as_py(), mark.as_py())
+                if block != now:
+                    learn()
+                    now, last = block, None
+                if key != last:
+                    x = _features([text.as_py()])[0]
+                    at = np.flatnonzero(x)
+                    held.append((key[0], at, x[at]))
+                    last = key
+        learn()
+        for k, x in w.items():
+            yield _pieces(str(k), seen[k], x, b[k])
+        give_back()
+
+    return run
 
 
 class Model:
@@ -188,34 +259,50 @@ class Model:
         return best, mean[np.arange(n), best]
 
 
-def learned_from(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, text, label) of about ``sample_rows`` texts of each language, written; held-out rows are never seen."""
-    return labelled_sample(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, sample_rows, id_col, text_col)
+def learned_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(text, label, mark) of every labelled text, whole, but those held out; mark is a hash of id and text."""
+    text, label = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull() & label.isNotNull() & ~held_out(id_col))
+    return rows.select(text.alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), text).alias("mark"))
+
 
+def _dealt(rows: DataFrame, counts: dict[str, int], each: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``block``, and how many blocks there are: every row is in one, those of rare labels in several."""
+    blocks = max(1, -(-max(counts.values()) // each))
+    times = F.lit(1)
+    for label, n in counts.items():
+        if (more := min(blocks, -(-LEAST_ROWS * blocks // n))) > 1:
+            times = F.when(F.col("label") == F.lit(label), more).otherwise(times)
+    turn = F.explode(F.sequence(F.lit(0), times - 1)).alias("turn")
+    spread = rows.select("*", times.alias("times"), turn)
+    block = F.pmod(F.pmod("mark", F.lit(blocks)) + F.floor(F.col("turn") * F.lit(blocks) / F.col("times")), F.lit(blocks))
+    return spread.select(block.cast("int").alias("block"), "label", "mark", "text"), blocks
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: DataFrame | None = None) -> Model:
-    """Fit all machines on ``sample``, or on what ``learned_from`` takes of ``docs``.
 
-    Machines number about as many as half the square of the families and eight times the languages; a model of over
-    MOST_MODEL_BYTES stops the job, as it goes to every task.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit all machines on all labelled texts but those held out, in blocks of about ``sample_rows`` of the commonest language.
+
+    A machine is the mean of those fitted on the blocks, by their rows. Machines number about as many as half the square of the
+    families and eight times the languages; a model of over MOST_MODEL_BYTES stops the job, as it goes to every task.
     """
-    spark = docs.sparkSession
-    if sample is None:
-        sample = learned_from(docs, sample_rows, id_col, text_col, lang_col)
-    langs = sorted(r[0] for r in sample.select("label").distinct().collect())
+    rows = learned_from(docs, id_col, text_col, lang_col)
+    counts = key_counts(rows, "label", "mark")
+    langs = sorted(counts)
     machines = _machines(langs)
     if not machines:
         return Model(langs, [], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     if 4 * FEATURES * len(machines) > MOST_MODEL_BYTES:
         raise ValueError(f"{len(langs)} languages need {len(machines)} machines, over {MOST_MODEL_BYTES} bytes")
     of = families_of(langs)
-    classes = spark.createDataFrame(
-        [(j, x, y) for j, (level, a, b) in enumerate(machines) for x in langs for y in [1 if (of[x] if level == "family" else x) == a else -1 if (of[x] if level == "family" else x) == b else 0] if y],
-        "machine int, label string, y int",
-    )
-    fitted = sample.join(F.broadcast(classes), "label").select("machine", "y", "text").groupBy("machine").applyInPandas(_fit, "machine int, w binary, b double")
-    got = {r["machine"]: (np.frombuffer(r["w"], np.float32), r["b"]) for r in fitted.collect()}
-    return Model(langs, machines, np.stack([got[j][0] for j in range(len(machines))], 1), np.array([got[j][1] for j in range(len(machines))]))
+    kind = lambda level, x: of[x] if level == "family" else x
+    classes = [{x: 1 if kind(level, x) == a else -1 for x in langs if kind(level, x) in (a, b)} for level, a, b in machines]
+    dealt, blocks = _dealt(rows, counts, sample_rows)
+    parts = min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    got = _totals(dealt.repartition(parts, "block").sortWithinPartitions("block", "label", "mark").mapInArrow(_fit_blocks(classes), ADDED))
+    w, b = np.zeros((FEATURES, len(machines)), np.float32), np.zeros(len(machines))
+    for k, (n, weights, bias) in got.items():
+        w[:, int(k)], b[int(k)] = weights / n, bias / n
+    return Model(langs, machines, w, b)
 
 
 def _trigrams(text: str) -> Iterator[np.ndarray]:
@@ -243,52 +330,75 @@ class Habits:
         return not n or total / n >= self.least[j] - ERRORS * self.error[j] / np.sqrt(n)
 
 
-def _habits(model: Model):
-    """All sampled rows of a language to its row of ``Habits``.
+def _chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, text) to ADDED: how often each trigram is in a task's texts of each label."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = counts.setdefault(label, np.zeros(FEATURES))
+            for at in _trigrams(text.as_py()):
+                own += np.bincount(at, minlength=FEATURES)
+    for label, own in counts.items():
+        yield _pieces(label, 1, own)
+    give_back()
 
-    Half of the rows give the chances. The other half, where the machines name them right, says how likely own text is, and
-    the same text with its letters in random order how likely junk is; the limit lies midway.
-    """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "text"])
-        lang, texts = rows["label"].iloc[0], rows["text"].tolist()
-        learn, judge = (texts[::2], texts[1::2]) if len(texts) >= 4 else (texts, texts)
-        counts = np.full(FEATURES, 0.5)
-        for text in learn:
-            for at in _trigrams(text):
-                counts += np.bincount(at, minlength=FEATURES)
-        logs = np.log(counts / counts.sum())
-
-        def likely(text: str) -> tuple[float, float] | None:
-            """Mean and deviation of a text's log chances; of no text more than a run is held."""
-            n, total, squares = 0, 0.0, 0.0
-            for at in _trigrams(text):
-                x = logs[at]
-                n, total, squares = n + len(x), total + float(x.sum()), squares + float(x @ x)
-            return (total / n, max(0.0, squares / n - (total / n) ** 2) ** 0.5) if n else None
-
-        right = [t for t in judge if model.predict(pa.array([t], pa.string()))[0][0] == lang]
-        own = [x for t in right if (x := likely(t))]
-        order = np.random.default_rng(5)
-        # letters from all over the text, in random order
-        mixed = lambda t: "".join(order.permutation(list(t[:: max(1, len(t) // 4000)])))
-        junk = [x for t in right if (x := likely(mixed(t)))]
-        # without a text to judge by: what random trigrams give
-        high = np.quantile([x[0] for x in own], LOW) if own else logs.mean()
-        low = np.median([x[0] for x in junk]) if junk else logs.mean()
-        error = np.median([x[1] for x in own]) if own else logs.std()
-        return pd.DataFrame({"lang": [lang], "logs": [logs.astype(np.float32).tobytes()], "least": [(high + low) / 2], "error": [error]})
+
+def _judged(model: Model, logs: dict[str, np.ndarray]):
+    """(label, text) to (label, kind, value): of texts that the machines name right the mean (``own``) and deviation (``error``) of their
+    trigrams' log chances, and the mean with the letters in random order (``junk``)."""
+
+    def likely(text: str, of: np.ndarray) -> tuple[float, float] | None:
+        """Of no text more than a run is held."""
+        n, total, squares = 0, 0.0, 0.0
+        for at in _trigrams(text):
+            x = of[at]
+            n, total, squares = n + len(x), total + float(x.sum()), squares + float(x @ x)
+        return (total / n, max(0.0, squares / n - (total / n) ** 2) ** 0.5) if n else None
+
+    def mixed(text: str) -> str:
+        """All letters, in an order that depends on their number alone."""
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.random.default_rng(5).permutation(letters).tobytes().decode("utf-32-le", "surrogatepass")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, RUN):
+            out = []
+            for label, text, named in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model.predict(batch.column(1))[0], strict=True):
+                if named == label and (own := likely(text, logs[label])):
+                    out += [(label, "own", own[0]), (label, "error", own[1])]
+                    if junk := likely(mixed(text), logs[label]):
+                        out.append((label, "junk", junk[0]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["label", "kind", "value"])
+        give_back()
 
     return run
 
 
-def calibrate(docs: DataFrame, model: Model, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: DataFrame | None = None) -> Habits:
-    """``Habits`` of the model's languages from ``sample``, or from what ``learned_from`` takes of ``docs``."""
-    if sample is None:
-        sample = learned_from(docs, sample_rows, id_col, text_col, lang_col)
-    got = sample.groupBy("label").applyInPandas(_habits(model), "lang string, logs binary, least double, error double").collect()
-    logs = np.stack([np.frombuffer(r["logs"], np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
-    return Habits([r["lang"] for r in got], logs, np.array([r["least"] for r in got]), np.array([r["error"] for r in got]))
+def calibrate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Habits:
+    """``Habits`` of the languages from all labelled texts but those held out.
+
+    Half of them, by a hash, give the chances. The other half, where the machines name them right, says how likely own text is, and
+    the same text with its letters in random order how likely junk is; the limit lies midway. Quantiles are exact, of all texts.
+    """
+    rows = learned_from(docs, id_col, text_col, lang_col)
+    counts = key_counts(rows, "label", "mark")
+    few = F.col("label").isin([x for x, n in counts.items() if n < FEW])
+    half = F.pmod(F.xxhash64("mark"), F.lit(2)) == 0
+    found = _totals(rows.where(few | half).select("label", "text").mapInArrow(_chances, ADDED))
+    langs = sorted(counts)
+    logs = {x: np.log((c := found[x][1] + 0.5 if x in found else np.full(FEATURES, 0.5)) / c.sum()) for x in langs}
+    judged = rows.where(few | ~half).select("label", "text").mapInArrow(_judged(model, logs), "label string, kind string, value double")
+    ranked = numbered(judged, ["label", "kind"], ["value"], number="at", total="n")
+    place = (F.col("n") - 1) * F.when(F.col("kind") == "own", LOW).otherwise(0.5)
+    near: dict[tuple[str, str], list[tuple[float, float]]] = {}
+    for r in ranked.select("*", place.alias("place")).where("at - 1 in (floor(place), ceil(place))").collect():
+        near.setdefault((r["label"], r["kind"]), []).append((r["value"], 1 - abs(r["place"] - (r["at"] - 1))))
+    value = {k: sum(v * share for v, share in x) for k, x in near.items()}
+    # without a text to judge by: what random trigrams give
+    least = [(value.get((x, "own"), logs[x].mean()) + value.get((x, "junk"), logs[x].mean())) / 2 for x in langs]
+    error = [value.get((x, "error"), logs[x].std()) for x in langs]
+    return Habits(langs, np.stack([logs[x].astype(np.float32) for x in langs]) if langs else np.zeros((0, FEATURES), np.float32), np.array(least), np.array(error))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -321,3 +321,23 @@ def test_samples_are_bounded_however_often_an_id_repeats(spark, texts):
     sample = common.labelled_texts(docs, ids, "doc_id", "text")
     assert sample.count() == ids.count() == sample.select("id").distinct().count() == sum(counts.values())
     assert sample.where("id = 3").count() == 1
+
+
+def test_language_learns_from_every_labelled_text(spark):
+    """Words that one of 900 texts alone has move a machine and the habits, and ends of long texts count."""
+    from pyspark.sql import functions as F
+
+    words = F.concat(F.lit("the same words "), F.col("id").cast("string"))
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), words.alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang")).where(~common.held_out())
+    one = docs.where("lang = 'en'").agg(F.max("doc_id")).first()[0]
+    end = F.when(F.col("doc_id") == one, F.concat(F.repeat(F.lit("a b "), 40_000), F.lit("zqzqzqzq"))).otherwise(F.col("text"))
+    more = docs.withColumn("text", end)
+    at = int(np.unique(langid._hashes(np.frombuffer(b"qzq", np.uint8))[2][1])[0])
+    plain, moved = (langid.fit(x, sample_rows=50) for x in (docs, more))
+    assert plain.w[at].max() == plain.w[at].min() == 0
+    assert moved.w[at].any()
+    seen = sum(len(langid.learned_from(x).collect()) for x in (docs, more))
+    assert seen == 2 * docs.count()
+    dealt, blocks = langid._dealt(langid.learned_from(docs), common.key_counts(langid.learned_from(docs), "label", "mark"), 50)
+    assert blocks > 3 and dealt.select("label", "mark").distinct().count() == docs.count()
+    assert dealt.select("block", "label").distinct().count() == 2 * blocks
