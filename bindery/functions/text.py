@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -52,20 +53,32 @@ ENTITY = "&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
 C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _entity(e: Column) -> Column:
-    """One entity's character; an unknown name stays, a number that is no character is U+FFFD."""
-    hexa = F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+);$", 1)
-    code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).otherwise(F.regexp_extract(e, "^&#([0-9]+);$", 1).try_cast("long"))
-    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    char = F.when(bad, "\ufffd").when(code.between(128, 159), F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    """The character of what ENTITY matches; an unknown name stays, a number that is no character is U+FFFD."""
+    hexa = F.lower(F.substring(e, 3, 1)) == "x"
+    digits = F.when(hexa, F.conv(F.substring(e, F.lit(4), F.length(e) - 4), 16, 10)).otherwise(F.substring(e, F.lit(3), F.length(e) - 3))
+
+    def char(code: Column) -> Column:
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.when(bad, "\ufffd").when(code.between(128, 159), F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
     names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # a constant, read once
-    return F.when(code.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(names, F.regexp_extract(e, "^&([A-Za-z0-9]+);$", 1)), e))
+    named = F.coalesce(F.try_element_at(names, F.substring(e, F.lit(2), F.length(e) - 2)), e)
+    return F.when(F.substring(e, 2, 1) == "#", _let(digits.try_cast("long"), char)).otherwise(named)
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric and named entities as characters, each once (``&amp;lt;`` is ``&lt;``); unknown names stay."""
-    found = F.regexp_extract_all(c, F.lit(f"({ENTITY})"), 1)
-    joined = F.array_join(F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit("")))), "")
+    """Numeric and named entities as characters, each once (``&amp;lt;`` is ``&lt;``); unknown names stay.
+
+    A text's entities are found once, so the work grows with the text, not with the square of its entities.
+    """
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"({ENTITY})"), 1), _entity)
+    joined = F.array_join(F.zip_with(F.split(c, ENTITY, -1), found, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
     return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 

@@ -347,3 +347,14 @@ def test_batch_corpus(spark):
     df = spark.createDataFrame([("a" * 300,), ("b" * 300,), ("a" * 300,)], "text string")
     got = pack.batch_corpus(df, 1, 500).orderBy("text").collect()
     assert [(r.text[0], r.batch_no) for r in got] == [("a", 0), ("b", 1)]
+
+
+def test_entities_of_a_page_are_decoded_once_each(spark):
+    """All kinds, and 20,000 of them in one text: in time that doesn't grow with their square."""
+    import time
+
+    kinds = {"&amp;lt;": "&lt;", "&#65;": "A", "&#x1F600;": "😀", "&#XE9;": "é", "&#0;": "�", "&#xD800;": "�", "&#999999999;": "�", "&#xFFFFFFFF;": "�", "&#150;": "–", "&eacute;": "é", "&apos;": "'", "&nope;": "&nope;", "& ;": "& ;", "&#;": "&#;"}
+    assert one(spark, T.decode_entities, a="|".join(kinds)) == "|".join(kinds.values())
+    began = time.time()
+    assert one(spark, T.decode_entities, a="x&amp;y&#66;" * 10_000) == "x&yB" * 10_000
+    assert time.time() - began < 60
