@@ -7,7 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,12 +184,14 @@ def _file(doc_id: int, text: str) -> tuple[str, bytes]:
 def files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content): each document as a file of its own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            made = [_file(i, t) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
-            yield pd.DataFrame({"path": [f"/lib/b{i}{e}" for i, (e, _) in zip(rows["doc_id"], made, strict=True)], "content": [c for _, c in made]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
+                made = [_file(i, t) for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"/lib/b{i}{e}" for i, (e, _) in zip(ids, made, strict=True)]), pa.array([c for _, c in made], pa.binary())], ["path", "content"])
 
-    return documents(spark, d).select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return documents(spark, d).select("doc_id", "text").mapInArrow(run, "path string, content binary")
 
 
 FILES = "files as (select *, doc_id % 8 as kind, '/lib/b' || doc_id || (['.epub', '.fb2', '.rtf', '.txt', '.html', '.pdf', '.epub', '.txt'])[doc_id % 8 + 1] as path from documents)"

@@ -1,6 +1,6 @@
 """Files of many formats into one schema: books, pages of text, rejects.
 
-Only what Spark has no reader for is done in Python, row by row inside ``mapInPandas``: opening archives and marked-up
+Only what Spark has no reader for is done in Python, row by row inside ``mapInArrow``: opening archives and marked-up
 containers. Parsing of package files, paragraphs and pages are table operations.
 """
 
@@ -15,7 +15,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +108,9 @@ def _entries(raw: bytes) -> Iterator[tuple[str, bytes, bool]]:
 
 
 OPENED = "book_id long, fmt string, path string, entry string, title string, text string, content binary, truncated boolean, error string"
+_OPENED = pa.schema([("book_id", pa.int64()), *[(c, pa.string()) for c in ("fmt", "path", "entry", "title", "text")], ("content", pa.binary()), ("truncated", pa.bool_()), ("error", pa.string())])
 #: Bytes, and rows, that a task hands over at once.
-HAND_BYTES, HAND_ROWS = 16 << 20, 256
+HAND_BYTES, HAND_ROWS = 4 << 20, 256
 
 
 def _opened(fmt: str, raw: bytes, decoders: dict[str, Decoder]) -> Iterator[dict]:
@@ -136,28 +137,31 @@ def _opened(fmt: str, raw: bytes, decoders: dict[str, Decoder]) -> Iterator[dict
 
 
 def _adapter(decoders: dict[str, Decoder]):
-    """(book_id, fmt, path, content) to rows of OPENED, handed over in runs of bounded size, whatever an archive holds."""
+    """(book_id, fmt, path, content) to rows of OPENED, handed over in runs of bounded size, whatever an archive holds.
 
-    def adapt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A file is taken out of its batch when its turn comes; no second copy of a batch is held.
+    """
+
+    def adapt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                base = {"book_id": r.book_id, "fmt": r.fmt, "path": r.path, "entry": None, "title": "", "text": None, "content": None, "truncated": False, "error": None}
-                for out in _opened(r.fmt, bytes(r.content), decoders):
+        for batch in batches:
+            for book_id, fmt, path, content in zip(*[batch.column(c) for c in range(4)], strict=True):
+                base = {"book_id": book_id.as_py(), "fmt": fmt.as_py(), "path": path.as_py(), "entry": None, "title": "", "text": None, "content": None, "truncated": False, "error": None}
+                for out in _opened(base["fmt"], content.as_py(), decoders):
                     held.append(base | out)
                     size += len(out.get("content") or out.get("text") or "")
                     if size > HAND_BYTES or len(held) >= HAND_ROWS:
-                        yield pd.DataFrame(held)
+                        yield pa.RecordBatch.from_pylist(held, _OPENED)
                         held, size = [], 0
         if held:
-            yield pd.DataFrame(held)
+            yield pa.RecordBatch.from_pylist(held, _OPENED)
 
     return adapt
 
 
 def open_files(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """Rows of OPENED from (path, content)."""
-    return with_key(files).select("book_id", "fmt", "path", "content").mapInPandas(_adapter(decoders or {}), OPENED)
+    return with_key(files).select("book_id", "fmt", "path", "content").mapInArrow(_adapter(decoders or {}), OPENED)
 
 
 def open_folder(spark: SparkSession, path: str, decoders: dict[str, Decoder] | None = None) -> DataFrame:

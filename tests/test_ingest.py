@@ -109,3 +109,19 @@ def test_two_batches_equal_one(spark, folder, tmp_path):
         want = sorted(map(str, once[name].collect()))
         got = sorted(map(str, df.select(*once[name].columns).collect()))
         assert [x.replace("file:///", "file:/") for x in got] == [x.replace("file:///", "file:/") for x in want]
+
+
+def test_files_leave_a_batch_one_by_one():
+    """Rows are handed over in runs of bounded size, and no more of a batch is opened than was asked for."""
+    import pyarrow as pa
+
+    from bindery.sources import ingest as I
+
+    opened = []
+    decode = lambda raw: opened.append(1) or raw.decode() * 100
+    raw = [b"word " * 1000] * 200
+    batch = pa.RecordBatch.from_pydict({"book_id": pa.array(range(200)), "fmt": ["txt"] * 200, "path": [f"/lib/{n}.txt" for n in range(200)], "content": raw})
+    runs = I._adapter({"txt": decode})(iter([batch]))
+    first = next(runs)
+    assert first.nbytes < I.HAND_BYTES + 2 * 100 * len(raw[0]) and len(opened) == first.num_rows < 200
+    assert first.num_rows + sum(r.num_rows for r in runs) == 200
