@@ -207,6 +207,7 @@ def corpus(opened: DataFrame) -> dict[str, DataFrame]:
     is_container = F.lower("entry") == "meta-inf/container.xml"
     opf = opf_path(entries.where(is_container).select("book_id", F.when(is_container, text_of).alias("xml")))
     packages = entries.withColumnRenamed("entry", "opf").join(opf, ["book_id", "opf"]).select("book_id", "opf", F.when(F.lower("opf").endswith(".opf"), text_of).alias("xml"))
+    packages = staged(packages, "opf")  # found once: three tables come from them
     epub, manifest, spine = (staged(t, n) for t, n in zip(parse_opf(packages), ("packages", "manifest", "spine"), strict=True))
     based = manifest.join(epub.select("book_id", "base_path"), "book_id")
     stored = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
