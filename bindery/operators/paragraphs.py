@@ -5,10 +5,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from bindery.functions.text import classify_block, html_escape, image_page_no, is_garbage, normalize_lines, utrim, words
+from bindery.operators.pack import starts
 from bindery.operators.ranks import numbered
 from bindery.sources.staging import staged
 
@@ -116,13 +122,34 @@ def tag_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where(~is_garbage(F.col("text"))).withColumn("tag", classify_block(F.col("text"), F.col("indent")))
 
 
+def _pieces(names: list[str], values: list[str]):
+    """Words that come one after another in a batch and are of one row, as told by ``names``, to a row with lists of their ``values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cuts = np.flatnonzero(starts(pa.Table.from_batches([batch]), names))
+                ends = pa.array([*cuts, batch.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(cuts)) for c in names], *[pa.ListArray.from_arrays(ends, batch.column(c)) for c in values]], [*names, *values])
+
+    return run
+
+
 def words_to_rows(words_df: DataFrame, key: list[str]) -> DataFrame:
     """(key, row_no, text, y, first_x) from (key, row_no, word_no, word, x, y): words joined, blank rows dropped. Place
-    and height are those of the row's first word, blank or not."""
-    rows = words_df.groupBy(*key, "row_no").agg(F.array_sort(F.collect_list(F.struct("word_no", utrim(F.col("word")).alias("word"), "x", "y"))).alias("ws"))
-    text = F.array_join(F.filter(F.col("ws.word"), lambda w: w != ""), " ")
-    first = F.get("ws", F.lit(0))
-    return rows.select(*key, "row_no", text.alias("text"), first["y"].alias("y"), first["x"].alias("first_x")).where("text <> ''")
+    and height are those of the row's first word, blank or not.
+
+    Words that lie together are shuffled together, and of their places only that of the first goes along. They may come in any order.
+    """
+    names, values = [*key, "row_no"], ["word_no", "word", "x", "y"]
+    own = words_df.select(*names, *values)
+    schema = StructType([*[own.schema[c] for c in names], *[StructField(c, ArrayType(own.schema[c].dataType)) for c in values]])
+    pieces = own.mapInArrow(_pieces(names, values), schema).withColumn("word", F.transform("word", utrim))
+    pieces = pieces.select(*names, F.array_min(F.arrays_zip(*values)).alias("first"), F.struct("word_no", "word").alias("said"))
+    rows = pieces.groupBy(*names).agg(F.min("first").alias("first"), F.collect_list("said").alias("said"))
+    ws = F.array_sort(F.flatten(F.transform("said", lambda p: F.arrays_zip(p["word_no"].alias("word_no"), p["word"].alias("word")))))
+    text = F.array_join(F.filter(F.transform(ws, lambda w: w["word"]), lambda w: w != ""), " ")
+    return rows.select(*names, text.alias("text"), F.col("first.y").alias("y"), F.col("first.x").alias("first_x")).where("text <> ''")
 
 
 #: Rows of a page beyond which it is dealt to many tasks.

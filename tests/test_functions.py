@@ -358,3 +358,14 @@ def test_entities_of_a_page_are_decoded_once_each(spark):
     began = time.time()
     assert one(spark, T.decode_entities, a="x&amp;y&#66;" * 10_000) == "x&yB" * 10_000
     assert time.time() - began < 60
+
+
+def test_words_in_any_order_become_rows_with_few_bytes_shuffled(spark):
+    rows = [(d, r, n, w, 5.0 * n, 9.0 - r) for d in (1, None) for r in (0, 1) for n, w in enumerate(["", " a", "b", "a", None, "c "])]
+    df = spark.createDataFrame(rows, "k int, row_no int, word_no int, word string, x double, y double")
+    want = sorted((str(d), r, "a b a c", 9.0 - r, 0.0) for d in (1, None) for r in (0, 1))
+    for own in (df, df.orderBy(F.desc("word_no"), "row_no"), df.orderBy(F.xxhash64("word_no", "row_no", "k")).repartition(5)):
+        got = paragraphs.words_to_rows(own, ["k"])
+        assert sorted((str(x.k), x.row_no, x.text, x.y, x.first_x) for x in got.collect()) == want
+    # words that lie together are one row before the shuffle
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
